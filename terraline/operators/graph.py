@@ -33,3 +33,165 @@ def connected_components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFr
     lone = pairs.where("u = v").select("u", "v").distinct()
     stars = now.where("u > v")
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars.select("v", "v")).union(lone).groupBy("node").agg(F.min("component").alias("component"))
+
+
+#: Edges that may be broadcast for shortest paths; above it distances are relaxed by joins.
+MAX_BROADCAST_EDGES = 2_000_000
+
+
+def collapsed(edges: DataFrame) -> DataFrame:
+    """(a, b, length) with a < b: parallel edges become the shortest one, a missing length is 1, self-loops go."""
+    return edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.min(F.coalesce("length", F.lit(1.0))).alias("length"))
+
+
+def both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), "length"), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), "length"))).alias("e")).select("e.*")
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """(node, degree): in plus out on the directed multigraph, a self-loop counts twice."""
+    return edges.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+
+
+def largest_component(edges: DataFrame) -> DataFrame:
+    """(node) of the largest connected component, ties to the one with the smallest node."""
+    parts = written(connected_components(edges, "src", "dst"), "parts")
+    top = parts.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
+    return parts.join(F.broadcast(top.select("component")), "component").select("node")
+
+
+def distances(pairs: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, node, d): shortest lengths from each source, relaxed by joins until nothing gets shorter; for graphs
+    that are too large to broadcast."""
+    edges = written(both_ways(pairs), "edges")
+    best = written(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("d")), "distances")
+    front = best
+    while front.limit(1).count():
+        reached = front.join(edges, front.node == edges.src).select("source", F.col("dst").alias("node"), (F.col("d") + F.col("length")).alias("d"))
+        shorter = reached.groupBy("source", "node").agg(F.min("d").alias("d")).join(best.withColumnRenamed("d", "old"), ["source", "node"], "left").where("old is null or d < old").select("source", "node", "d")
+        front = written(shorter, "distances")
+        best = written(best.unionByName(front).groupBy("source", "node").agg(F.min("d").alias("d")), "distances")
+    return best
+
+
+def _adjacency(pairs: DataFrame):
+    """The graph by node for broadcast, after a check of its size; None if it is too large."""
+    from terraline.session import fits
+
+    if not fits(pairs, MAX_BROADCAST_EDGES):
+        return None
+    out: dict = {}
+    for a, b, length in pairs.select("a", "b", "length").toPandas().itertuples(index=False):
+        out.setdefault(a, []).append((b, length))
+        out.setdefault(b, []).append((a, length))
+    return pairs.sparkSession.sparkContext.broadcast(out)
+
+
+def _shortest(graph: dict, source):
+    """(distance by node, nodes by distance, path counts, predecessors) from a source."""
+    import heapq
+
+    dist, paths, before, order = {}, {source: 1.0}, {source: []}, []
+    queue, near = [(0.0, source)], {source: 0.0}
+    while queue:
+        d, v = heapq.heappop(queue)
+        if v in dist:
+            continue
+        dist[v] = d
+        order.append(v)
+        for w, length in graph.get(v, ()):
+            new = d + length
+            if w not in dist and (w not in near or new < near[w] - 1e-12):
+                near[w], paths[w], before[w] = new, paths[v], [v]
+                heapq.heappush(queue, (new, w))
+            elif w not in dist and abs(new - near[w]) <= 1e-12:
+                paths[w] += paths[v]
+                before[w].append(v)
+    return dist, order, paths, before
+
+
+def closeness(edges: DataFrame, exact_up_to: int = 3000, pivots: int = 600, seed: int = 42) -> DataFrame:
+    """(node, closeness, method) over the largest component, 0 elsewhere: (N - 1) over the sum of distances; above
+    ``exact_up_to`` nodes, k over the sum of distances to k pivots. Sources are spread over tasks."""
+    pairs = written(collapsed(edges), "pairs")
+    main = written(largest_component(edges), "main")
+    n = main.count()
+    sources, method = main, "exact"
+    if n > exact_up_to:
+        import numpy as np
+
+        ids = main.orderBy("node").toPandas().node.to_numpy() if n <= MAX_BROADCAST_EDGES else None
+        chosen = np.random.default_rng(seed).choice(ids, pivots, replace=False).tolist() if ids is not None else [r[0] for r in main.orderBy(F.xxhash64("node", F.lit(seed))).limit(pivots).collect()]
+        sources, method = edges.sparkSession.createDataFrame([(x,) for x in chosen], main.schema), f"{pivots} pivots"
+    graph = _adjacency(pairs)
+    if graph is None:
+        from_each = distances(pairs, sources)
+    else:
+        kind = main.schema["node"].dataType.simpleString()
+
+        def run(frames):
+            import pandas as pd
+
+            for frame in frames:
+                for s in frame.node:
+                    dist = _shortest(graph.value, s)[0]
+                    yield pd.DataFrame({"source": s, "node": list(dist), "d": list(dist.values())})
+
+        from_each = sources.repartition(max(8, edges.sparkSession.sparkContext.defaultParallelism), "node").mapInPandas(run, f"source {kind}, node {kind}, d double")
+    k = (n - 1) if method == "exact" else pivots
+    sums = from_each.join(main, "node", "left_semi").groupBy("node").agg(F.sum("d").alias("s"))
+    all_nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return all_nodes.join(sums, "node", "left").select("node", F.when(F.col("s") > 0, F.lit(float(k)) / F.col("s")).otherwise(0.0).alias("closeness"), F.lit(method).alias("method"))
+
+
+def edge_betweenness(edges: DataFrame, exact_up_to: int = 2000, k: int = 400, seed: int = 42) -> DataFrame:
+    """(a, b, betweenness) by Brandes' sums from every source, or from k seeded sources scaled up, normalised by
+    n * (n - 1) / 2 pairs. The graph is broadcast after a check of its size; larger ones are refused."""
+    pairs = written(collapsed(edges), "pairs")
+    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    n, graph = nodes.count(), _adjacency(pairs)
+    if graph is None:
+        raise ValueError(f"edge betweenness is for graphs of up to {MAX_BROADCAST_EDGES} edges")
+    used = nodes if n <= exact_up_to else nodes.orderBy(F.xxhash64("node", F.lit(seed))).limit(k)
+    m = min(n, k) if n > exact_up_to else n
+    kind = nodes.schema["node"].dataType.simpleString()
+
+    def run(frames):
+        import pandas as pd
+
+        total: dict = {}
+        for frame in frames:
+            for s in frame.node:
+                _, order, paths, before = _shortest(graph.value, s)
+                share = dict.fromkeys(order, 0.0)
+                for w in reversed(order):
+                    for v in before[w]:
+                        c = paths[v] / paths[w] * (1 + share[w])
+                        share[v] += c
+                        e = (v, w) if v < w else (w, v)
+                        total[e] = total.get(e, 0.0) + c
+        yield pd.DataFrame({"a": [e[0] for e in total], "b": [e[1] for e in total], "x": list(total.values())})
+
+    parts = used.repartition(max(8, edges.sparkSession.sparkContext.defaultParallelism), "node").mapInPandas(run, f"a {kind}, b {kind}, x double")
+    scale = (n / m) / (n * (n - 1)) if n > 1 else 0.0
+    sums = parts.groupBy("a", "b").agg(F.sum("x").alias("x"))
+    return pairs.join(sums, ["a", "b"], "left").select("a", "b", (F.coalesce("x", F.lit(0.0)) * scale).alias("betweenness"))
+
+
+#: The weights of closeness, degree and quiet roads.
+GOLDEN_WEIGHTS = (0.5, 0.3, 0.2)
+
+
+def golden_spots(edges: DataFrame, close: DataFrame, between: DataFrame, top: int = 10, zero_betweenness: bool = False) -> DataFrame:
+    """(rank, node, score, closeness, degree, mean_betweenness): half the closeness over its most, 0.3 the degree over
+    its most, 0.2 one minus the mean betweenness of the node's edges; ties to the smaller node."""
+    quiet = between.select(F.explode(F.array("a", "b")).alias("node"), (F.lit(0.0) if zero_betweenness else F.col("betweenness")).alias("x")).groupBy("node").agg(F.avg("x").alias("mean_betweenness"))
+    joined = written(close.select("node", "closeness").join(degrees(edges), "node", "left").join(quiet, "node", "left").fillna(0, ["degree", "mean_betweenness"]), "spots")
+    most_close, most_degree = joined.agg(F.max("closeness"), F.max("degree")).first()
+    over = lambda c, most: F.col(c) / F.lit(float(most or 1) or 1.0)
+    w = GOLDEN_WEIGHTS
+    score = w[0] * over("closeness", most_close) + w[1] * over("degree", most_degree) + w[2] * (1 - F.col("mean_betweenness"))
+    best = joined.withColumn("score", score).orderBy(F.desc("score"), "node").limit(top)
+    from pyspark.sql import Window
+
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "node"))).select("rank", "node", "score", "closeness", "degree", "mean_betweenness")
