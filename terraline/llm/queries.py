@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraline.llm import bpe, html_text, mixing, quality_rules, rule_ensemble, secrets, simhash, substrings, token_counts, topk
+from terraline.llm import bpe, html_text, mixing, oracles, quality_rules, rule_ensemble, secrets, simhash, substrings, token_counts, topk
 
 
 def vocabulary(name: str) -> str:
@@ -80,4 +80,4 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_rule_ensemble, op4_secrets, op5_topk, op6_substrings, op7_quality_rules, op8_mixing, op9_simhash, op10_html)}
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES
