@@ -67,10 +67,18 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4, out: str
 
 
 def covering_masks(positions: list[int], radius: int) -> list[int]:
-    """A mask of ``positions`` for every non-zero vector; a set of at most ``radius`` positions misses one of them."""
-    n = 2 ** (radius + 1) - 1
-    phi = {p: 1 + k % n for k, p in enumerate(positions)}
-    return [sum(1 << p for p in positions if (phi[p] & v).bit_count() % 2) for v in range(1, n + 1)]
+    """A mask of ``positions`` for every non-zero vector; a set of at most ``radius`` positions misses one of them. Of
+    some regular ways to deal vectors to positions, the one whose smallest mask is largest: a mask of few bits would
+    have few large buckets."""
+    n, half = 2 ** (radius + 1) - 1, 2**radius
+
+    def masks(phi) -> list[int]:
+        at = [(1 << p, phi(k)) for k, p in enumerate(positions)]
+        return [sum(bit for bit, x in at if (x & v).bit_count() % 2) for v in range(1, n + 1)]
+
+    steps = range(1, min(n, 64), 2)
+    ways = [masks(lambda k, m=m: 1 + k * m % n) for m in steps] + [masks(lambda k, m=m: half + k * m % half) for m in steps]
+    return max(ways, key=lambda w: min(x.bit_count() for x in w))
 
 
 def _signed(x: int) -> int:
