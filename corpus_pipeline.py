@@ -54,7 +54,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("BPE encoding and decoding", encoding_stage),
 ]
 
-#: SQL has no byte-pair encoding or XXH64; tests hold run() against a brute-force version.
+#: SQL has no byte-pair encoding or XXH64; a test runs the stages on a small table and checks what each must do.
 ORACLE_SQL = None
 
 
