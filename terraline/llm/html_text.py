@@ -7,7 +7,12 @@ the pages that have it, in how many ways its children follow each other (present
 page, beside the parts that HTML itself marks as no main text (menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, reader comments). Inside an article element, if a page has one, everything else is kept.
 
-The tree's counts are sums by (host, node, way, text), pre-aggregated in every task, so no task gathers a host's pages.
+Copies say nothing about what a host repeats around its texts, so the tree counts the looks of a node (way and text)
+once for each different main block. An article or main element and what is above it are never removed for their
+importance; branches inside go unless that takes more than half of the article's text: pages so alike are near copies.
+
+The tree's counts are sums by (host, node, way, text), over rows that are made distinct by these and the hash of the main
+block in tasks of any part of a host, so no task gathers a host's pages.
 
 Defined results: a null html is an empty text; pages without a host share one tree; rows that repeat a page_id are rows
 of their own; markup that isn't closed ends with the page; columns named like an output are replaced.
@@ -74,9 +79,9 @@ class _Node:
 class Page:
     """Blocks of a page with the nodes above them, and what each node's branches look like."""
 
-    def __init__(self, source: str, tree: bool = True, text: bool = True):
-        """``tree``: whether the nodes are wanted; ``text``: whether the blocks are."""
-        self.tree, self.text = tree, text
+    def __init__(self, source: str, tree: bool = True):
+        """``tree``: whether the nodes are wanted."""
+        self.tree = tree
         self.blocks: list[tuple[str, bool, bool, tuple]] = []  # text, switched off by its markup, in an article, nodes above
         self.nodes: dict[int, tuple[int, int]] = {}
         self.words: list[str] = []
@@ -109,10 +114,9 @@ class Page:
             node = self.stack[-1]
             if self.tree and (own := text.strip()):
                 node.text = _mixed(node.text, xxhash.xxh64_intdigest(own))
-            if self.text:
-                if not self.words:
-                    self.at = node
-                self.words.append(html.unescape(text) if "&" in text else text)
+            if not self.words:
+                self.at = node
+            self.words.append(html.unescape(text) if "&" in text else text)
 
     def flush(self) -> None:
         if self.words:
@@ -152,7 +156,8 @@ class Page:
             self.flush()
         if self.tree:
             up.ways = _mixed(up.ways, path)
-        self.stack.append(_Node(name, path, off, up.main or article, (*up.above, path)))
+        # an article and what is above it are no nodes that can remove a block
+        self.stack.append(_Node(name, path, off, up.main or article, () if article else (*up.above, path)))
 
     def leave(self) -> None:
         node = self.stack.pop()
@@ -177,7 +182,11 @@ class Page:
 
     def main_text(self, low: frozenset[int] = frozenset()) -> str:
         main = any(m and not off for _, off, m, _ in self.blocks)
-        return "\n\n".join(text for text, off, m, above in self.blocks if not off and m >= main and not (low and not low.isdisjoint(above)))
+        found = [(text, above) for text, off, m, above in self.blocks if not off and m >= main]
+        kept = [text for text, above in found if low.isdisjoint(above)]
+        if main and 2 * sum(map(len, kept)) < sum(len(text) for text, _ in found):
+            kept = [text for text, _ in found]
+        return "\n\n".join(kept)
 
 
 def host_of(url: Column) -> Column:
@@ -190,17 +199,21 @@ def _signed(x: int) -> int:
 
 def _nodes(batches):
     for batch in batches:
-        hosts, paths, ways, texts = [], [], [], []
+        hosts, paths, ways, texts, mains = [], [], [], [], []
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for path, (way, text) in Page(source or "", text=False).nodes.items():
-                hosts.append(host), paths.append(_signed(path)), ways.append(_signed(way)), texts.append(_signed(text))
-        yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "node": pa.array(paths, pa.int64()), "way": pa.array(ways, pa.int64()), "content": pa.array(texts, pa.int64())})
+            page = Page(source or "")
+            main = _signed(xxhash.xxh64_intdigest(page.main_text().encode("utf-8", "replace")))
+            for path, (way, text) in page.nodes.items():
+                hosts.append(host), paths.append(_signed(path)), ways.append(_signed(way)), texts.append(_signed(text)), mains.append(main)
+        longs = {"node": paths, "way": ways, "content": texts, "main": mains}
+        yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), **{k: pa.array(v, pa.int64()) for k, v in longs.items()}})
 
 
 def style_tree(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
-    """(host, node, n_pages, presentation, content, importance) of every node of every host's tree."""
-    seen = pages.select(host_of(F.col(url)).alias("host"), F.col(source).alias("html")).mapInArrow(_nodes, "host string, node long, way long, content long")
-    counts = written(seen.groupBy("host", "node", "way", "content").agg(F.count("*").alias("n")), "style-tree")
+    """(host, node, n_pages, presentation, content, importance) of every node of every host's tree; ``n_pages`` counts
+    the different looks of the node by main blocks."""
+    seen = pages.select(host_of(F.col(url)).alias("host"), F.col(source).alias("html")).mapInArrow(_nodes, "host string, node long, way long, content long, main long")
+    counts = written(seen.distinct().groupBy("host", "node", "way", "content").agg(F.count("*").alias("n")), "style-tree")
 
     def entropy(kind: str, n: str) -> DataFrame:
         """Entropy of n pages in ways of c_i pages, as a share of its most: (n ln n - sum c_i ln c_i) / (n ln n)."""

@@ -168,3 +168,20 @@ def test_html(spark):
     low = html_text.style_tree(spark.createDataFrame(menu, "page_id long, url string, html string")).where("importance < 0.1").count()
     assert low == 1
     assert {r.text for r in html_text.main_text(spark.createDataFrame(menu, "page_id long, url string, html string")).collect()} == {f"text {i}" for i in range(12)}
+
+
+def test_html_copies(spark):
+    """A host's copies neither empty their own texts nor those of its other pages, and its boilerplate still goes."""
+    whole = lambda t: f"<html><body><div class=page><article><p>{t}</p><div class=end>read on</div></article></div></body></html>"
+    plain = lambda t: f"<div><span>same words</span></div><div><p>{t}</p></div>"
+    rows = [("equal", whole("one text of a host with mirrors"))] * 10 + [("equal-plain", plain("one text"))] * 10
+    rows += [("most", whole("the text that is copied"))] * 950 + [("most", whole(f"text number {i} of the others")) for i in range(50)]
+    rows += [("plain", plain("copied"))] * 950 + [("plain", plain(f"other {i}")) for i in range(50)]
+    rows += [("near", whole(f"the same long text</p><i>{i}</i><p>")) for i in range(20)]
+    pages = spark.createDataFrame([(i, f"http://{h}.example/", t) for i, (h, t) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
+    at = lambda host: [got[i] for i, (h, _) in enumerate(rows) if h == host]
+    assert at("equal") == ["one text of a host with mirrors\n\nread on"] * 10 and at("equal-plain") == ["same words\n\none text"] * 10
+    assert at("most") == ["the text that is copied"] * 950 + [f"text number {i} of the others" for i in range(50)]
+    assert at("plain") == ["copied"] * 950 + [f"other {i}" for i in range(50)]
+    assert at("near") == [f"the same long text\n\n{i}\n\nread on" for i in range(20)]
