@@ -23,9 +23,11 @@ from pyspark.sql import types as T
 
 from terraline.llm.bpe import _with
 from terraline.operators.graph import connected_components
-from terraline.session import written
+from terraline.session import fits, written
 
 MAX_BUCKET = 20_000
+#: More rows to leave out than this are found by a join instead of a broadcast.
+MAX_BROADCAST_IDS = 100_000
 
 
 def shingle_hashes(text: str, size: int) -> list[int]:
@@ -182,9 +184,15 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 
 
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 4) -> DataFrame:
-    """``docs`` with one row of each group: the smallest id, then the smallest hash of the text; equal rows are one."""
+    """``docs`` with one row of each group of texts that links of a shingle similarity of 0.8 or more join: the smallest
+    id, then the smallest hash of the text; equal rows are one."""
+    from terraline.llm.similar_sets import groups
+
     marked = docs.withColumn("_row", F.xxhash64(F.col(text)))
-    groups = near_duplicate_groups(marked, doc_id, text, shingle, radius, ("_row",))
-    first = groups.groupBy("part").agg(F.min(F.struct("doc_id", "_row")).alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first._row").alias("_first"))
-    kept = marked.join(first, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_first")), "left_semi")
-    return kept.dropDuplicates([doc_id, "_row"]).drop("_row")
+    of = written(groups(marked.select(F.col(doc_id).alias("doc_id"), "_row", F.col(text).alias("text")), shingle, radius), "groups")
+    first = of.groupBy("part").agg(F.min(F.struct("doc_id", "_row")).alias("first"))
+    gone = written(of.join(first, "part").where(~F.struct("doc_id", "_row").eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("_id"), F.col("_row").alias("_gone")).distinct(), "near-copies")
+    gone = F.broadcast(gone) if fits(gone, MAX_BROADCAST_IDS) else gone
+    kept = marked.join(gone, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_gone")), "left_anti")
+    twice = of.groupBy("doc_id", "_row").count().where("count > 1").limit(1).count()
+    return (kept.dropDuplicates([doc_id, "_row"]) if twice else kept).drop("_row")

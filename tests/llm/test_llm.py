@@ -185,3 +185,33 @@ def test_html_copies(spark):
     assert at("most") == ["the text that is copied"] * 950 + [f"text number {i} of the others" for i in range(50)]
     assert at("plain") == ["copied"] * 950 + [f"other {i}" for i in range(50)]
     assert at("near") == [f"the same long text\n\n{i}\n\nread on" for i in range(20)]
+
+
+@pytest.mark.parametrize("frequent", [100_000, 0])
+def test_near_copies_at_a_similarity(spark, monkeypatch, frequent):
+    """Groups against brute force over sets of 5-word shingles, with pairs beyond 6 bits and a line that many share."""
+    from terraline.llm import similar_sets
+
+    monkeypatch.setattr(similar_sets, "FREQUENT", frequent)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    line = [word() for _ in range(30)]
+    rows = []
+    for _ in range(25):
+        base = [word() for _ in range(rng.choice([40, 100, 220]))]
+        for _ in range(rng.randint(1, 8)):
+            words = list(base)
+            for _ in range(rng.randint(0, len(base) // 40)):
+                words[rng.randrange(len(words))] = word()
+            rows.append((len(rows), " ".join(words[: rng.randint(9 * len(words) // 10, len(words))] + (line if rng.random() < 0.3 else []))))
+    sets = [set(simhash.shingle_hashes(t, 5)) for _, t in rows]
+    prints = [simhash.majority(simhash.shingle_hashes(t, 5)) for _, t in rows]
+    part, far = list(range(len(rows))), 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                far += ((prints[i] ^ prints[j]) & (2**64 - 1)).bit_count() > 6
+                x, y = part[i], part[j]
+                part = [min(x, y) if p in (x, y) else p for p in part]
+    got = simhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), radius=6)
+    assert far > 10 and {r.doc_id for r in got.collect()} == set(part)
