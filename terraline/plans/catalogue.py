@@ -442,7 +442,7 @@ def treemap_pack(spark, sf_dir):
 @query()
 def graph_sampling(spark, sf_dir):
     pairs = rules.rule_pairs(projects(spark, sf_dir))
-    return rules.best_graphs(pairs, rules.sampled_graphs(pairs, 20)).select("project", "rank", "sample", "score", "n_edges", "n_violations")
+    return rules.best_graphs(pairs, rules.sampled_graphs(pairs), top=5).select("project", "rank", "sample", "score", "n_edges", "n_violations")
 
 
 @query("""select project, id, room, warning from (select n_nationkey as project, 'f'||n_nationkey as id, 'Kitchen' as room, case when 0.5e0*(n_nationkey%5) + 2.0e0 > 3.01e0 then 'beyond its room' end as warning from nation

@@ -165,3 +165,14 @@ def test_locators(spark):
     said = ["https://github.com/o/r/blob/main/a/b.json", "o/r/x@dev", "o/r/x.json", "https://github.com/o/r"]
     got = [r[0].kind for r in spark.createDataFrame([(s,) for s in said], "s string").select(text.locator(F.col("s"))).collect()]
     assert got == ["raw", "api", "raw", "browse"]
+
+
+def test_graph_sampling_draws_all(spark, monkeypatch):
+    """The query draws a hundred graphs a project and keeps the five best."""
+    from terraline.operators import rules
+    from terraline.plans import catalogue
+
+    drawn, draw = [], rules.sampled_graphs
+    monkeypatch.setattr(rules, "sampled_graphs", lambda *a, **k: drawn.append(draw(*a, **k)) or drawn[-1])
+    ranks = {r["rank"] for r in catalogue.graph_sampling(spark, "/root/testdata/sf0.001").select("rank").distinct().collect()}
+    assert ranks == {1, 2, 3, 4, 5} and drawn[0].select("sample").distinct().count() == 100
