@@ -6,8 +6,8 @@ from above by the sum of L * (mean * mean' + dev * dev'). Levels go from few seg
 of the one before, and what survives the finest is computed exactly. Sums of whole numbers below 2**53 are exact.
 
 Queries go in blocks of bounded size: each block is broadcast and meets every row in its partition, where only the best k
-of each query stay. The queries of a block are candidates of each other, so each query begins with a score that its k-th best can't
-be below.
+of each query stay. The queries of a block that are rows of the searched vectors are candidates of each other, so each
+query begins with a score that its k-th best can't be below.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; vectors of another length
 than a query's are none of its candidates; rows that repeat a query's id are one query (the smallest vector of them)
@@ -46,13 +46,14 @@ def _kth_best(scores: np.ndarray, k: int) -> np.ndarray:
 class Block:
     """Queries of one length, their features at every level and what their k-th best score is at least."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, rows: np.ndarray):
+        """``rows``: which of the queries are rows of the searched vectors; only their scores are a floor."""
         self.ids, self.vectors, self.k = ids, vectors, k
         self.features = [segment_features(vectors, s) for s in LEVELS]
         self.floor = np.full(len(ids), -np.inf)
         for at in range(0, len(ids), 512):
             part = vectors[at : at + 512] @ vectors.T
-            part[ids[at : at + 512, None] == ids[None, :]] = -np.inf
+            part[(ids[at : at + 512, None] == ids[None, :]) | ~rows] = -np.inf
             self.floor[at : at + 512] = _kth_best(part, k)
 
     def search(self, ids: np.ndarray, vectors: np.ndarray, floor: np.ndarray):
@@ -116,6 +117,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     spark = vectors.sparkSession
     rows = vectors.where("v is not null and vec_id is not null").select(F.col("vec_id").cast("long"), "v")
     asked = queries.where("v is not null and vec_id is not null").groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min("v").alias("v"))
+    found = rows.join(asked, ["vec_id", "v"], "left_semi").distinct().withColumn("_row", F.lit(True))
+    asked = asked.join(found, ["vec_id", "v"], "left").withColumn("_row", F.coalesce("_row", F.lit(False)))
     parts, last = [], None
     while True:
         some = (asked if last is None else asked.where(F.col("vec_id") > last)).orderBy("vec_id").limit(BLOCK).toPandas()
@@ -123,7 +126,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             break
         last = int(some.vec_id.iloc[-1])
         lengths = some.v.map(len)
-        block = {int(n): Block(some.vec_id[lengths == n].to_numpy(np.int64), np.vstack(some.v[lengths == n].to_list()).astype(float), k) for n in sorted(set(lengths)) if n}
+        block = {int(n): Block(some.vec_id[lengths == n].to_numpy(np.int64), np.vstack(some.v[lengths == n].to_list()).astype(float), k, some._row[lengths == n].to_numpy(bool)) for n in sorted(set(lengths)) if n}
         parts.append(rows.mapInArrow(_searcher(spark.sparkContext.broadcast(block), k), "query_id long, vec_id long, score long"))
         if len(some) < BLOCK:
             break

@@ -80,6 +80,15 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_of_other_queries(spark):
+    """Queries that are no rows of the vectors, closer to each other than to any row."""
+    kinds = "vec_id long, v array<double>"
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(8)], kinds)
+    asked = spark.createDataFrame([(100 + i, [1000.0 + i, 0.0]) for i in range(8)] + [(3, [2000.0, 0.0])], kinds)
+    got = {(r.query_id, r.rank): r.vec_id for r in topk.top_k(rows, asked, 3).collect()}
+    assert got == {(q, k): v for q in range(100, 108) for k, v in ((1, 7), (2, 6), (3, 5))} | {(3, 1): 7, (3, 2): 6, (3, 3): 5}
+
+
 def test_suffix_order():
     rng = random.Random(4)
     for _ in range(300):
