@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraline.session import written
+from terraline.session import discard, written
 
 
 def connected_components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFr
         large = both.join(smallest, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(below, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        now = written(small.where("u > v").distinct(), "components")
+        before, now = now, written(small.where("u > v").distinct(), "components")
+        discard(before)
     lone = pairs.where("u = v").select("u", "v").distinct()
     stars = now.where("u > v")
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars.select("v", "v")).union(lone).groupBy("node").agg(F.min("component").alias("component"))

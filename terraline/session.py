@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,13 +38,42 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def run_folder(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; it goes with all that is left in it when the application ends."""
+    folder = f"{shared_folder(spark)}/terraline-{spark.sparkContext.applicationId}"
+    if folder not in _RUNS:
+        path, files = _files(spark, folder)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _RUNS.add(folder)
+    return folder
+
+
+def _files(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+_RUNS: set[str] = set()
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back: later jobs start from files that
     outlive executors instead of computing ``df`` again."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of tables that ``written`` returned and that nothing will read again."""
+    for table in tables:
+        path, files = _files(table.sparkSession, _PATHS.pop(table))
+        files.delete(path, True)
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
