@@ -3,13 +3,18 @@
 The pages of a host are merged into one tree: its nodes are element paths (names with classes), and a node counts, over
 the pages that have it, in how many ways its children follow each other (presentation) and which texts its branch holds
 (content). The entropies of both, each divided by the logarithm of the number of pages, give a node's importance,
-1 - (1 - presentation) * (1 - content). On hosts with enough pages, branches of low importance are removed from every
-page, beside the parts that HTML itself marks as no main text (menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, reader comments). Inside an article element, if a page has one, everything else is kept.
+1 - (1 - presentation) * (1 - content). A host with few pages says little, so its nodes are shrunk towards the importance
+that nodes of their name and class have over all hosts, and these, like nodes without a class, towards
+what the page itself says: nothing outside of an article is of importance on pages that have one, nor what a class names
+as an advert, a notice, a menu or a sidebar; all else is. Both have the weight of ``PRIOR`` pages; there is no least number of pages. Branches of low importance go.
+
+Beside that, elements that HTML itself marks as no main text go (menus, headers, footers, sidebars, forms, scripts,
+styles, hidden parts), so do roles that say the same and reader comments.
 
 Copies say nothing about what a host repeats around its texts, so the tree counts the looks of a node (way and text)
 once for each different main block. An article or main element and what is above it are never removed for their
-importance; branches inside go unless that takes more than half of the article's text: pages so alike are near copies.
+importance; branches inside go only far below the others' limit, and not if they are more than half of the article's
+text: pages so alike are near copies.
 
 The tree's counts are sums by (host, node, way, text), over rows that are made distinct by these and the hash of the main
 block in tasks of any part of a host, so no task gathers a host's pages.
@@ -33,26 +38,32 @@ from pyspark.sql import types as T
 from terraline.llm.bpe import _with
 from terraline.session import fits, written
 
-#: Nodes of fewer pages are never judged; below this importance a branch goes.
-MIN_PAGES, LOW_IMPORTANCE = 10, 0.1
-#: More judged nodes than this come back by a join on the host instead of a broadcast.
+#: Below this importance a branch goes: outside of articles, and inside.
+LOW_IMPORTANCE, LOW_INSIDE = 0.85, 0.15
+#: Pages that the labels' importance weighs beside a host's own, and the page's structure beside the labels'.
+PRIOR = 30
+#: More judged nodes than this meet the pages of their host in a shuffle instead of a broadcast.
 MAX_BROADCAST_NODES = 100_000
+#: Pages of a host that meet its judged nodes in one group of rows.
+PAGES_AT_ONCE = 5_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _LOOKED_AT = re.compile("class|id|role|hidden|style", re.I)
-_WORDS = re.compile(r"[a-z]+|[0-9]+")
 
 #: Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-NO_TEXT = frozenset("head script style textarea title noscript template iframe xmp noembed noframes nav footer aside form button select option menu dialog svg canvas object video audio math".split())
+NO_TEXT = frozenset("head script style textarea title noscript template iframe xmp noembed noframes nav footer aside form button select option menu dialog svg canvas video audio".split())
 #: An element of these ends an open one of the same set.
 SIBLINGS = ({"p"}, {"li"}, {"dt", "dd"}, {"tr"}, {"td", "th"}, {"option"})
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-#: Words in a class, id or role that mark no main text.
-MARKED = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe sidebar nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer comment comments disqus respond share sharing social related recommended login signup widget toolbar search complementary contentinfo dialog skip".split())
+#: Roles that mark no main text, and classes or ids of reader comments.
+ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+COMMENTS = frozenset("comment comments comment-list comments-area disqus_thread respond".split())
+#: Classes that make a node's importance doubtful until its pages say otherwise.
+DOUBTFUL = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs cookie cookies menu nav navbar newsletter notice notices pagination promo sidebar sponsored".split())
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -69,23 +80,26 @@ def _path(above: int, name: str, classes: str) -> int:
 
 
 class _Node:
-    __slots__ = ("name", "path", "off", "main", "ways", "text", "above")
+    __slots__ = ("name", "path", "label", "off", "main", "low", "block", "doubtful", "holds", "ways", "text")
 
-    def __init__(self, name: str, path: int, off: bool, main: bool, above: tuple):
-        self.name, self.path, self.off, self.main, self.above = name, path, off, main, above
+    def __init__(self, name: str, path: int, label: int, off: bool, main: bool, low: bool, block: str, doubtful: bool = False):
+        self.name, self.path, self.label, self.off, self.main, self.low, self.block, self.doubtful = name, path, label, off, main, low, block, doubtful
         self.ways = self.text = 0
+        self.holds = main
 
 
 class Page:
-    """Blocks of a page with the nodes above them, and what each node's branches look like."""
-
-    def __init__(self, source: str, tree: bool = True):
-        """``tree``: whether the nodes are wanted."""
-        self.tree = tree
-        self.blocks: list[tuple[str, bool, bool, tuple]] = []  # text, switched off by its markup, in an article, nodes above
-        self.nodes: dict[int, tuple[int, int]] = {}
+    """Blocks of a page, and what the branches of its nodes look like. A node knows of those above it only whether one is
+    low, off or an article, so a page's memory is in proportion to its size however deep it is."""
+
+    def __init__(self, source: str, tree: bool = True, low: frozenset[int] = frozenset()):
+        """``tree``: whether the nodes are wanted; ``low``: paths of nodes of low importance."""
+        self.tree, self.low_paths = tree, low
+        self.blocks: list[tuple[str, bool, bool, bool]] = []  # text, switched off by its markup, in an article, below a low node
+        self.nodes: dict[int, tuple[int, int, int, bool, bool]] = {}  # by path: label, way, text, in or above an article, doubtful
         self.words: list[str] = []
-        self.stack = [_Node("", 0, False, False, (0,))]
+        self.stack = [_Node("", 0, 0, False, False, False, "")]
+        self.opened: dict[str, int] = {}
         at, end = 0, len(source)
         while at < end:
             found = _TOKEN.search(source, at)
@@ -121,7 +135,7 @@ class Page:
     def flush(self) -> None:
         if self.words:
             if text := " ".join("".join(self.words).split()):
-                self.blocks.append((text, self.at.off, self.at.main, self.at.above))
+                self.blocks.append((text, self.at.off, self.at.main, self.at.low))
             self.words = []
 
     def open(self, name: str, attributes: str) -> None:
@@ -131,14 +145,10 @@ class Page:
             return
         if name not in INLINE:
             self.flush()
-            if name in ENDS_P and self.stack[-1].name != "p":
-                depth = next((i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i].name not in INLINE), 0)
-                if depth and self.stack[depth].name == "p":
-                    self.close("p")
-            elif name in ENDS_P:
+            if name in ENDS_P and self.stack[-1].block == "p":
                 self.close("p")
             for same in SIBLINGS[1:]:
-                if name in same and (top := next((n.name for n in reversed(self.stack) if n.name not in INLINE), "")) in same:
+                if name in same and (top := self.stack[-1].block) in same:
                     self.close(top)
         if name in VOID:
             return
@@ -146,31 +156,37 @@ class Page:
         said = _attributes(attributes) if _LOOKED_AT.search(attributes) else {}
         classes = said.get("class", "").lower()
         path = _path(up.path, name, classes)
-        marks = said and set(_WORDS.findall(f"{classes} {said.get('id', '').lower()} {said.get('role', '').lower()}")) & MARKED
+        label = _path(0, name, classes) if classes else 0
         hidden = "hidden" in said or said.get("aria-hidden", "").lower() == "true" or "display:none" in said.get("style", "").replace(" ", "").lower()
-        comment = bool(marks) and bool(marks & {"comment", "comments", "disqus", "respond"})
-        article = name in ("article", "main") and not comment
-        off = (up.off and not (article and not up.main)) or name in NO_TEXT or hidden or (bool(marks) and not article and name not in ("html", "body")) or (name == "header" and not up.main)
+        comment = bool(said) and not COMMENTS.isdisjoint((*classes.split(), said.get("id", "").lower()))
+        marked = comment or said.get("role", "").lower() in ROLES
+        article = name in ("article", "main") and not marked
+        off = (up.off and not (article and not up.main)) or name in NO_TEXT or hidden or marked or (name == "header" and not up.main)
+        low = (up.low or path in self.low_paths) and (up.main or not article)
+        doubtful = up.doubtful or (bool(classes) and not DOUBTFUL.isdisjoint(classes.split()))
         # what differs in a look changes where words are cut from their neighbours' node
-        if self.words and off != self.stack[-1].off:
+        if self.words and (off != up.off or low != up.low):
             self.flush()
         if self.tree:
             up.ways = _mixed(up.ways, path)
-        # an article and what is above it are no nodes that can remove a block
-        self.stack.append(_Node(name, path, off, up.main or article, () if article else (*up.above, path)))
+        self.opened[name] = self.opened.get(name, 0) + 1
+        self.stack.append(_Node(name, path, label, off, up.main or article, low, up.block if name in INLINE else name, doubtful))
 
     def leave(self) -> None:
         node = self.stack.pop()
-        if self.words and node.off != self.stack[-1].off:
+        self.opened[node.name] -= 1
+        up = self.stack[-1]
+        if self.words and (node.off != up.off or node.low != up.low):
             self.flush()
         if self.tree:
-            before = self.nodes.get(node.path, (0, 0))
-            self.nodes[node.path] = _mixed(before[0], node.ways), _mixed(before[1], node.text)
+            before = self.nodes.get(node.path, (0, 0, 0, False))
+            self.nodes[node.path] = node.label, _mixed(before[1], node.ways), _mixed(before[2], node.text), before[3] or node.holds, node.doubtful
+            up.holds = up.holds or node.holds
             if node.text:
-                self.stack[-1].text = _mixed(self.stack[-1].text, node.text)
+                up.text = _mixed(up.text, node.text)
 
     def close(self, name: str) -> None:
-        if not any(n.name == name for n in self.stack[1:]):
+        if not self.opened.get(name):
             if name == "p" or name == "br":
                 self.flush() if name == "p" else self.words.append(" ")
             return
@@ -180,13 +196,19 @@ class Page:
             self.leave()
         self.leave()
 
-    def main_text(self, low: frozenset[int] = frozenset()) -> str:
-        main = any(m and not off for _, off, m, _ in self.blocks)
-        found = [(text, above) for text, off, m, above in self.blocks if not off and m >= main]
-        kept = [text for text, above in found if low.isdisjoint(above)]
-        if main and 2 * sum(map(len, kept)) < sum(len(text) for text, _ in found):
-            kept = [text for text, _ in found]
-        return "\n\n".join(kept)
+    @property
+    def has_article(self) -> bool:
+        return any(main and not off for _, off, main, _ in self.blocks)
+
+    def main_block(self) -> str:
+        """What tells copies of a page: the article's text, without one all that isn't marked."""
+        inside = self.has_article
+        return "\n\n".join(text for text, off, main, _ in self.blocks if not off and main >= inside)
+
+    def main_text(self) -> str:
+        inside = [(len(text), low) for text, off, main, low in self.blocks if main and not off]
+        whole = 2 * sum(n for n, low in inside if not low) < sum(n for n, _ in inside)
+        return "\n\n".join(text for text, off, main, low in self.blocks if not off and (not low or (main and whole)))
 
 
 def host_of(url: Column) -> Column:
@@ -197,56 +219,101 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+_NODES = "host string, node long, label long, inside boolean, doubtful boolean, way long, content long, main long"
+
+
 def _nodes(batches):
     for batch in batches:
-        hosts, paths, ways, texts, mains = [], [], [], [], []
+        rows = []
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             page = Page(source or "")
-            main = _signed(xxhash.xxh64_intdigest(page.main_text().encode("utf-8", "replace")))
-            for path, (way, text) in page.nodes.items():
-                hosts.append(host), paths.append(_signed(path)), ways.append(_signed(way)), texts.append(_signed(text)), mains.append(main)
-        longs = {"node": paths, "way": ways, "content": texts, "main": mains}
-        yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), **{k: pa.array(v, pa.int64()) for k, v in longs.items()}})
+            main = _signed(xxhash.xxh64_intdigest(page.main_block().encode("utf-8", "replace")))
+            article = page.has_article
+            rows += [(host, _signed(path), _signed(label), inside, doubtful or (article and not inside), _signed(way), _signed(text), main) for path, (label, way, text, inside, doubtful) in page.nodes.items()]
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
+        columns = [*zip(*rows)] or [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "node", "label", "inside", "doubtful", "way", "content", "main"])
+
+
+def _importance(counts: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n_pages, presentation, content, importance, doubtful) of (by, way, content, n, doubtful). The entropy of n pages in ways
+    of c_i pages, as a share of its most, is (n ln n - sum c_i ln c_i) / (n ln n); one page says nothing: 1."""
+
+    def entropy(kind: str) -> DataFrame:
+        each = counts.groupBy(*by, kind).agg(F.sum("n").alias("c"), F.sum(F.col("doubtful") * F.col("n")).alias("b"), F.max("inside").alias("inside"))
+        sums = each.groupBy(*by).agg(F.sum("c").alias("n_pages"), F.sum(F.col("c") * F.log("c")).alias("s"), (F.sum("b") / F.sum("c")).alias("doubtful"), F.max("inside").alias("inside"))
+        most = F.col("n_pages") * F.log("n_pages")
+        return sums.select(*by, "n_pages", "doubtful", "inside", F.when(F.col("n_pages") > 1, (most - F.col("s")) / most).otherwise(F.lit(1.0)).alias(kind))
+
+    both = entropy("way").join(entropy("content").drop("n_pages", "doubtful", "inside"), by)
+    return both.select(*by, "n_pages", F.col("way").alias("presentation"), "content", (1 - (1 - F.col("way")) * (1 - F.col("content"))).alias("importance"), "doubtful", "inside")
 
 
 def style_tree(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
-    """(host, node, n_pages, presentation, content, importance) of every node of every host's tree; ``n_pages`` counts
-    the different looks of the node by main blocks."""
-    seen = pages.select(host_of(F.col(url)).alias("host"), F.col(source).alias("html")).mapInArrow(_nodes, "host string, node long, way long, content long, main long")
-    counts = written(seen.distinct().groupBy("host", "node", "way", "content").agg(F.count("*").alias("n")), "style-tree")
+    """(host, node, inside, n_pages, presentation, content, importance, shrunk) of every node of every host's tree:
+    ``importance`` from the host's pages alone, ``shrunk`` as it decides; ``n_pages`` counts the different looks of the
+    node by main blocks, ``inside`` nodes are in or above an article."""
+    seen = pages.select(host_of(F.col(url)).alias("host"), F.col(source).alias("html")).mapInArrow(_nodes, _NODES)
+    keys = ["host", "node", "label"]
+    counts = written(seen.groupBy(*keys, "way", "content", "main").agg(F.max(F.col("doubtful").cast("int")).alias("doubtful"), F.max("inside").alias("inside")).groupBy(*keys, "way", "content").agg(F.count("*").alias("n"), F.avg("doubtful").alias("doubtful"), F.max("inside").alias("inside")), "style-tree")
+    shrunk = lambda own, n, other: (n * own + PRIOR * other) / (n + PRIOR)
+    labels = _importance(counts.where("label <> 0"), ["label"]).select("label", shrunk(F.col("importance"), F.col("n_pages"), 1 - F.col("doubtful")).alias("of_label"))
+    nodes = _importance(counts, keys).join(labels, "label", "left")
+    return nodes.select("host", "node", "inside", "n_pages", "presentation", "content", "importance", shrunk(F.col("importance"), F.col("n_pages"), F.coalesce("of_label", 1 - F.col("doubtful"))).alias("shrunk"))
 
-    def entropy(kind: str, n: str) -> DataFrame:
-        """Entropy of n pages in ways of c_i pages, as a share of its most: (n ln n - sum c_i ln c_i) / (n ln n)."""
-        each = counts.groupBy("host", "node", kind).agg(F.sum("n").alias("c"))
-        sums = each.groupBy("host", "node").agg(F.sum("c").alias(n), F.sum(F.col("c") * F.log("c")).alias("s"))
-        most = F.col(n) * F.log(n)
-        return sums.select("host", "node", n, F.when(F.col(n) > 1, (most - F.col("s")) / most).otherwise(F.lit(1.0)).alias(kind))
 
-    ways, texts = entropy("way", "n_pages"), entropy("content", "_n").drop("_n")
-    return ways.join(texts, ["host", "node"]).select("host", "node", "n_pages", F.col("way").alias("presentation"), "content", (1 - (1 - F.col("way")) * (1 - F.col("content"))).alias("importance"))
+def low_nodes(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
+    """(host, node) of the branches that go."""
+    return style_tree(pages, url, source).where(F.col("shrunk") < F.when(F.col("inside"), LOW_INSIDE).otherwise(LOW_IMPORTANCE)).select("host", "node")
 
 
 def main_text(pages: DataFrame, url: str = "url", source: str = "html", out: str = "text") -> DataFrame:
-    """Adds ``out``, the main text of each page, and leaves ``source`` out."""
-    low = style_tree(pages, url, source).where((F.col("n_pages") >= MIN_PAGES) & (F.col("importance") < LOW_IMPORTANCE))
-    low = written(low.select("host", "node"), "low-nodes")
-    few = fits(low, MAX_BROADCAST_NODES)
-    low = low.groupBy(F.col("host").alias("_host")).agg(F.collect_list("node").alias("_low"))
-    kept = pages.drop("_low", "_host", *([out] if out in pages.columns and out != source else []))
-    joined = kept.join(F.broadcast(low) if few else low, host_of(F.col(url)) == F.col("_host"), "left").drop("_host")
+    """Adds ``out``, the main text of each page, and leaves ``source`` out. The judged nodes of all hosts are broadcast
+    if they are few; else they go, with a host's pages in groups of rows, to the same tasks ahead of the pages."""
+    low = written(low_nodes(pages, url, source), "low-nodes")
+    kept = pages.drop(*([out] if out in pages.columns and out != source else []))
     rest = [f for f in kept.schema if f.name != source]
     schema = _with(T.StructType(rest), T.StructField(out, T.StringType()))
+    names = [*[f.name for f in rest], out]
+    place = kept.withColumn("_terraline_host", host_of(F.col(url)))
+
+    def texts(batch, lows) -> pa.RecordBatch:
+        column = lambda name: batch.column(batch.schema.get_field_index(name))
+        found = [Page(text or "", tree=False, low=lows.get(host, frozenset())).main_text() for text, host in zip(column(source).to_pylist(), column("_terraline_host").to_pylist())]
+        return pa.RecordBatch.from_arrays([*[column(f.name) for f in rest], pa.array(found, pa.string())], names)
+
+    if fits(low, MAX_BROADCAST_NODES):
+        by_host: dict[str, set[int]] = {}
+        for r in low.toLocalIterator():
+            by_host.setdefault(r.host, set()).add(r.node & 0xFFFFFFFFFFFFFFFF)
+        known = pages.sparkSession.sparkContext.broadcast({h: frozenset(n) for h, n in by_host.items()})
+
+        def run(batches):
+            for batch in batches:
+                yield texts(batch, known.value)
+
+        return place.mapInArrow(run, schema)
+
+    groups = F.expr(f"cast(ceil(count(*) / {PAGES_AT_ONCE}) as int)").alias("_terraline_groups")
+    sizes = place.groupBy("_terraline_host").agg(groups)
+    dealt = place.join(sizes, "_terraline_host").withColumn("_terraline_group", F.pmod(F.xxhash64(url, source), F.col("_terraline_groups")).cast("int")).drop("_terraline_groups").withColumn("_terraline_node", F.lit(None).cast("long"))
+    ahead = low.join(sizes, F.col("host") == F.col("_terraline_host")).select("_terraline_host", F.explode(F.sequence(F.lit(0), F.col("_terraline_groups") - 1)).alias("_terraline_group"), F.col("node").alias("_terraline_node"))
 
-    def run(batches):
+    def stream(batches):
+        at, nodes = None, set()
         for batch in batches:
-            at = batch.schema.get_field_index
-            lows: dict[tuple, frozenset] = {}
-            found = []
-            for text, nodes in zip(batch.column(at(source)).to_pylist(), batch.column(at("_low")).to_pylist()):
-                key = tuple(nodes or ())
-                if key not in lows:
-                    lows[key] = frozenset(n & 0xFFFFFFFFFFFFFFFF for n in key)
-                found.append(Page(text or "", tree=False).main_text(lows[key]))
-            yield pa.RecordBatch.from_arrays([batch.column(at(f.name)) for f in rest] + [pa.array(found, pa.string())], [*[f.name for f in rest], out])
-
-    return joined.mapInArrow(run, schema)
+            hosts, groups, found = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_terraline_host", "_terraline_group", "_terraline_node"))
+            start = 0
+            for i, (host, group, node) in enumerate(zip(hosts, groups, found)):
+                if (host, group) != at:
+                    if i > start:
+                        yield texts(batch.slice(start, i - start), {at[0]: frozenset(nodes)})
+                    at, nodes, start = (host, group), set(), i
+                if node is not None:
+                    nodes.add(node & 0xFFFFFFFFFFFFFFFF)
+                    start = i + 1
+            if len(hosts) > start:
+                yield texts(batch.slice(start), {at[0]: frozenset(nodes)})
+
+    both = dealt.unionByName(ahead, allowMissingColumns=True).repartition("_terraline_host", "_terraline_group").sortWithinPartitions("_terraline_host", "_terraline_group", F.col("_terraline_node").isNull())
+    return both.mapInArrow(stream, schema)
