@@ -2,17 +2,22 @@
 
 A token budget goes down a tree of domains, languages and sources. Siblings share their parent's budget by weight; one
 that can't use its share (its capacity is its tokens times ``max_epochs``) leaves the rest to its siblings by their
-weights, and only what a whole subtree can't use goes back to the subtree's own siblings. All shares are whole numbers,
-rounded down. A leaf with budget b and a tokens takes b div a whole epochs and, from the next epoch's seeded order, the
+weights, and only what a whole subtree can't use goes back to the subtree's own siblings. Shares are whole numbers; what
+rounding down leaves goes, one each, to the first siblings that have room, so a budget is used up wherever there is
+capacity. A leaf with budget b and a tokens takes b div a whole epochs and, from the next epoch's seeded order, the
 longest prefix whose tokens fit into what is left.
 
+Tokens are runs of letters, of digits and of other signs, which Spark counts by itself. A branch with a weight of 0 or
+less has no capacity, nor has anything below it. Sums of tokens times weights are decimals, which hold a corpus of any
+size.
+
 The order of an epoch is that of md5(seed:epoch:doc_id). A leaf's prefix is found by the tokens of 4096 ranges of that
 order and then within one range, so a leaf of any size spreads over all tasks; documents are then chosen by comparing
 their md5 with the leaf's cut, without moving their texts.
 
 Defined results: null levels are values of their own; rows with one doc_id in a leaf are chosen together; a document
-without tokens is chosen with its place; a leaf without tokens gets nothing; a weight that isn't given is 1, and one of
-0 or less gives nothing.
+without tokens is chosen with its place; a leaf without tokens gets nothing; a weight that isn't given is 1; an empty
+table gives no rows; columns named domain or n_copies are replaced.
 """
 
 from __future__ import annotations
@@ -20,12 +25,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraline.llm.quality_rules import words_of
 from terraline.session import fits, written
 
 #: More leaves than this are joined by a shuffle instead of a broadcast.
 MAX_BROADCAST_LEAVES = 100_000
 LEVELS = ("domain", "lang", "source")
+#: A token: letters, digits or other signs in a row.
+TOKEN = r"\p{L}+|\p{N}+|[^\x09-\x0D\x20\p{L}\p{N}]+"
 
 
 def domain_of(source: Column) -> Column:
@@ -51,11 +57,16 @@ def shared(children: DataFrame, parent: tuple[str, ...]) -> DataFrame:
     group = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
     before = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     after = group.orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    sums = children.withColumns({"_left": F.col("given") - F.coalesce(F.sum("capacity").over(before), F.lit(0)), "_weights": F.sum("weight").over(after), "_place": F.row_number().over(group.orderBy(*order))})
-    full = sums.withColumn("_full", F.col("capacity") * F.col("_weights") <= F.col("_left") * F.col("weight"))
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    sums = children.withColumns({"_left": wide("given") - F.coalesce(F.sum(wide("capacity")).over(before), F.lit(0).cast("decimal(19,0)")), "_weights": F.sum("weight").over(after), "_place": F.row_number().over(group.orderBy(*order))})
+    full = sums.withColumn("_full", wide("capacity") * wide("_weights") <= wide("_left") * wide("weight"))
     cut = F.min(F.when(~F.col("_full"), F.struct("_place", "_left", "_weights"))).over(group)
-    budget = F.when(F.col("_cut").isNull() | (F.col("_place") < F.col("_cut._place")), F.col("capacity")).otherwise(F.expr("_cut._left * weight div _cut._weights"))
-    return full.withColumn("_cut", cut).withColumn("budget", budget).drop("_left", "_weights", "_place", "_full", "_cut", "given")
+    share = F.expr("cast(cast(_cut._left as decimal(19,0)) * cast(weight as decimal(19,0)) div cast(_cut._weights as decimal(19,0)) as long)")
+    open_ = F.col("_cut").isNotNull() & (F.col("_place") >= F.col("_cut._place"))
+    shares = full.withColumn("_cut", cut).withColumn("_share", F.when(open_, share))
+    over = F.col("_cut._left").cast("long") - F.sum("_share").over(group)
+    budget = F.when(open_, F.col("_share") + (F.col("_place") - F.col("_cut._place") < over).cast("long")).otherwise(F.col("capacity"))
+    return shares.withColumn("budget", budget).drop("_left", "_weights", "_place", "_full", "_cut", "_share", "given")
 
 
 def budgets(leaves: DataFrame, total: int, max_epochs: int, weights: dict[str, dict[str, int]]) -> DataFrame:
@@ -68,10 +79,12 @@ def budgets(leaves: DataFrame, total: int, max_epochs: int, weights: dict[str, d
         return out
 
     nodes = leaves.where("tokens > 0").withColumn("capacity", F.col("tokens") * max_epochs)
+    for level in LEVELS:
+        nodes = nodes.where(weight(level) > 0)
     given: DataFrame | None = None
     for depth in range(1, len(LEVELS) + 1):
         level, parent = LEVELS[:depth], LEVELS[: depth - 1]
-        at = nodes.groupBy(*level).agg(F.sum("capacity").alias("capacity")).withColumn("weight", weight(level[-1])).where("weight > 0")
+        at = nodes.groupBy(*level).agg(F.sum("capacity").alias("capacity")).withColumn("weight", weight(level[-1]))
         if given is None:
             at = at.withColumn("given", F.lit(int(total)).cast("long"))
         else:
@@ -89,7 +102,7 @@ def plan(docs: DataFrame, seed: int, share: float, max_epochs: int, weights: dic
     tokens = leaves.agg(F.sum("tokens")).first()[0] or 0
     split = budgets(leaves, int(tokens * share), max_epochs, weights)
     split = written(split.withColumn("epochs", F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(0).cast("long"))).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens")), "budgets")
-    placed = at_leaf(docs, split, seed).where("rest > 0").select(*LEVELS, "rest", "n_tokens", "mark", F.substring("mark", 1, 3).alias("part"))
+    placed = at_leaf(docs, split, seed).where("_leaf.rest > 0").select(*LEVELS, "_leaf.rest", "n_tokens", F.col("_mark").alias("mark"), F.substring("_mark", 1, 3).alias("part"))
     ranges = placed.groupBy(*LEVELS, "part").agg(F.sum("n_tokens").alias("in_part"), F.first("rest").alias("rest"))
     upto = Window.partitionBy(*LEVELS).orderBy("part")
     summed = ranges.withColumn("end", F.sum("in_part").over(upto)).where("end > rest").groupBy(*[F.col(c).alias(f"_{c}") for c in LEVELS]).agg(F.min(F.struct("part", (F.col("end") - F.col("in_part")).alias("begin"))).alias("edge"))
@@ -110,21 +123,23 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def at_leaf(docs: DataFrame, leaves: DataFrame, seed: int) -> DataFrame:
-    """Adds a leaf's columns to its documents, and their mark in the epoch after the leaf's whole ones."""
-    right = _small(leaves.select(*[F.col(c).alias(f"_{c}") for c in LEVELS], *[c for c in leaves.columns if c in ("epochs", "rest", "cut")]))
-    mark = F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("epochs") + 1).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    return docs.join(right, _same("_", LEVELS)).drop(*[f"_{c}" for c in LEVELS]).withColumn("mark", mark)
-
-
-def with_tree(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds domain and n_tokens (words)."""
-    return docs.withColumn("domain", domain_of(F.col("source"))).withColumn("n_tokens", F.size(words_of(F.col(text))).cast("long"))
-
-
-def mix(docs: DataFrame, seed: int = 17, share: float = 1.0, max_epochs: int = 2, weights: dict[str, dict[str, int]] | None = None, text: str = "text") -> DataFrame:
-    """Chosen rows of ``docs`` with domain, n_tokens, budget-keeping ``n_copies`` (1 or more): the epochs a row is in."""
-    narrow = written(with_tree(docs.select("doc_id", "source", "lang", text), text).select("doc_id", *LEVELS, "n_tokens"), "tokens")
-    leaves = plan(narrow, seed, share, max_epochs, weights or {})
-    tree = docs.drop("epochs", "cut", "mark", "rest", "n_copies").withColumn("domain", domain_of(F.col("source")))
-    chosen = at_leaf(tree, leaves, seed).withColumn("n_copies", (F.col("epochs") + F.when(F.col("mark") <= F.col("cut"), 1).otherwise(0)).cast("long"))
-    return chosen.where("n_copies > 0").drop("epochs", "rest", "cut", "mark")
+    """Adds to documents their leaf's columns as ``_leaf``, and ``_mark``, their place in the epoch after its whole ones."""
+    columns = [c for c in leaves.columns if c in ("epochs", "rest", "cut")]
+    right = _small(leaves.select(*[F.col(c).alias(f"_at_{c}") for c in LEVELS], F.struct(*columns).alias("_leaf")))
+    mark = F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("_leaf.epochs") + 1).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    return docs.drop("_leaf", "_mark").join(right, _same("_at_", LEVELS)).drop(*[f"_at_{c}" for c in LEVELS]).withColumn("_mark", mark)
+
+
+def n_tokens(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(TOKEN)).cast("long")
+
+
+def mix(docs: DataFrame, seed: int = 17, share: float = 1.0, max_epochs: int = 2, weights: dict[str, dict[str, int]] | None = None, text: str = "text", domain: Column | None = None) -> DataFrame:
+    """Chosen rows of ``docs`` with ``domain`` (of ``source`` if no column is given) and ``n_copies`` (1 or more), the
+    epochs a row is in."""
+    domain = domain_of(F.col("source")) if domain is None else domain
+    narrow = docs.select("doc_id", domain.alias("domain"), "lang", "source", n_tokens(F.col(text)).alias("n_tokens"))
+    leaves = plan(written(narrow, "tokens"), seed, share, max_epochs, weights or {})
+    mine = docs.select(*[F.col(c) for c in docs.columns if c not in ("domain", "n_copies")], domain.alias("domain"))
+    chosen = at_leaf(mine, leaves, seed).withColumn("n_copies", (F.col("_leaf.epochs") + F.when(F.col("_mark") <= F.col("_leaf.cut"), 1).otherwise(0)).cast("long"))
+    return chosen.where("n_copies > 0").drop("_leaf", "_mark")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from terraline.llm.mixing import TOKEN
 from terraline.llm.secrets import RULES
 
 _FOUND = " union all ".join(
@@ -32,4 +33,38 @@ OP7 = r"""with t as (select doc_id, source, coalesce(text, '') as text, list_fil
   q as (select source, (k + mean * strength) / (n + strength) as rate from h, p)
   select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, soft_failed, not base_failed and rate <= 0.5 and (not soft_failed or rate < 0.02) as kept from f join q on f.source is not distinct from q.source"""
 
+
+
+def _level(depth: int) -> str:
+    """Budgets of the nodes of one level: n(depth) with capacity, weight and given becomes b(depth) with budget."""
+    names = ("domain", "lang", "source")[:depth]
+    keys, parent, order = ", ".join(names), ", ".join(names[:-1]) or "1", "capacity / weight, " + ", ".join(f"{c} nulls first" for c in names)
+    by = f"partition by {parent}"
+    up = f" join b{depth - 1} b on " + " and ".join(f"t.{c} is not distinct from b.{c}" for c in names[:-1]) if depth > 1 else ""
+    given = "max(b.budget)" if depth > 1 else "(select sum(tokens) from leaves)"
+    weight = ("wd", "wl", "ws")[depth - 1]
+    return f"""n{depth} as (select {", ".join(f"t.{c}" for c in names)}, sum(t.capacity) as capacity, max(t.{weight}) as weight, {given} as given from nodes t{up} group by {", ".join(f"t.{c}" for c in names)}),
+  p{depth} as (select *, given - coalesce(sum(capacity) over ({by} order by {order} rows between unbounded preceding and 1 preceding), 0) as rest, sum(weight) over ({by} order by {order} rows between current row and unbounded following) as ws, row_number() over ({by} order by {order}) as place from n{depth}),
+  c{depth} as (select *, min(case when capacity * ws > rest * weight then place end) over ({by}) as cut from p{depth}),
+  d{depth} as (select *, max(case when place = cut then rest end) over ({by}) as cut_rest, max(case when place = cut then ws end) over ({by}) as cut_ws from c{depth}),
+  e{depth} as (select *, case when place >= cut then cut_rest * weight // cut_ws end as share from d{depth}),
+  b{depth} as (select {keys}, case when cut is null or place < cut then capacity else share + case when place - cut < cut_rest - sum(share) over ({by}) then 1 else 0 end end as budget from e{depth})"""
+
+
+def op8(weights: dict[str, dict[str, int]], seed: int, max_epochs: int) -> str:
+    """Mixing of all tokens; ``weights`` by level and value, 1 where none is given, all above 0."""
+    of = lambda level: f"case {level} " + " ".join(f"when '{v}' then {w}" for v, w in weights[level].items()) + " else 1 end" if weights.get(level) else "1"
+    number = "regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1)"
+    return f"""with d as (select doc_id, lang, source, case when {number} = '' then 'other' else 'domain' || (cast({number} as integer) % 4) end as domain, len(regexp_extract_all(coalesce(text, ''), $${TOKEN}$$)) as n from documents),
+  leaves as (select domain, lang, source, cast(sum(n) as bigint) as tokens from d group by all),
+  nodes as (select *, tokens * {max_epochs} as capacity, {of("domain")} as wd, {of("lang")} as wl, {of("source")} as ws from leaves where tokens > 0),
+  {_level(1)},
+  {_level(2)},
+  {_level(3)},
+  f as (select l.*, coalesce(b.budget // l.tokens, 0) as epochs, coalesce(b.budget % l.tokens, 0) as rest from leaves l left join b3 b on l.domain = b.domain and l.lang is not distinct from b.lang and l.source is not distinct from b.source),
+  m as (select d.*, epochs, rest, md5('{seed}:' || (epochs + 1) || ':' || coalesce(cast(doc_id as varchar), 'null')) as mark from d join f on d.domain = f.domain and d.lang is not distinct from f.lang and d.source is not distinct from f.source),
+  s as (select *, sum(n) over (partition by domain, lang, source order by mark) as upto from m)
+  select * from (select doc_id, domain, lang, source, cast(epochs + case when rest > 0 and upto <= rest then 1 else 0 end as bigint) as n_copies from s) where n_copies > 0"""
+
+
 ORACLES = {"op4_secrets": OP4, "op5_topk": OP5, "op7_quality_rules": OP7}

@@ -80,4 +80,4 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_rule_ensemble, op4_secrets, op5_topk, op6_substrings, op7_quality_rules, op8_mixing, op9_simhash, op10_html)}
-ORACLES = oracles.ORACLES
+ORACLES = oracles.ORACLES | {"op8_mixing": oracles.op8(WEIGHTS, seed=17, max_epochs=2)}
