@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The earth's radius in metres, and kilometres in a degree of latitude and, at the equator, of longitude.
 EARTH_M = 6_371_000.0
 KM_PER_DEGREE_LAT, KM_PER_DEGREE_LON = 110.574, 111.320
 
@@ -19,6 +20,13 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return haversine_m(lat1, lon1, lat2, lon2) / 1000
 
 
+def degrees_of_longitude(lat: Column, radius_km: Column | float) -> Column:
+    """Degrees east or west of a place at ``lat`` that nothing within the radius is beyond; 180 where a pole is within."""
+    radius = radius_km if isinstance(radius_km, Column) else F.lit(float(radius_km))
+    share = F.sin(radius * 1000 / EARTH_M) / F.greatest(F.cos(F.radians(lat)), F.lit(1e-12))
+    return F.when(share < 1, F.degrees(F.asin(F.least(F.lit(1.0), share))) * (1 + 1e-9)).otherwise(F.lit(180.0))
+
+
 def circle(lat: Column, lon: Column, radius_km: Column, points: int = 73) -> Column:
     """array<struct<lon, lat>> of a closed ring."""
     dlat = radius_km / KM_PER_DEGREE_LAT

@@ -82,3 +82,41 @@ def rollover(edits: DataFrame, key: str, order: str, flag: str) -> DataFrame:
         moved = base + (F.col("refConst") - F.col(f"constant{k}")) * safe_log(ratio)
         out = out.withColumn(f"b{k}_new", F.when(F.col(flag) & (F.col("x0_1") > 0) & (F.col("x0_2") > 0), F.coalesce(moved, F.col(f"b{k}"))).otherwise(F.col(f"b{k}")))
     return out.drop("_turned")
+
+
+def break_evens(scenarios: DataFrame) -> DataFrame:
+    """Adds be_call and be_put: the anchors plus and minus the premiums, if these are included."""
+    paid = lambda price: F.when(F.col("includePremium"), F.col(price)).otherwise(0.0)
+    return scenarios.withColumns({"be_call": F.col("x0_1") + paid("premiumCall"), "be_put": F.col("x0_2") - paid("premiumPut")})
+
+
+#: Biases that the presets set, and which series each tab shows (by toggle; "" shows always).
+BIASES = ("b1", "b2", "b1Base", "b2Base", "b1_add_option", "b2_add_option")
+DEMO_BIAS = {"b1": -1000.0, "b2": 1000.0, "b1Base": -1000.0, "b2Base": 1000.0, "b1_add_option": -1000.0, "b2_add_option": 1000.0}
+TABS = {
+    "net": (("showY3", "y3_d1"), ("showY3", "y3_d2"), ("showY6", "y6_d2")),
+    "overlay": (("", "overlay"),),
+    "dynamic": (("", "y3_d2"),),
+    "delta1": (("showY1", "y1_d1"), ("showY2", "y2_d1"), ("showY4", "y4"), ("showY5", "y5"), ("showY6", "y6_d1"), ("showY7", "y7_d1"), ("showY3", "y3_d1"), ("showY8", "y8"), ("showY9", "y9"), ("showY10", "y10"), ("showY11", "y11")),
+    "delta2": (("showY1", "y1_d2"), ("showY2", "y2_d2"), ("showY4", "y4"), ("showY5", "y5"), ("showY6", "y6_d2"), ("showY7", "y7_d2"), ("showY3", "y3_d2"), ("showY8", "y8"), ("showY9", "y9"), ("showY10", "y10"), ("showY11", "y11")),
+}
+
+
+def preset(scenarios: DataFrame, name: str) -> DataFrame:
+    """Scenarios after a preset: "all", "none" and "net" set the toggles, "no bias" and "demo bias" the biases."""
+    shows = [f"showY{k}" for k in range(1, 12)]
+    if name in ("all", "none", "net"):
+        return scenarios.withColumns({k: F.lit(name == "all" or (name == "net" and k == "showY3")) for k in shows})
+    return scenarios.withColumns({k: F.lit(DEMO_BIAS[k] if name == "demo bias" else 0.0) for k in BIASES})
+
+
+def tab_series(points: DataFrame, key: str, tab: str) -> DataFrame:
+    """(key, i, x, series, y) of the series that a tab shows by a row's toggles."""
+    shown = F.array(*[F.struct((F.col(toggle) if toggle else F.lit(True)).alias("on"), F.lit(name).alias("series"), F.col(name).alias("y")) for toggle, name in TABS[tab]])
+    return points.select(key, "i", "x", F.explode(F.filter(shown, lambda s: s["on"])).alias("s")).select(key, "i", "x", "s.series", "s.y")
+
+
+def axis(shown: DataFrame, key: str, with_zero: bool = True) -> DataFrame:
+    """(key, low, high) over all shown series, 0 included if wanted."""
+    low, high = F.min("y"), F.max("y")
+    return shown.where("y is not null").groupBy(key).agg((F.least(F.lit(0.0), low) if with_zero else low).alias("low"), (F.greatest(F.lit(0.0), high) if with_zero else high).alias("high"))

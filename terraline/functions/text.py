@@ -28,29 +28,45 @@ def coordinates(text: Column) -> Column:
 
 
 def kml_shapes(files: DataFrame, text: str = "value") -> DataFrame:
-    """(kind, points): lines of 2 points or more and outer rings of 4 or more."""
+    """(the files' other columns, kind, points): lines of 2 points or more and outer rings of 4 or more."""
     line = F.xpath(text, F.lit('//*[local-name()="LineString"]/*[local-name()="coordinates"]/text()'))
     ring = F.xpath(text, F.lit('//*[local-name()="Polygon"]/*[local-name()="outerBoundaryIs"]/*[local-name()="LinearRing"]/*[local-name()="coordinates"]/text()'))
     kinds = F.concat(F.transform(line, lambda c: F.struct(F.lit("LineString").alias("kind"), c.alias("c"))), F.transform(ring, lambda c: F.struct(F.lit("Polygon").alias("kind"), c.alias("c"))))
-    shapes = files.select(F.explode(kinds).alias("s")).select("s.kind", coordinates(F.col("s.c")).alias("points"))
+    rest = [c for c in files.columns if c != text]
+    shapes = files.select(*rest, F.explode(kinds).alias("s")).select(*rest, "s.kind", coordinates(F.col("s.c")).alias("points"))
     return shapes.where(F.size("points") >= F.when(F.col("kind") == "Polygon", 4).otherwise(2))
 
 
 def locator(text: Column) -> Column:
-    """struct<kind, url> of a repository locator: a raw file, a web page of a file, or owner/repo/path@ref (master
-    where no ref is given), which becomes a contents request for a folder and a raw file for .json."""
+    """struct<kind, url> of a repository locator. A web address is raw as it is, but one of a file's page becomes raw and
+    any other page of the site is to be browsed. owner/repo/path@ref (master without a ref, branches without their
+    prefix) is raw for a .json file, else a listing; less than owner and repo is nothing."""
     t = F.trim(text)
-    web = r"^https?://github\.com/([^/]+)/([^/]+)/(blob|tree)/([^/]+)/(.*)$"
-    short = r"^([^/\s:]+)/([^/\s@]+)/?([^@\s]*)(?:@(\S+))?$"
+    blob = r"^https?://github\.com/([^/?#]+)/([^/?#]+)/(?:[^?#]*?/)?blob/([^/?#]+)/([^?#]+)"
     g = lambda p, k: F.regexp_extract(t, p, k)
-    ref = F.when(g(short, 4) == "", "master").otherwise(g(short, 4))
+    left = F.split_part(t, F.lit("@"), F.lit(1))
+    ref = F.when(t.contains("@") & (F.length(left) < F.length(t) - 1), F.replace(F.substring(t, F.length(left) + 2, F.length(t)), F.lit("refs/heads/"), F.lit(""))).otherwise("master")
+    parts = F.filter(F.split(left, "/"), lambda s: s != "")
+    path = F.array_join(F.slice(parts, F.lit(3), F.greatest(F.size(parts) - 2, F.lit(0))), "/")
     raw = lambda o, r, b, p: F.concat(F.lit("https://raw.githubusercontent.com/"), o, F.lit("/"), r, F.lit("/"), b, F.lit("/"), p)
-    listing = lambda o, r, b, p: F.concat(F.lit("https://api.github.com/repos/"), o, F.lit("/"), r, F.lit("/contents/"), p, F.lit("?ref="), b)
     s = lambda kind, url: F.struct(F.lit(kind).alias("kind"), url.alias("url"))
     return (
-        F.when(t.startswith("https://raw.githubusercontent.com/"), s("raw", t))
-        .when(g(web, 3) == "blob", s("raw", raw(g(web, 1), g(web, 2), g(web, 4), g(web, 5))))
-        .when(g(web, 3) == "tree", s("api", listing(g(web, 1), g(web, 2), g(web, 4), g(web, 5))))
-        .when(t.contains("github.com"), s("browse", t))
-        .when(g(short, 1) != "", F.when(F.lower(g(short, 3)).endswith(".json"), s("raw", raw(g(short, 1), g(short, 2), ref, g(short, 3)))).otherwise(s("api", listing(g(short, 1), g(short, 2), ref, g(short, 3)))))
+        F.when(t.rlike("^https?://") & t.contains("raw.githubusercontent.com"), s("raw", t))
+        .when(t.rlike(blob), s("raw", raw(g(blob, 1), g(blob, 2), g(blob, 3), g(blob, 4))))
+        .when(t.rlike("^https?://") & t.contains("github.com"), s("browse", t))
+        .when(t.rlike("^https?://"), s("raw", t))
+        .when(F.size(parts) >= 2, F.when(path.endswith(".json"), s("raw", raw(parts[0], parts[1], ref, path))).otherwise(s("api", listing_url(parts[0], parts[1], path, ref))))
     )
+
+
+def listing_url(owner: Column, repo: Column, path: Column, ref: Column) -> Column:
+    return F.concat(F.lit("https://api.github.com/repos/"), owner, F.lit("/"), repo, F.lit("/contents/"), path, F.lit("?ref="), ref)
+
+
+def browse_listing(url: Column) -> Column:
+    """The listing behind a page of a repository: of a folder's page its own, of any other the root of master."""
+    parts = F.filter(F.split(F.regexp_replace(F.regexp_replace(url, r"^https?://[^/]+", ""), r"[?#].*$", ""), "/"), lambda s: s != "")
+    at = F.array_position(parts, "tree").cast("int")
+    below = F.array_join(F.slice(parts, F.greatest(at + 2, F.lit(1)), F.greatest(F.size(parts) - at - 1, F.lit(0))), "/")
+    ref = F.get(parts, at)
+    return F.when((at > 0) & ref.isNotNull(), listing_url(parts[0], parts[1], below, ref)).when(F.size(parts) >= 2, listing_url(parts[0], parts[1], F.lit(""), F.lit("master")))

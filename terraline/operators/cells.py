@@ -9,13 +9,16 @@ from terraline.functions import geo
 
 
 def disc_cells(discs: DataFrame, cell_deg: float = 0.001) -> DataFrame:
-    """(id, cy, cx) of the cells whose centre lies in each disc (id, lat, lon, radius_km)."""
-    dy = F.col("radius_km") / 110.0 / cell_deg
-    dx = F.col("radius_km") / 55.0 / cell_deg  # wide enough up to 60 degrees of latitude
+    """(id, cy, cx) of the cells whose centre lies in each disc (id, lat, lon, radius_km), at any latitude and across the
+    date line, where cells count on from the other side."""
+    dy = F.degrees(F.col("radius_km") * 1000 / geo.EARTH_M) / cell_deg
+    dx = geo.degrees_of_longitude(F.least(F.lit(90.0), F.abs("lat") + F.degrees(F.col("radius_km") * 1000 / geo.EARTH_M)), F.col("radius_km")) / cell_deg
     span = lambda c, d: F.sequence(F.floor(F.col(c) / cell_deg - d), F.floor(F.col(c) / cell_deg + d))
+    around = round(360 / cell_deg)
     cells = discs.withColumn("cy", F.explode(span("lat", dy))).withColumn("cx", F.explode(span("lon", dx)))
     centre = lambda c: (F.col(c) + F.lit(0.5)) * cell_deg
-    return cells.where(geo.haversine_km(F.col("lat"), F.col("lon"), centre("cy"), centre("cx")) <= F.col("radius_km")).select("id", "cy", "cx")
+    inside = cells.where((F.abs(centre("cy")) <= 90) & (geo.haversine_km(F.col("lat"), F.col("lon"), centre("cy"), centre("cx")) <= F.col("radius_km")))
+    return inside.select("id", "cy", (F.pmod(F.col("cx") + around // 2, F.lit(around)) - around // 2).alias("cx")).distinct()
 
 
 def polygon_cells(polygons: DataFrame, cell_deg: float = 0.001) -> DataFrame:

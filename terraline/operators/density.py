@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,27 +19,43 @@ COMMERCIAL = ("commercial", "catering", "accommodation")
 CONFIDENCE = {"HIGH": (0.60, 0.70), "MEDIUM": (0.40, 0.40)}
 
 
-def thinned(nodes: DataFrame, cell_km: float = 0.15, most: int | None = 600) -> DataFrame:
+#: Kilometres of a thinning cell and a degree, and of the least spacing of candidates.
+CELL_KM, KM_PER_DEGREE, SPACING_KM = 0.15, 111.0, 0.30
+
+
+def thinned(nodes: DataFrame, cell_km: float = CELL_KM, most: int | None = 600) -> DataFrame:
     """The node of the highest closeness in each cell, ties to the smaller id, then the ``most`` best. Cells truncate
     towards zero and don't shorten with the latitude."""
-    cell = lambda c: F.expr(f"cast({c} / {cell_km / 111.0!r}D as bigint)")
+    cell = lambda c: F.expr(f"cast({c} / {cell_km / KM_PER_DEGREE!r}D as bigint)")
     best = nodes.groupBy(cell("lat").alias("cy"), cell("lon").alias("cx")).agg(F.max_by(F.struct("id", "lat", "lon", "closeness"), F.struct(F.col("closeness"), -F.col("id"))).alias("b")).select("cy", "cx", "b.*")
     return best.orderBy(F.desc("closeness"), "id").limit(most) if most else best
 
 
 def densities(candidates: DataFrame, points: DataFrame, radii_km: tuple[float, ...] = (0.5, 1.0, 2.0)) -> DataFrame:
-    """(id, n_0, n_1, ...): points within each radius of each candidate, itself included. Points go to cells of the
-    largest radius and candidates to the nine around them, so the join hashes by cell and only near pairs meet."""
+    """(id, n_0, n_1, ...): points within each radius of each candidate, itself included. Points and candidates that share
+    a place are one row with a count, so crowded places cost one distance. Places go to cells of bands of latitude, which
+    are as wide as the largest radius at any latitude, and asked places to the cells around them, across the date line
+    too: the join hashes by cell and only near places meet."""
     size = max(radii_km)
-    lat_deg, lon_deg = size / 110.0, size / 55.0  # a cell is at least the radius wide up to 60 degrees of latitude
-    cy, cx = F.floor(F.col("lat") / lat_deg), F.floor(F.col("lon") / lon_deg)
-    near = F.sequence(F.lit(-1), F.lit(1))
-    asked = candidates.select("id", "lat", "lon", cy.alias("y"), cx.alias("x")).withColumn("dy", F.explode(near)).withColumn("dx", F.explode(near)).select("id", "lat", "lon", (F.col("y") + F.col("dy")).alias("cy"), (F.col("x") + F.col("dx")).alias("cx"))
-    held = points.select(F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), cy.alias("cy"), cx.alias("cx"))
+    reach = math.degrees(size * 1000 / geo.EARTH_M) * (1 + 1e-9)
+    band = F.floor(F.col("lat") / reach)
+
+    def cells_in(b: Column) -> Column:
+        """Cells of a band: as many as are no narrower than the radius at the band's edge that is nearer to a pole."""
+        edge = F.least(F.lit(90.0), F.greatest(F.abs(b * reach), F.abs((b + 1) * reach)))
+        return F.greatest(F.lit(1), F.floor(360.0 * F.cos(F.radians(edge)) / reach))
+
+    at = F.pmod(F.col("lon"), F.lit(360.0))
+    held = points.groupBy("lat", "lon").agg(F.count("*").alias("n")).withColumn("cy", band)
+    held = held.select(F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), "n", "cy", F.floor(at * cells_in(F.col("cy")) / 360.0).alias("cx"))
+    across = geo.degrees_of_longitude(F.col("lat"), size)
+    asked = candidates.select("lat", "lon").distinct().withColumn("cy", F.explode(F.sequence(band - 1, band + 1))).withColumn("cells", cells_in(F.col("cy")))
+    first, last = F.floor((at - across) * F.col("cells") / 360.0), F.floor((at + across) * F.col("cells") / 360.0)
+    asked = asked.withColumn("cx", F.explode(F.sequence(first, F.least(last, first + F.col("cells") - 1)))).select("lat", "lon", "cy", F.pmod("cx", "cells").alias("cx"))
     d = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
     found = asked.join(held, ["cy", "cx"]).withColumn("d", d).where(F.col("d") <= size)
-    counts = found.groupBy("id").agg(*[F.count_if(F.col("d") <= r).alias(f"n_{k}") for k, r in enumerate(radii_km)])
-    return candidates.select("id").join(counts, "id", "left").select("id", *[F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in range(len(radii_km))])
+    counts = found.groupBy("lat", "lon").agg(*[F.sum(F.when(F.col("d") <= r, F.col("n")).otherwise(0)).alias(f"n_{k}") for k, r in enumerate(radii_km)])
+    return candidates.select("id", "lat", "lon").join(counts, ["lat", "lon"], "left").select("id", *[F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in range(len(radii_km))])
 
 
 def ordinal_percentile(df: DataFrame, value: str, tie: str, out: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -52,11 +70,9 @@ def stability(columns: list[str]) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - (F.greatest(*columns) - F.least(*columns))))
 
 
-def suppressed(candidates: DataFrame, spacing_km: float = 0.30, most: int = 12, by: str = "pool") -> DataFrame:
+def suppressed(candidates: DataFrame, spacing_km: float = SPACING_KM, most: int = 12, by: str = "pool") -> DataFrame:
     """Greedy: from the best score on (ties to the smaller id), keep what is at least ``spacing_km`` from all kept, up
     to ``most`` in each pool. A pool is what thinning has left, hundreds of rows, and each is one group."""
-    import math
-
     def km(a, b):
         h = math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
         return 2 * geo.EARTH_M / 1000 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
@@ -110,11 +126,15 @@ def confidence(score: Column, stable: Column, coverage: Column) -> Column:
     return out.otherwise("LOW")
 
 
-def future_boost(distance_km: Column, radius_km: float = 1.5, most: float = 0.25) -> Column:
+#: How far a planned place reaches, and its most.
+BOOST_KM, BOOST = 1.5, 0.25
+
+
+def future_boost(distance_km: Column, radius_km: float = BOOST_KM, most: float = BOOST) -> Column:
     return most * F.greatest(F.lit(0.0), 1 - distance_km / radius_km)
 
 
-def primary_and_secondary(validated: DataFrame, apart_km: float = 0.30, most: int = 5) -> DataFrame:
+def primary_and_secondary(validated: DataFrame, apart_km: float = SPACING_KM, most: int = 5) -> DataFrame:
     """The best candidate (ties to the smaller id) as primary and the next ones farther than ``apart_km`` as secondary."""
     top = validated.orderBy(F.desc("cbd_score"), "id").limit(1).select(F.col("id").alias("_id"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
     far = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))

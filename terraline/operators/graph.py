@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from heapq import heappop, heappush
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from terraline.session import discard, written
+from terraline.session import discard, fits, written
 
 
 def connected_components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
@@ -36,8 +42,9 @@ def connected_components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFr
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars.select("v", "v")).union(lone).groupBy("node").agg(F.min("component").alias("component"))
 
 
-#: Edges that may be broadcast for shortest paths; above it distances are relaxed by joins.
-MAX_BROADCAST_EDGES = 2_000_000
+#: Pairs of nodes that may be broadcast for shortest paths, as arrays of 24 bytes a pair and direction (under 100 MB).
+#: Larger graphs stay tables, and the same results come from joins; no graph is refused.
+MAX_BROADCAST_PAIRS = 2_000_000
 
 
 def collapsed(edges: DataFrame) -> DataFrame:
@@ -54,17 +61,26 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
 
 
-def largest_component(edges: DataFrame) -> DataFrame:
+def nodes_of(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+
+
+def largest_component(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """(node) of the largest connected component, ties to the one with the smallest node."""
-    parts = written(connected_components(edges, "src", "dst"), "parts")
+    parts = written(connected_components(edges, a, b), "parts")
     top = parts.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
     return parts.join(F.broadcast(top.select("component")), "component").select("node")
 
 
 def distances(pairs: DataFrame, sources: DataFrame) -> DataFrame:
-    """(source, node, d): shortest lengths from each source, relaxed by joins until nothing gets shorter; for graphs
-    that are too large to broadcast."""
-    edges = written(both_ways(pairs), "edges")
+    """(source, node, d): shortest lengths from each source, along pairs (a, b, length) both ways."""
+    return distances_along(both_ways(pairs), sources)
+
+
+def distances_along(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, node, d) along edges (src, dst, length), relaxed by joins until nothing gets shorter; for graphs that are
+    too large to broadcast."""
+    edges = written(edges, "edges")
     best = written(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("d")), "distances")
     front = best
     while front.limit(1).count():
@@ -75,107 +91,189 @@ def distances(pairs: DataFrame, sources: DataFrame) -> DataFrame:
     return best
 
 
-def _adjacency(pairs: DataFrame):
-    """The graph by node for broadcast, after a check of its size; None if it is too large."""
-    from terraline.session import fits
-
-    if not fits(pairs, MAX_BROADCAST_EDGES):
+class Compact:
+    """A graph as arrays: ``ids`` in order, and the neighbours and lengths of node i from starts[i] to starts[i + 1]."""
+
+    def __init__(self, ids: np.ndarray, src: np.ndarray, dst: np.ndarray, length: np.ndarray):
+        order = np.argsort(src, kind="stable")
+        self.ids, self.to, self.length = ids, dst[order], length[order]
+        self.starts = np.searchsorted(src[order], np.arange(len(ids) + 1))
+
+    def neighbours(self, v: int):
+        a, b = self.starts[v], self.starts[v + 1]
+        return zip(self.to[a:b].tolist(), self.length[a:b].tolist())
+
+    def largest_component(self) -> np.ndarray:
+        """Its nodes; of equal ones the one with the smallest node."""
+        label, src = np.arange(len(self.ids)), np.repeat(np.arange(len(self.ids)), np.diff(self.starts))
+        while True:
+            least = label.copy()
+            np.minimum.at(least, src, label[self.to])
+            np.minimum.at(least, self.to, label[src])
+            least = least[least]
+            if (least == label).all():
+                return np.flatnonzero(label == np.argmax(np.bincount(label))) if len(label) else label
+            label = least
+
+    def shortest(self, source: int):
+        """(distance by node, nodes by distance, path counts, predecessors) from a source."""
+        dist, paths, before, order = {}, {source: 1.0}, {source: []}, []
+        queue, near = [(0.0, source)], {source: 0.0}
+        while queue:
+            d, v = heappop(queue)
+            if v in dist:
+                continue
+            dist[v] = d
+            order.append(v)
+            for w, length in self.neighbours(v):
+                new = d + length
+                if w not in dist and (w not in near or new < near[w] - SAME):
+                    near[w], paths[w], before[w] = new, paths[v], [v]
+                    heappush(queue, (new, w))
+                elif w not in dist and abs(new - near[w]) <= SAME:
+                    paths[w] += paths[v]
+                    before[w].append(v)
+        return dist, order, paths, before
+
+
+#: Lengths of paths that differ by no more are equal.
+SAME = 1e-12
+
+
+def _compact(pairs: DataFrame, one_way: bool = False) -> Compact | None:
+    """The graph of pairs (a, b, length) as arrays, after a check of its size; None if it is too large."""
+    if not fits(pairs, MAX_BROADCAST_PAIRS):
         return None
-    out: dict = {}
-    for a, b, length in pairs.select("a", "b", "length").toPandas().itertuples(index=False):
-        out.setdefault(a, []).append((b, length))
-        out.setdefault(b, []).append((a, length))
-    return pairs.sparkSession.sparkContext.broadcast(out)
-
-
-def _shortest(graph: dict, source):
-    """(distance by node, nodes by distance, path counts, predecessors) from a source."""
-    import heapq
-
-    dist, paths, before, order = {}, {source: 1.0}, {source: []}, []
-    queue, near = [(0.0, source)], {source: 0.0}
-    while queue:
-        d, v = heapq.heappop(queue)
-        if v in dist:
-            continue
-        dist[v] = d
-        order.append(v)
-        for w, length in graph.get(v, ()):
-            new = d + length
-            if w not in dist and (w not in near or new < near[w] - 1e-12):
-                near[w], paths[w], before[w] = new, paths[v], [v]
-                heapq.heappush(queue, (new, w))
-            elif w not in dist and abs(new - near[w]) <= 1e-12:
-                paths[w] += paths[v]
-                before[w].append(v)
-    return dist, order, paths, before
+    found = pairs.select("a", "b", "length").toPandas()
+    ids, ends = np.unique(np.r_[found.a.to_numpy(), found.b.to_numpy()], return_inverse=True)
+    a, b, length = ends[: len(found)], ends[len(found) :], found.length.to_numpy(float)
+    return Compact(ids, a, b, length) if one_way else Compact(ids, np.r_[a, b], np.r_[b, a], np.r_[length, length])
+
+
+def _tasks(spark, n: int) -> DataFrame:
+    """(i) from 0 to n - 1, spread over tasks."""
+    return spark.range(0, n, 1, max(1, min(n, 4 * spark.sparkContext.defaultParallelism))).select(F.col("id").cast("int").alias("i"))
 
 
 def closeness(edges: DataFrame, exact_up_to: int = 3000, pivots: int = 600, seed: int = 42) -> DataFrame:
     """(node, closeness, method) over the largest component, 0 elsewhere: (N - 1) over the sum of distances; above
-    ``exact_up_to`` nodes, k over the sum of distances to k pivots. Sources are spread over tasks."""
-    pairs = written(collapsed(edges), "pairs")
-    main = written(largest_component(edges), "main")
-    n = main.count()
-    sources, method = main, "exact"
-    if n > exact_up_to:
-        import numpy as np
-
-        ids = main.orderBy("node").toPandas().node.to_numpy() if n <= MAX_BROADCAST_EDGES else None
-        chosen = np.random.default_rng(seed).choice(ids, pivots, replace=False).tolist() if ids is not None else [r[0] for r in main.orderBy(F.xxhash64("node", F.lit(seed))).limit(pivots).collect()]
-        sources, method = edges.sparkSession.createDataFrame([(x,) for x in chosen], main.schema), f"{pivots} pivots"
-    graph = _adjacency(pairs)
+    ``exact_up_to`` nodes, k over the sum of distances to k pivots, the first by the hash of seed and node. The edges are
+    read once. Sources are spread over tasks, each of which sends sums, not distances."""
+    spark = edges.sparkSession
+    ends = written(edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.min(F.coalesce("length", F.lit(1.0))).alias("length")), "pairs")
+    pairs, all_nodes = ends.where("a <> b"), nodes_of(ends.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    order, graph = F.xxhash64(F.lit(seed), "node"), _compact(pairs)
     if graph is None:
-        from_each = distances(pairs, sources)
+        main = written(largest_component(pairs, "a", "b"), "main")
+        n = main.count()
+        sources = main if n <= exact_up_to else main.orderBy(order, "node").limit(pivots)
+        sums = distances(pairs, sources).groupBy("node").agg(F.sum("d").alias("s")).join(main, "node", "left_semi")
     else:
-        kind = main.schema["node"].dataType.simpleString()
+        inside = graph.largest_component()
+        n, at = len(inside), inside.tolist()
+        if n > exact_up_to:
+            ranked = all_nodes.orderBy(order, "node").toPandas().node.to_numpy()
+            at = np.searchsorted(graph.ids, ranked[np.isin(ranked, graph.ids[inside])][:pivots]).tolist()
+        known = spark.sparkContext.broadcast(graph)
+        chosen = spark.sparkContext.broadcast(at)
+        kind = pairs.schema["a"].dataType
+
+        def run(batches):
+            total = np.zeros(len(known.value.ids))
+            for batch in batches:
+                for i in batch.column(0).to_pylist():
+                    dist = known.value.shortest(chosen.value[i])[0]
+                    total[np.fromiter(dist, int, len(dist))] += np.fromiter(dist.values(), float, len(dist))
+            met = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(known.value.ids[met], to_arrow_type(kind)), pa.array(total[met])], ["node", "d"])
+
+        parts = _tasks(spark, len(at)).mapInArrow(run, T.StructType([T.StructField("node", kind), T.StructField("d", T.DoubleType())]))
+        sums = parts.groupBy("node").agg(F.sum("d").alias("s"))
+    method, k = ("exact", n - 1) if n <= exact_up_to else (f"{pivots} pivots", min(n, pivots))
+    return all_nodes.join(sums, "node", "left").select("node", F.when(F.col("s") > 0, F.lit(float(k)) / F.col("s")).otherwise(0.0).alias("closeness"), F.lit(method).alias("method"))
 
-        def run(frames):
-            import pandas as pd
 
-            for frame in frames:
-                for s in frame.node:
-                    dist = _shortest(graph.value, s)[0]
-                    yield pd.DataFrame({"source": s, "node": list(dist), "d": list(dist.values())})
-
-        from_each = sources.repartition(max(8, edges.sparkSession.sparkContext.defaultParallelism), "node").mapInPandas(run, f"source {kind}, node {kind}, d double")
-    k = (n - 1) if method == "exact" else pivots
-    sums = from_each.join(main, "node", "left_semi").groupBy("node").agg(F.sum("d").alias("s"))
-    all_nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    return all_nodes.join(sums, "node", "left").select("node", F.when(F.col("s") > 0, F.lit(float(k)) / F.col("s")).otherwise(0.0).alias("closeness"), F.lit(method).alias("method"))
+def hop_closeness(edges: DataFrame) -> DataFrame:
+    """(node, closeness) by hops along the directed edges into a node, over the whole graph: (r - 1) over the sum of
+    hops from the r nodes that reach it, times (r - 1) / (N - 1)."""
+    turned = edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1.0).alias("length")).distinct()
+    nodes = written(nodes_of(edges), "nodes")
+    far = distances_along(turned, nodes).groupBy("source").agg(F.count("*").alias("r"), F.sum("d").alias("s"))
+    r = (F.col("r") - 1).cast("double")
+    return nodes.join(far, nodes.node == far.source, "left").select("node", F.when(F.col("s") > 0, r / F.col("s") * r / F.lit(float(max(1, nodes.count() - 1)))).otherwise(0.0).alias("closeness"))
+
+
+def _dependencies(pairs: DataFrame, sources: DataFrame) -> DataFrame:
+    """(a, b, x): the edges' shares of shortest paths from all ``sources``, by joins alone. Path counts go outwards and
+    dependencies back by the number of edges of the longest shortest path to a node, a written table each."""
+    d = distances(pairs, sources)
+    edges = both_ways(pairs)
+    u, v = d.select("source", F.col("node").alias("src"), F.col("d").alias("du")), d.select(F.col("source").alias("_s"), F.col("node").alias("_n"), F.col("d").alias("dv"))
+    steps = written(u.join(edges, "src").join(v, (F.col("source") == F.col("_s")) & (F.col("dst") == F.col("_n"))).where((F.abs(F.col("du") + F.col("length") - F.col("dv")) <= SAME) & (F.col("du") < F.col("dv"))).select("source", "src", "dst"), "steps")
+    level = d.select("source", "node", F.lit(0).alias("level"))
+    moved, far = written(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("level")), "front"), 0
+    while moved.limit(1).count():
+        moved = written(moved.join(steps, (moved.source == steps.source) & (moved.node == steps.src)).select(steps.source, F.col("dst").alias("node"), (F.col("level") + 1).alias("level")).groupBy("source", "node").agg(F.max("level").alias("level")), "front")
+        level = written(level.unionByName(moved).groupBy("source", "node").agg(F.max("level").alias("level")), "levels")
+    far = level.agg(F.max("level")).first()[0] or 0
+    steps = written(steps.join(level.withColumnRenamed("node", "dst"), ["source", "dst"]), "steps")
+    paths = written(sources.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")), "paths")
+    for at in range(1, far + 1):
+        new = steps.where(F.col("level") == at).join(paths.withColumnRenamed("node", "src"), ["source", "src"]).groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+        paths = written(paths.unionByName(new), "paths")
+    ratio = steps.join(paths.select("source", F.col("node").alias("src"), F.col("paths").alias("p_src")), ["source", "src"]).join(paths.select("source", F.col("node").alias("dst"), F.col("paths").alias("p_dst")), ["source", "dst"])
+    steps = written(ratio.select("source", "src", "dst", "level", (F.col("p_src") / F.col("p_dst")).alias("part")), "steps")
+    shares = None
+    for at in range(far, 0, -1):
+        here = steps.where(F.col("level") == at)
+        if shares is not None:
+            below = shares.groupBy("source", F.col("src").alias("dst")).agg(F.sum("x").alias("below"))
+            here = here.join(below, ["source", "dst"], "left")
+        else:
+            here = here.withColumn("below", F.lit(0.0))
+        new = here.select("source", "src", "dst", (F.col("part") * (1 + F.coalesce("below", F.lit(0.0)))).alias("x"))
+        shares = written(new if shares is None else shares.unionByName(new), "shares")
+    if shares is None:
+        return pairs.select("a", "b", F.lit(0.0).alias("x"))
+    return shares.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("x").alias("x"))
 
 
 def edge_betweenness(edges: DataFrame, exact_up_to: int = 2000, k: int = 400, seed: int = 42) -> DataFrame:
-    """(a, b, betweenness) by Brandes' sums from every source, or from k seeded sources scaled up, normalised by
-    n * (n - 1) / 2 pairs. The graph is broadcast after a check of its size; larger ones are refused."""
+    """(a, b, betweenness) by Brandes' sums from every source, or above ``exact_up_to`` nodes from the first k by the
+    hash of seed and node, scaled up; normalised by n * (n - 1) / 2 pairs."""
+    spark = edges.sparkSession
     pairs = written(collapsed(edges), "pairs")
     nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-    n, graph = nodes.count(), _adjacency(pairs)
+    n = nodes.count()
+    used = nodes if n <= exact_up_to else nodes.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(k)
+    m = n if n <= exact_up_to else min(n, k)
+    graph = _compact(pairs)
     if graph is None:
-        raise ValueError(f"edge betweenness is for graphs of up to {MAX_BROADCAST_EDGES} edges")
-    used = nodes if n <= exact_up_to else nodes.orderBy(F.xxhash64("node", F.lit(seed))).limit(k)
-    m = min(n, k) if n > exact_up_to else n
-    kind = nodes.schema["node"].dataType.simpleString()
-
-    def run(frames):
-        import pandas as pd
-
-        total: dict = {}
-        for frame in frames:
-            for s in frame.node:
-                _, order, paths, before = _shortest(graph.value, s)
-                share = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in before[w]:
-                        c = paths[v] / paths[w] * (1 + share[w])
-                        share[v] += c
-                        e = (v, w) if v < w else (w, v)
-                        total[e] = total.get(e, 0.0) + c
-        yield pd.DataFrame({"a": [e[0] for e in total], "b": [e[1] for e in total], "x": list(total.values())})
-
-    parts = used.repartition(max(8, edges.sparkSession.sparkContext.defaultParallelism), "node").mapInPandas(run, f"a {kind}, b {kind}, x double")
+        sums = _dependencies(pairs, written(used, "sources"))
+    else:
+        known = spark.sparkContext.broadcast(graph)
+        at = np.searchsorted(graph.ids, np.sort(used.toPandas().node.to_numpy())).tolist() if n else []
+        chosen = spark.sparkContext.broadcast(at)
+        kind = pairs.schema["a"].dataType
+
+        def run(batches):
+            total: dict = {}
+            for batch in batches:
+                for i in batch.column(0).to_pylist():
+                    _, order, paths, before = known.value.shortest(chosen.value[i])
+                    share = dict.fromkeys(order, 0.0)
+                    for w in reversed(order):
+                        for v in before[w]:
+                            c = paths[v] / paths[w] * (1 + share[w])
+                            share[v] += c
+                            e = (v, w) if v < w else (w, v)
+                            total[e] = total.get(e, 0.0) + c
+            ends = [pa.array(known.value.ids[[e[j] for e in total]] if total else [], to_arrow_type(kind)) for j in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*ends, pa.array(list(total.values()), pa.float64())], ["a", "b", "x"])
+
+        parts = _tasks(spark, len(at)).mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("x", T.DoubleType())]))
+        sums = parts.groupBy("a", "b").agg(F.sum("x").alias("x"))
     scale = (n / m) / (n * (n - 1)) if n > 1 else 0.0
-    sums = parts.groupBy("a", "b").agg(F.sum("x").alias("x"))
     return pairs.join(sums, ["a", "b"], "left").select("a", "b", (F.coalesce("x", F.lit(0.0)) * scale).alias("betweenness"))
 
 
@@ -183,16 +281,24 @@ def edge_betweenness(edges: DataFrame, exact_up_to: int = 2000, k: int = 400, se
 GOLDEN_WEIGHTS = (0.5, 0.3, 0.2)
 
 
+def adjacent_betweenness(edges: DataFrame, between: DataFrame) -> DataFrame:
+    """(node, mean_betweenness): the mean over a node's edges, parallel ones each, of betweenness over its most; a
+    self-loop counts once and has none."""
+    most = between.agg(F.max("betweenness").alias("_most"))
+    each = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).join(between, ["a", "b"], "left").join(F.broadcast(most))
+    x = F.when(F.col("_most") > 0, F.coalesce("betweenness", F.lit(0.0)) / F.col("_most")).otherwise(F.coalesce("betweenness", F.lit(0.0))).alias("x")
+    ends = F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))
+    return each.select(F.explode(ends).alias("node"), x).groupBy("node").agg(F.avg("x").alias("mean_betweenness"))
+
+
 def golden_spots(edges: DataFrame, close: DataFrame, between: DataFrame, top: int = 10, zero_betweenness: bool = False) -> DataFrame:
     """(rank, node, score, closeness, degree, mean_betweenness): half the closeness over its most, 0.3 the degree over
     its most, 0.2 one minus the mean betweenness of the node's edges; ties to the smaller node."""
-    quiet = between.select(F.explode(F.array("a", "b")).alias("node"), (F.lit(0.0) if zero_betweenness else F.col("betweenness")).alias("x")).groupBy("node").agg(F.avg("x").alias("mean_betweenness"))
+    quiet = adjacent_betweenness(edges, between.withColumn("betweenness", F.lit(0.0)) if zero_betweenness else between)
     joined = written(close.select("node", "closeness").join(degrees(edges), "node", "left").join(quiet, "node", "left").fillna(0, ["degree", "mean_betweenness"]), "spots")
     most_close, most_degree = joined.agg(F.max("closeness"), F.max("degree")).first()
     over = lambda c, most: F.col(c) / F.lit(float(most or 1) or 1.0)
     w = GOLDEN_WEIGHTS
     score = w[0] * over("closeness", most_close) + w[1] * over("degree", most_degree) + w[2] * (1 - F.col("mean_betweenness"))
     best = joined.withColumn("score", score).orderBy(F.desc("score"), "node").limit(top)
-    from pyspark.sql import Window
-
     return best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "node"))).select("rank", "node", "score", "closeness", "degree", "mean_betweenness")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraline.functions import geo, payoff, rent, text
-from terraline.operators import asof, cells, clicks, density, graph, jsondoc, keyed, rings, rules
+from terraline.operators import asof, cells, clicks, density, graph, jsondoc, keyed, location, rings, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -170,9 +170,14 @@ def ring_report(spark, sf_dir):
 
 @query(f"select round(greatest(0.3e0, max({D})), 6) as d_max_km from (select unnest([lat-0.01e0, lat-0.01e0, lat+0.01e0, lat+0.01e0]) as lat, unnest([lon-0.01e0, lon+0.01e0, lon-0.01e0, lon+0.01e0]) as lon from {POINTS})")
 def dmax_bbox(spark, sf_dir):
-    corner = F.explode(F.array(*[F.struct((F.col("lat") + a).alias("lat"), (F.col("lon") + b).alias("lon")) for a in (-0.01, 0.01) for b in (-0.01, 0.01)]))
-    d = rings.with_distance(points(spark, sf_dir).select(corner.alias("c")).select("c.*"), ANCHOR)
-    return d.agg(F.round(F.greatest(F.lit(rent.MIN_D_MAX), F.coalesce(F.max("d_km"), F.lit(rent.DEFAULT_D_MAX))), 6).alias("d_max_km"))
+    areas = points(spark, sf_dir).select(squares(F.col("lat"), F.col("lon"), 0.01).alias("rings"))
+    return location.d_max_km(areas, ANCHOR).select(F.round("d_max_km", 6).alias("d_max_km"))
+
+
+def squares(lat, lon, half: float):
+    """The rings of a square around a place."""
+    corner = lambda a, b: F.struct((lon + b).alias("lon"), (lat + a).alias("lat"))
+    return F.array(F.array(*[corner(a, b) for a, b in ((-half, -half), (-half, half), (half, half), (half, -half), (-half, -half))]))
 
 
 EDGES = "(select l_partkey % 200 as src, (l_partkey % 200 + 1 + l_suppkey % 7) % 200 as dst, 1 + (l_partkey*13 + l_suppkey*7) % 50 + l_quantity as length from lineitem)"
@@ -213,12 +218,32 @@ def closeness_exact(spark, sf_dir):
     return graph.closeness(street_edges(spark, sf_dir)).select("node", F.round("closeness", 8).alias("closeness"))
 
 
-@query()
+#: Shortest paths of the street graph: distances p, steps of shortest paths g by source, path counts c.
+PATHS = f"""e as (select a as s, b as t, length as w from {PAIRS} union all select b, a, length from {PAIRS}),
+  p(src, dst, d) using key (src, dst) as (
+    select s, s, 0.0e0 from (select distinct s from e)
+    union
+    select n.src, n.dst, n.d from (select p.src, e.t as dst, min(p.d + e.w) as d from p join e on p.dst = e.s group by 1, 2) n left join recurring.p r on r.src = n.src and r.dst = n.dst where r.d is null or n.d < r.d),
+  g as (select x.src as s, e.s as u, e.t as v from p x join e on x.dst = e.s join p y on y.src = x.src and y.dst = e.t where x.d + e.w = y.d),
+  h(s, v, k, c) as (select s, s, 0, 1.0e0 from (select distinct s from e) union all select h.s, g.v, h.k + 1, sum(h.c) from h join g on g.s = h.s and g.u = h.v group by 1, 2, 3),
+  c as (select s, v, sum(c) as c from h group by 1, 2),
+  bet as (select least(g.u, g.v) as a, greatest(g.u, g.v) as b, sum(su.c * vt.c / st.c) / ((select count(distinct s) from e) * ((select count(distinct s) from e) - 1)) as betweenness
+    from g join c su on su.s = g.s and su.v = g.u join p sv on sv.src = g.s and sv.dst = g.v join p dt on dt.src = g.v join p sd on sd.src = g.s and sd.dst = dt.dst and sv.d + dt.d = sd.d
+    join c vt on vt.s = g.v and vt.v = dt.dst join c st on st.s = g.s and st.v = dt.dst group by 1, 2)"""
+
+
+@query(f"with recursive {PATHS} select x.a, x.b, round(coalesce(bet.betweenness, 0), 10) as betweenness from {PAIRS} x left join bet on bet.a = x.a and bet.b = x.b")
 def edge_betweenness(spark, sf_dir):
     return graph.edge_betweenness(street_edges(spark, sf_dir)).select("a", "b", F.round("betweenness", 10).alias("betweenness"))
 
 
-@query()
+@query(f"""with recursive {PATHS},
+  k as (select dst as node, (count(*)-1)/sum(d) as closeness from p group by 1),
+  q as (select src, dst, coalesce(betweenness, 0) / (select max(betweenness) from bet) as x from {EDGES} left join bet on a = least(src, dst) and b = greatest(src, dst)),
+  m as (select node, avg(x) as quiet from (select src as node, x from q union all select dst, x from q where src <> dst) group by 1),
+  n as (select node, count(*) as degree from (select src as node from {EDGES} union all select dst from {EDGES}) group by 1),
+  s as (select k.node, closeness, degree, quiet, 0.5e0*closeness/(select max(closeness) from k) + 0.3e0*degree/(select max(degree) from n) + 0.2e0*(1-quiet) as score from k join m on k.node=m.node join n on k.node=n.node)
+  select cast(row_number() over (order by score desc, node) as integer) as rank, node, round(score, 8) as score, round(closeness, 8) as closeness, round(quiet, 8) as mean_betweenness, degree from s order by score desc, node limit 10""")
 def golden_topk(spark, sf_dir):
     e = street_edges(spark, sf_dir)
     return graph.golden_spots(e, graph.closeness(e), graph.edge_betweenness(e)).select("rank", "node", *[F.round(c, 8).alias(c) for c in ("score", "closeness", "mean_betweenness")], "degree")
@@ -266,7 +291,18 @@ def ordinal_percentile_stability(spark, sf_dir):
     return b.select("id", F.round(density.stability(["a", "b"]), 6).alias("stability"))
 
 
-@query()
+def suppressed_sql(rows: str, spacing: str = "0.3e0", most: int = 12) -> str:
+    """CTEs (after "with recursive") that keep rows (id, lat, lon, score) greedily; the kept ones are ``kept``."""
+    return f"""o as (select id, lat, lon, score, row_number() over (order by score desc, id) as rk from ({rows})),
+  walk(rk, kept) as (select 0::bigint, []::struct(id bigint, lat double, lon double)[]
+    union all select w.rk + 1, case when len(w.kept) < {most} and len(list_filter(w.kept, lambda k: {km("o.lat", "o.lon", "k.lat", "k.lon")} < {spacing})) = 0 then list_append(w.kept, {{'id': o.id, 'lat': o.lat, 'lon': o.lon}}) else w.kept end from walk w join o on o.rk = w.rk + 1),
+  kept as (select unnest(kept).id as id from (select kept from walk order by rk desc limit 1))"""
+
+
+THIN = f"select id, lat, lon, closeness as score from (select id, lat, lon, c_acctbal/10000 as closeness, row_number() over (partition by cast(trunc(lat/{CELL!r}e0) as bigint), cast(trunc(lon/{CELL!r}e0) as bigint) order by c_acctbal desc, id) as rk from {POINTS}) where rk = 1 order by closeness desc, id limit 600"
+
+
+@query(f"with recursive {suppressed_sql(THIN)} select o.id, round(o.score, 6) as score from o join kept on o.id = kept.id")
 def nms_candidates(spark, sf_dir):
     thin = density.thinned(nodes(spark, sf_dir)).select("id", "lat", "lon", F.col("closeness").alias("score"), F.lit(0).alias("pool"))
     return density.suppressed(thin).select("id", F.round("score", 6).alias("score"))
@@ -329,10 +365,9 @@ def auto_rollover(spark, sf_dir):
     return payoff.rollover(e, "user_id", "ts", "on").select("event_id", F.round("b1_new", 6).alias("b1_new"))
 
 
-@query("select p_partkey, round(5.0e0+p_size%7 + 260.0e0/100, 6) as be_call, round(8.0e0+p_size%5 - 260.0e0/100, 6) as be_put from part")
+@query("select p_partkey, round(5.0e0+p_size%7 + 2.6e0, 6) as be_call, round(8.0e0+p_size%5 - 2.6e0, 6) as be_put from part")
 def break_even(spark, sf_dir):
-    paid = lambda price: F.when(F.col("includePremium"), F.col(price)).otherwise(0.0)
-    return scenarios(spark, sf_dir).select("p_partkey", F.round(F.col("x0_1") + paid("premiumCall"), 6).alias("be_call"), F.round(F.col("x0_2") - paid("premiumPut"), 6).alias("be_put"))
+    return payoff.break_evens(scenarios(spark, sf_dir)).select("p_partkey", F.round("be_call", 6).alias("be_call"), F.round("be_put", 6).alias("be_put"))
 
 
 def coupons(spark, sf_dir):
@@ -395,7 +430,10 @@ def cell_union_area(spark, sf_dir):
     return cells.area_km2(cells.union(cells.disc_cells(discs(spark, sf_dir)))).select("n_cells", F.round("area_km2", 4).alias("area_km2"))
 
 
-@query()
+@query(f"""with recursive e as (select event_id, user_id, ts, 20.0e0 + event_id % 3 * 0.00004e0 as lat, 100.0e0 + event_id % 5 * 0.00004e0 as lon, row_number() over (partition by user_id order by ts) as rk from events),
+  kept as (select * from e where rk = 1
+    union all select unnest(x) from (select min_by({{'event_id': e.event_id, 'user_id': e.user_id, 'ts': e.ts, 'lat': e.lat, 'lon': e.lon, 'rk': e.rk}}, e.rk) as x from kept k join e on e.user_id = k.user_id and e.rk > k.rk and epoch_us(e.ts) - epoch_us(k.ts) >= 500000 and 1000*{km("k.lat", "k.lon", "e.lat", "e.lon")} >= 10.0e0 group by k.user_id, k.rk))
+  select event_id, user_id from kept""")
 def debounce(spark, sf_dir):
     e = F.col("event_id")
     return clicks.debounce(table(spark, sf_dir, "events").select("event_id", "user_id", "ts", (20.0 + e % 3 * 0.00004).alias("lat"), (100.0 + e % 5 * 0.00004).alias("lon"))).select("event_id", "user_id")
@@ -434,12 +472,30 @@ def rects(spark, sf_dir):
     return rules.packed(projects(spark, sf_dir).withColumn("area", 6.0 + (F.col("project") + F.col("ord") * 5) % 9), 12.0, 9.0)
 
 
-@query()
+PACK_SQL = f"""with recursive a as (select n_nationkey as project, i, room, 6.0e0 + (n_nationkey + i * 5) % 9 as area from nation, {ROOM_SQL} r(i, room)),
+  u as (select project, list_concat([0.0e0], list(upto order by i)) as upto, list(room order by i) as rooms from (select *, sum(area) over (partition by project order by i) as upto from a) group by 1),
+  t(project, lo, hi, x, y, w, h) as (select project, 0::bigint, 6::bigint, 0.0e0, 0.0e0, 12.0e0, 9.0e0 from u
+    union all select project, case side when 0 then lo else cut end, case side when 0 then cut else hi end, case when side = 1 and w >= h then x + w * p else x end, case when side = 1 and w < h then y + h * p else y end,
+      case when w >= h then (case side when 0 then w * p else w - w * p end) else w end, case when w >= h then h else (case side when 0 then h * p else h - h * p end) end
+    from (select *, (upto[cut + 1] - upto[lo + 1]) / (upto[hi + 1] - upto[lo + 1]) as p from (select t.*, u.upto, list_min(list_transform(range(lo + 1, hi), lambda k: {{'d': abs(u.upto[k + 1] - u.upto[lo + 1] - (u.upto[hi + 1] - u.upto[lo + 1]) / 2), 'k': k}})).k as cut from t join u on u.project = t.project where hi - lo > 1)), (values (0), (1)) s(side))"""
+
+
+@query(f"{PACK_SQL} select t.project, rooms[lo + 1] as room, round(x, 3) as x, round(y, 3) as y, round(w, 3) as w, round(h, 3) as h from t join u on u.project = t.project where hi - lo = 1")
 def treemap_pack(spark, sf_dir):
     return rects(spark, sf_dir).select("project", "room", *[F.round(c, 3).alias(c) for c in ("x", "y", "w", "h")])
 
 
-@query()
+#: The first 40 attempts of each sample: all of them are disconnected with a chance of less than one in 10**9.
+DRAWN = f"""p as (select *, 1 / (1 + exp(greatest(-50, least(50, -c * w / 0.7e0)))) as chance from {PAIR_SQL}),
+  d as (select p.project, s.range as sample, t.range as attempt, p.i, p.j, p.c, p.w, ('0x' || substr(md5('1:' || p.project || ':' || s.range || ':' || t.range || ':' || p.i || ':' || p.j), 1, 8))::bigint / 4294967296.0e0 < chance as present from p, range(100) s, range(40) t),
+  m as (select project, sample, attempt, list(mask order by room) as masks from (select project, sample, attempt, room, bit_or(1 << other) as mask from (select project, sample, attempt, i as room, j as other from d where present union all select project, sample, attempt, j, i from d where present union all select project, sample, attempt, r.range, r.range from (select distinct project, sample, attempt from d), range(6) r) group by all) group by all),
+  r0 as (select *, 1::bigint as reach from m),
+  {", ".join(f"r{k} as (select * replace (list_reduce(list_transform(list_filter(range(6), lambda i: (reach >> i) & 1 = 1), lambda i: masks[i + 1]), lambda a, b: a | b) as reach) from r{k - 1})" for k in range(1, 6))},
+  f as (select project, sample, min(attempt) as attempt from r5 where reach = 63 group by all),
+  z as (select project, sample, cast(sum(case when present then c*w else 0 end - case when c=1 and w=3 and not present then w else 0 end) as bigint) as score, count_if(present) as n_edges, count_if((c=1 and w=3 and not present) or (c=-1 and w=3 and present)) as n_violations from d join f using (project, sample, attempt) group by all)"""
+
+
+@query(f"with {DRAWN} select project, cast(rank as integer) as rank, cast(sample as integer) as sample, score, n_edges, n_violations from (select *, row_number() over (partition by project order by score desc, sample) as rank from z) where rank <= 5")
 def graph_sampling(spark, sf_dir):
     pairs = rules.rule_pairs(projects(spark, sf_dir))
     return rules.best_graphs(pairs, rules.sampled_graphs(pairs), top=5).select("project", "rank", "sample", "score", "n_edges", "n_violations")
@@ -460,7 +516,5 @@ def furniture_checks(spark, sf_dir):
 @query("select s_suppkey, unnest(['LineString','Polygon']) as kind, unnest([2, 4]) as n_points, unnest([100.0e0 + s_suppkey%10, 1.0e0]) as first_lon from supplier")
 def kml_parse(spark, sf_dir):
     doc = F.concat(F.lit('<kml xmlns="http://www.opengis.net/kml/2.2"><Placemark><LineString><coordinates>'), (100 + F.col("s_suppkey") % 10).cast("string"), F.lit(",20,0 bad 101,21</coordinates></LineString></Placemark><Placemark><Polygon><outerBoundaryIs><LinearRing><coordinates>1,1 2,1 2,2 1,1</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark></kml>"))
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", doc.alias("value"))
-    line = F.array(*[F.struct(F.lit(k).alias("kind"), F.xpath("value", F.lit(p)).alias("c")) for k, p in (("LineString", '//*[local-name()="LineString"]/*[local-name()="coordinates"]/text()'), ("Polygon", '//*[local-name()="Polygon"]//*[local-name()="coordinates"]/text()'))])
-    shapes = s.select("s_suppkey", F.explode(line).alias("k")).select("s_suppkey", "k.kind", text.coordinates(F.col("k.c")[0]).alias("p"))
-    return shapes.select("s_suppkey", "kind", F.size("p").alias("n_points"), F.col("p")[0]["lon"].alias("first_lon"))
+    shapes = text.kml_shapes(table(spark, sf_dir, "supplier").select("s_suppkey", doc.alias("value")))
+    return shapes.select("s_suppkey", "kind", F.size("points").alias("n_points"), F.col("points")[0]["lon"].alias("first_lon"))

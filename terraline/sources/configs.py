@@ -12,9 +12,24 @@ from pyspark.sql import functions as F
 
 from terraline.functions.payoff import DEFAULTS
 
-#: Settings that may be read or written, members that a bundle must have, and its limit.
-SETTINGS = ("travel_mode", "time_intervals", "map_style_name", "network_type", "rent_unit")
+#: Settings and results that may be read or written (a key for a service is none of them), members that a
+#: bundle must have, and its limit.
+SETTINGS = (
+    "map_style_name", "travel_mode", "time_intervals", "show_dol", "show_cityplan", "cityplan_opacity", "show_population", "show_traffic", "colors", "show_betweenness",
+    "show_closeness", "show_railway", "show_golden_spots", "rent_samples", "rent_unit_label", "show_rent_rings", "show_rent_nodes",
+)
+RESULTS = ("isochrone_data", "intersection_data", "network_data", "rent_gradient_data")
 MEMBERS = ("manifest.json", "config/config.json", "cache/cache.zip", "checksums.sha256")
+#: Versions of payoff configurations that are known, the newest first, limits of their numbers, and the
+#: series that can be shown.
+PAYOFF_VERSIONS = ("1.2.0", "1.1.1", "1.1.0")
+LIMITS = {
+    "x0_1": (0.1, 50.0), "constant1": (100.0, 10000.0), "b1": (-5000.0, 5000.0), "b1_add_option": (-5000.0, 5000.0), "x0_2": (0.1, 50.0), "constant2": (100.0, 10000.0),
+    "b2": (-5000.0, 5000.0), "b2_add_option": (-5000.0, 5000.0), "anchorY6": (0.1, 50.0), "refConst": (100.0, 10000.0), "callContracts": (0, 10000), "premiumCall": (0.0, 1000.0),
+    "putContracts": (0, 10000), "premiumPut": (0.0, 1000.0), "longEntryPrice": (0.0, 50.0), "longShares": (0, 10000000), "shortEntryPrice": (0.0, 50.0), "shortShares": (0, 10000000),
+    "delta1": (0.01, 2.0), "delta2": (0.01, 2.0),
+}
+TOGGLES = tuple(f"showY{k}" for k in range(1, 12))
 BUNDLE_VERSION, MAX_CACHE_BYTES = "1.0", 150 * 1024 * 1024
 
 
@@ -27,27 +42,59 @@ def number(text: Column, path: str, default: float, lo: float | None = None, hi:
 
 
 def payoff_scenarios(configs: DataFrame, text: str = "value") -> DataFrame:
-    """A parameter row for each payoff configuration; unknown versions are read all the same and marked."""
+    """A parameter row for each payoff configuration, in the limits; unknown versions are read all the same and marked."""
     t = F.col(text)
     cols = {}
     for k, v in DEFAULTS.items():
         if isinstance(v, bool):
             cols[k] = F.coalesce(F.get_json_object(t, f"$.params.{k}").try_cast("boolean"), F.lit(v))
-        elif isinstance(v, str):
-            cols[k] = F.coalesce(F.get_json_object(t, f"$.params.{k}"), F.lit(v))
+        elif k == "biasMode":
+            said = F.get_json_object(t, "$.params.biasMode")
+            cols[k] = F.when(said.isin("real", "add_option"), said).otherwise(v)
         elif k in ("lo", "hi"):
             cols[k] = number(t, f"$.params.x1Range[{0 if k == 'lo' else 1}]", v)
         else:
-            cols[k] = number(t, f"$.params.{k}", v, lo=0.0 if isinstance(v, int) else None, whole=isinstance(v, int))
+            cols[k] = number(t, f"$.params.{k}", v, *LIMITS.get(k, (None, None)), whole=isinstance(v, int))
     version = F.get_json_object(t, "$.version")
-    return configs.withColumns(cols | {"version": version, "known_version": F.coalesce(version.isin("1.2.0", "1.1.1", "1.1.0"), F.lit(False))})
+    return configs.withColumns(cols | {"version": version, "known_version": F.coalesce(version.isin(*PAYOFF_VERSIONS), F.lit(False))})
 
 
-def app_config(spark, markers: DataFrame, settings: dict) -> DataFrame:
-    """One row ``value``: the configuration's JSON, settings of the list only, so no key leaves."""
+def payoff_toggles(configs: DataFrame, text: str = "value", default: tuple[str, ...] = ("showY1", "showY6", "showY7", "showY8", "showY9")) -> DataFrame:
+    """Adds the columns showY1 to showY11; those in ``default`` are on where a configuration says nothing."""
+    return configs.withColumns({k: F.coalesce(F.get_json_object(text, f"$.toggles.{k}").try_cast("boolean"), F.lit(k in default)) for k in TOGGLES})
+
+
+def payoff_config(scenarios: DataFrame, exported_at: str) -> DataFrame:
+    """Adds ``value``, the configuration's JSON of a row with the parameters and toggles; the caller gives the time."""
+    params = F.struct(*[k for k in DEFAULTS if k not in ("lo", "hi")], F.array("lo", "hi").alias("x1Range"))
+    return scenarios.withColumn("value", F.to_json(F.struct(F.lit(PAYOFF_VERSIONS[0]).alias("version"), F.lit(exported_at).alias("exported_at"), params.alias("params"), F.struct(*TOGGLES).alias("toggles"))))
+
+
+def json_status(text: Column) -> Column:
+    """"empty", "invalid" or "ok" """
+    return F.when(text.isNull() | (F.trim(text) == ""), "empty").when(F.try_parse_json(text).isNull(), "invalid").otherwise("ok")
+
+
+def app_config(spark, markers: DataFrame, settings: dict, results: dict | None = None) -> DataFrame:
+    """One row ``value``: the configuration's JSON. Settings and results of the lists only, so no key leaves; values keep
+    their kinds."""
     kept = {k: v for k, v in settings.items() if k in SETTINGS}
-    rows = markers.agg(F.sort_array(F.collect_list(F.struct("idx", "lat", "lng", "active"))).alias("markers"))
-    return rows.select(F.to_json(F.struct(F.lit(2).alias("format_version"), "markers", F.from_json(F.lit(json.dumps({k: str(v) for k, v in kept.items()})), "map<string,string>").alias("settings"))).alias("value"))
+    done = {k: (results or {}).get(k) for k in RESULTS}
+    rows = markers.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("idx", "lat", "lng", "active"))), lambda m: F.struct(m["lat"].alias("lat"), m["lng"].alias("lng"), m["active"].alias("active")))).alias("m"))
+    dumped = lambda x: F.lit(json.dumps(x, ensure_ascii=False, separators=(",", ":")))
+    return rows.select(F.concat(F.lit('{"format_version":2,"markers":'), "m", F.lit(',"settings":'), dumped(kept), F.lit(',"precomputed_results":'), dumped(done), F.lit("}")).alias("value"))
+
+
+def read_app_config(configs: DataFrame, text: str = "value") -> DataFrame:
+    """Adds status, markers (array<struct<lat, lng, active>>; null if none are given), settings and results, maps of the
+    lists' keys to JSON texts: results of the old flat form stand before those in ``precomputed_results``."""
+    raw = F.map_from_entries(F.filter(F.map_entries(F.from_json(text, "map<string,string>")), lambda e: e["value"].isNotNull()))
+    inner = lambda k: F.coalesce(F.from_json(F.get_json_object(text, f"$.{k}"), "map<string,string>"), F.from_json(F.lit("{}"), "map<string,string>"))
+    keep = lambda m, names: F.map_filter(m, lambda k, v: k.isin(*names) & v.isNotNull())
+    flat = keep(F.coalesce(raw, F.from_json(F.lit("{}"), "map<string,string>")), RESULTS)
+    nested = keep(inner("precomputed_results"), RESULTS)
+    results = F.map_concat(F.map_filter(nested, lambda k, v: ~F.map_contains_key(flat, k)), flat)
+    return configs.withColumns({"status": json_status(F.col(text)), "markers": F.from_json(F.get_json_object(text, "$.markers"), "array<struct<lat:double,lng:double,active:boolean>>"), "settings": keep(inner("settings"), SETTINGS), "results": results})
 
 
 def bundle(config: str, cache: bytes, created: str) -> bytes:
@@ -68,7 +115,8 @@ def bundle_status(data: bytes) -> tuple[str, list[str]]:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             if lost := sorted(set(MEMBERS) - set(z.namelist())):
                 return "refused", [f"missing {m}" for m in lost]
-            manifest, cache = json.loads(z.read("manifest.json")), z.read("cache/cache.zip")
+            large = z.getinfo("cache/cache.zip").file_size > MAX_CACHE_BYTES  # looked at before it is unpacked
+            manifest, cache = json.loads(z.read("manifest.json")), b"" if large else z.read("cache/cache.zip")
             config = z.read("config/config.json")
     except (zipfile.BadZipFile, ValueError) as e:
         return "refused", [str(e)]
@@ -77,8 +125,8 @@ def bundle_status(data: bytes) -> tuple[str, list[str]]:
     sums, reasons = manifest.get("integrity_checksums", {}), []
     if sums.get("config/config.json") != hashlib.sha256(config).hexdigest():
         return "refused", ["the configuration doesn't match its checksum"]
-    if len(cache) > MAX_CACHE_BYTES:
-        reasons, cache = ["the cache is too large"], b""
+    if large:
+        reasons = ["the cache is too large"]
     if sums.get("cache/cache.zip") != hashlib.sha256(cache).hexdigest():
         reasons.append("the cache doesn't match its checksum")
     return ("config only" if reasons else "ok"), reasons
