@@ -73,8 +73,8 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         )
 
     both = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    found = docs.withColumn("_w", let(words_of(F.col(text)), counts)).withColumn("_l", both)
-    return found.withColumns({c: F.col(f"_w.{c}") for c in ("n_words", "word_chars", "n_repeat_words")} | {c: F.col(f"_l.{c}") for c in ("n_lines", "n_dup_lines")} | {"n_symbols": F.length(F.regexp_replace(whole, "[^#*$%&|<>]+", "")).cast("long")}).drop("_w", "_l")
+    found = docs.withColumn("_terraline_words", let(words_of(F.col(text)), counts)).withColumn("_terraline_lines", both)
+    return found.withColumns({c: F.col(f"_terraline_words.{c}") for c in ("n_words", "word_chars", "n_repeat_words")} | {c: F.col(f"_terraline_lines.{c}") for c in ("n_lines", "n_dup_lines")} | {"n_symbols": F.length(F.regexp_replace(whole, "[^#*$%&|<>]+", "")).cast("long")}).drop("_terraline_words", "_terraline_lines")
 
 
 def base_failed() -> Column:
@@ -104,9 +104,9 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", keep_text:
     are few, else by a join that can split a host of many rows."""
     counted = with_counts(docs, text).withColumn("base_failed", base_failed()).withColumn("soft_failed", soft_failed())
     counted = written(counted.drop("kept", "host_rate", *([] if keep_text else [text])), "counted")
-    rates = written(host_rates(counted, host).select(F.col("host").alias("_host"), "host_rate"), "host-rates")
+    rates = written(host_rates(counted, host).select(F.col("host").alias("_terraline_host"), "host_rate"), "host-rates")
     if fits(rates, MAX_BROADCAST_HOSTS):
         rates = F.broadcast(rates)
-    joined = counted.join(rates, F.col(host).eqNullSafe(F.col("_host")), "left").drop("_host")
+    joined = counted.join(rates, F.col(host).eqNullSafe(F.col("_terraline_host")), "left").drop("_terraline_host")
     kept = ~F.col("base_failed") & (F.col("host_rate") <= max_host_rate) & (~F.col("soft_failed") | (F.col("host_rate") < trusted_host_rate))
     return joined.withColumn("kept", kept)
