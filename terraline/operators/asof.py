@@ -11,16 +11,18 @@ CASCADE = (("1m", 2_700, 60), ("5m", 7_200, 3_600), ("15m", 21_600, 7_200), ("60
 
 def asof(left: DataFrame, right: DataFrame, by: str, ts: str, value: str, earliest: bool = False, out: str = "asof_value") -> DataFrame:
     """Adds the last ``value`` at or before each left row's time; with ``earliest``, the key's first value where none is.
-    One union and one window: both sides shuffle once by the key, and no row meets all rows of its key."""
+    One union and one window that keeps a single row: both sides shuffle once by the key, and no row meets all rows of its
+    key."""
     both = left.withColumns({"_side": F.lit(1), "_value": F.lit(None).cast(right.schema[value].dataType)}).unionByName(
         right.select(by, ts, F.col(value).alias("_value"), F.lit(0).alias("_side")), allowMissingColumns=True
     )
     upto = Window.partitionBy(by).orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, 0)
     found = F.last(F.when(F.col("_side") == 0, F.struct("_value")), ignorenulls=True).over(upto)
-    if earliest:
-        all_rows = Window.partitionBy(by).orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        found = F.coalesce(found, F.first(F.when(F.col("_side") == 0, F.struct("_value")), ignorenulls=True).over(all_rows))
-    return both.withColumn(out, found["_value"]).where("_side = 1").drop("_side", "_value")
+    answered = both.withColumn("_found", found).where("_side = 1").drop("_side", "_value")
+    if earliest:  # a row a key, where the window's partitions lie already
+        firsts = right.groupBy(F.col(by).alias("_by")).agg(F.min_by(F.struct(F.col(value).alias("_value")), ts).alias("_first"))
+        answered = answered.join(firsts, F.col(by) == F.col("_by"), "left").withColumn("_found", F.coalesce("_found", "_first")).drop("_by", "_first")
+    return answered.withColumn(out, F.col("_found._value")).drop("_found")
 
 
 def cascade(requests: DataFrame, bars: DataFrame, key: str = "ticker", request_id: str = "request_id") -> DataFrame:
