@@ -20,6 +20,16 @@ OP5 = """with v as (select vec_id, list_transform(embedding, lambda x: floor(256
   s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
   select query_id, cast(rank as integer) as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5"""
 
+#: Bytes are pairs of hexadecimal digits here; every window of 100 that is not its first occurrence covers its bytes.
+OP6 = """with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+  w as (select doc_id, i, substr(h, 2 * i + 1, 200) as s from (select doc_id, h, unnest(range(0, greatest(length(h) // 2 - 99, 0))) as i from d)),
+  f as (select doc_id, i from (select doc_id, i, row_number() over (partition by s order by doc_id, i) as k from w) where k > 1),
+  g as (select doc_id, i, coalesce(i > max(i + 100) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), true) as begins from f),
+  r as (select doc_id, min(i) as a, max(i) + 100 as b from (select doc_id, i, count_if(begins) over (partition by doc_id order by i) as k from g) group by doc_id, k),
+  p as (select *, lag(b, 1, 0) over (partition by doc_id order by a) as before from r),
+  k as (select p.doc_id, sum(b - a) as n_removed, count(*) as n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) || substr(any_value(h), 2 * max(b) + 1) as kept from p join d on d.doc_id = p.doc_id group by 1)
+  select d.doc_id, length(h) // 2 as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256 from d left join k on k.doc_id = d.doc_id"""
+
 OP7 = r"""with t as (select doc_id, source, coalesce(text, '') as text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from documents),
   g as (select doc_id, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] as k from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from t)),
   r as (select doc_id, i from (select *, count(*) over (partition by doc_id, k) as n from g) where n > 1),
@@ -67,4 +77,4 @@ def op8(weights: dict[str, dict[str, int]], seed: int, max_epochs: int) -> str:
   select * from (select doc_id, domain, lang, source, cast(epochs + case when rest > 0 and upto <= rest then 1 else 0 end as bigint) as n_copies from s) where n_copies > 0"""
 
 
-ORACLES = {"op4_secrets": OP4, "op5_topk": OP5, "op7_quality_rules": OP7}
+ORACLES = {"op4_secrets": OP4, "op5_topk": OP5, "op6_substrings": OP6, "op7_quality_rules": OP7}
