@@ -9,6 +9,23 @@ from pyspark.sql import functions as F
 MARK = "﻿"
 
 
+def documents(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
+    """(name, value) of the text files below a folder whose names end so, in any case; each is one value."""
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    return files.select(F.col("_metadata.file_name").alias("name"), "value").where(F.lower("name").endswith(suffix))
+
+
+def archives(spark: SparkSession, path: str, suffix: str = ".zip") -> DataFrame:
+    """(name, length, sha256, content) of the binary files below a folder whose names end so."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select(F.col("_metadata.file_name").alias("name"), "length", F.sha2("content", 256).alias("sha256"), "content").where(F.lower("name").endswith(suffix))
+
+
+def preview(texts: DataFrame, text: str = "value", most: int = 500) -> DataFrame:
+    """Adds the first characters of each text."""
+    return texts.withColumn("preview", F.substring(text, 1, most))
+
+
 def json_files(entries: DataFrame) -> DataFrame:
     """(name, url) of the files ending in .json, in any case, of a listing (type, name, download_url)."""
     return entries.where((F.col("type") == "file") & F.lower("name").endswith(".json")).select("name", F.col("download_url").alias("url"))

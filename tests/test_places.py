@@ -178,6 +178,12 @@ def test_files(spark, tmp_path):
     assert next((tmp_path / "csv").glob("part-*")).read_bytes().startswith(b"\xef\xbb\xbfcache_key,x\n")
     names = spark.createDataFrame([("osm_graph_a.parquet",), ("../osm_graph_a.parquet",), ("x.parquet",)], "name string")
     assert [r.valid for r in listings.valid_members(names).collect()] == [True, False, False]
+    (tmp_path / "texts").mkdir()
+    (tmp_path / "texts" / "a.JSON").write_text('{"ก":\n1}', encoding="utf-8")
+    (tmp_path / "texts" / "b.txt").write_text("no")
+    (tmp_path / "texts" / "c.zip").write_bytes(b"zip")
+    assert [(r.name, r.value, r.preview) for r in listings.preview(listings.documents(spark, f"{tmp_path}/texts"), most=3).collect()] == [("a.JSON", '{"ก":\n1}', '{"ก')]
+    assert [(r.name, r.length, bytes(r.content)) for r in listings.archives(spark, f"{tmp_path}/texts").collect()] == [("c.zip", 3, b"zip")]
     tables.save_graph(g, g, str(tmp_path), "k")
     assert tables.load_graph(spark, str(tmp_path), "k")[1].count() == 2
     b = spark.createDataFrame([("A", "1m", "2025-01-01 00:00:00", 1.0), ("A", "1m", "2025-01-01 00:01:00", 2.0), ("B", "1m", "2025-01-01 00:00:00", 3.0)], "ticker string, interval string, ts string, close double").withColumn("ts", F.to_timestamp("ts"))
