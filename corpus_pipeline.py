@@ -20,8 +20,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: 5-word shingles at a similarity of 0.8 or more. Fingerprints within
-    6 bits are tried first; what they leave is found by shared shingles."""
-    return simhash.without_near_duplicates(docs, shingle=5, radius=6).select(*COLUMNS)
+    4 bits are tried first; what they leave is found by shared shingles."""
+    return simhash.without_near_duplicates(docs, shingle=5, radius=4).select(*COLUMNS)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

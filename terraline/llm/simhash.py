@@ -188,11 +188,11 @@ def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str =
     id, then the smallest hash of the text; equal rows are one."""
     from terraline.llm.similar_sets import groups
 
-    marked = docs.withColumn("_row", F.xxhash64(F.col(text)))
-    of = written(groups(marked.select(F.col(doc_id).alias("doc_id"), "_row", F.col(text).alias("text")), shingle, radius), "groups")
+    marked = docs.withColumn("_terraline_row", F.xxhash64(F.col(text)))
+    of = written(groups(marked.select(F.col(doc_id).alias("doc_id"), F.col("_terraline_row").alias("_row"), F.col(text).alias("text")), shingle, radius), "groups")
     first = of.groupBy("part").agg(F.min(F.struct("doc_id", "_row")).alias("first"))
-    gone = written(of.join(first, "part").where(~F.struct("doc_id", "_row").eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("_id"), F.col("_row").alias("_gone")).distinct(), "near-copies")
+    gone = written(of.join(first, "part").where(~F.struct("doc_id", "_row").eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("_terraline_id"), F.col("_row").alias("_terraline_gone")).distinct(), "near-copies")
     gone = F.broadcast(gone) if fits(gone, MAX_BROADCAST_IDS) else gone
-    kept = marked.join(gone, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_gone")), "left_anti")
+    kept = marked.join(gone, F.col(doc_id).eqNullSafe(F.col("_terraline_id")) & F.col("_terraline_row").eqNullSafe(F.col("_terraline_gone")), "left_anti")
     twice = of.groupBy("doc_id", "_row").count().where("count > 1").limit(1).count()
-    return (kept.dropDuplicates([doc_id, "_row"]) if twice else kept).drop("_row")
+    return (kept.dropDuplicates([doc_id, "_terraline_row"]) if twice else kept).drop("_terraline_row")

@@ -2,10 +2,15 @@
 
 Two sets this similar share a shingle among the first n - ceil(0.8 n) + 1 of each (n shingles in one fixed order), so
 buckets by these shingles miss no pair. Any order is right; shingles that are frequent in a sample of texts come last,
-which keeps what many texts share out of the buckets. Every link is verified by the whole sets.
+which keeps what many texts share out of the buckets. A pair that shares s first shingles has at most
+s + max(ceil(0.8 n) - 1, ceil(0.8 m) - 1) in common, and at most as many as its elements whose bit in a sketch of
+``BITS`` bits the other one has too, so most pairs that aren't similar go by these bounds; every link is verified by the
+whole sets.
 
 Groups are all that is wanted, so a pair is left out only where verified links join its ends already: first SimHash
-links are verified, then in each bucket the pairs with its first set of like size, then what is left between groups.
+links are verified, then, in two rounds, each set with the one of its buckets' leaders that it shares most with, then
+what is left between groups. A bucket's leader is the set that has most neighbours over all its buckets: the copies of a
+text may be less alike than 0.8 among themselves, but each is like the text that they were made from.
 
 Shingles and sets are told by 64-bit hashes. A text without words has the empty set; empty sets are equal.
 """
@@ -15,19 +20,21 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraline.llm.simhash import links, majority, shingle_hashes
 from terraline.operators.graph import connected_components
-from terraline.session import fits, written
+from terraline.session import discard, fits, written
 
 #: Texts that the order of shingles is taken from, and shingles that it tells apart from rare ones.
 SAMPLE, FREQUENT = 20_000, 100_000
 #: More sets to verify than this meet their texts by a join instead of a broadcast.
 MAX_BROADCAST_SETS = 100_000
-
-_FOUND = "a long, b long, key long, cls long, n int, place int, part long"
+#: Bits of a set's sketch.
+BITS = 1024
+#: A leader's pairs are verified so many to a group of rows.
+AT_ONCE = 1_000
 
 
 def _set(hashes: list[int]) -> np.ndarray:
@@ -39,6 +46,11 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
 
 
+def share_of(share: float, *columns: str) -> Column:
+    """Whether a row is in a sample by the hash of ``columns``; a share however small stays above nothing."""
+    return F.pmod(F.xxhash64(*columns), F.lit(2**53)) < int(share * 2**53)
+
+
 def frequent_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, and counts of the shingles that a sample of texts has most often."""
     share = min(1.0, SAMPLE / max(docs.count(), 1))
@@ -48,7 +60,7 @@ def frequent_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.nda
             found = [_set(shingle_hashes(text or "", shingle)) for text in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_pydict({"h": pa.array(np.concatenate([np.array([], np.uint64), *found]).view(np.int64))})
 
-    counts = docs.where(F.pmod(F.xxhash64("doc_id", "_row"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("c"))
+    counts = docs.where(share_of(share, "doc_id", "_row")).select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("c"))
     most = counts.where("c > 2").orderBy(F.desc("c"), "h").limit(FREQUENT).toPandas()
     hashes, times = most.h.to_numpy(np.int64).view(np.uint64), most.c.to_numpy(np.int64)
     order = np.argsort(hashes)
@@ -66,128 +78,204 @@ def _firsts(found: np.ndarray, hashes: np.ndarray, times: np.ndarray) -> np.ndar
 
 
 def _sets_of(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, _row, fp, cls, n, firsts): fingerprint, hash and size of each text's set and its first shingles."""
+    """(doc_id, _row, fp, cls, n, firsts, sketch): fingerprint, hash, size, first shingles and sketch of each text's set."""
     order = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, shingle))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            fps, classes, sizes, firsts = [], [], [], []
+            fps, classes, sizes, firsts, sketches = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 hashes = shingle_hashes(text or "", shingle)
                 found = _set(hashes)
                 fps.append(majority(hashes)), sizes.append(len(found))
                 classes.append(np.array(xxhash.xxh64_intdigest(found.tobytes()), np.uint64).view(np.int64).item())
                 firsts.append(_firsts(found, *order.value).view(np.int64) if len(found) else np.array([], np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "_row", "fp", "cls", "n", "firsts"])
+                bits = np.zeros(BITS, np.uint8)
+                bits[found % np.uint64(BITS)] = 1
+                sketches.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "_row", "fp", "cls", "n", "firsts", "sketch"])
 
-    return docs.select("doc_id", "_row", "text").mapInArrow(run, f"doc_id {kind}, _row long, fp long, cls long, n int, firsts array<long>")
+    return docs.select("doc_id", "_row", "text").mapInArrow(run, f"doc_id {kind}, _row long, fp long, cls long, n int, firsts array<long>, sketch binary")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (a, b) of sets that are similar. Only texts of these sets are read whole and shuffled."""
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    asked = written(classes.join(ids, "cls", "left_semi").select("cls", F.col("first.doc_id").alias("_id"), F.col("first._row").alias("_first")), "asked")
+    """The pairs (a, b) of sets that are similar. Only texts of these sets are read whole; each set is shuffled once for
+    every leader (a) that it is compared with, and a leader once for each ``AT_ONCE`` of its pairs."""
+    pairs = written(pairs.where("a <> b").distinct(), "pairs")
+    many = pairs.groupBy("a").agg(F.expr(f"cast(ceil(count(*) / {AT_ONCE}) as int)").alias("groups"))
+    leaders = many.select(F.col("a").alias("cls"), "a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("grp"), F.lit(0).alias("role"))
+    members = pairs.join(many, "a").select(F.col("b").alias("cls"), "a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("grp"), F.lit(1).alias("role"))
+    asked = leaders.union(members).join(classes.select("cls", F.col("first.doc_id").alias("_id"), F.col("first._row").alias("_first")), "cls")
+    asked = written(asked, "asked")
     asked = F.broadcast(asked) if fits(asked, MAX_BROADCAST_SETS) else asked
 
     def sets(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_set(shingle_hashes(t or "", shingle)).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["cls", "members"])
-
-    whole = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_first"))).select("cls", "text").mapInArrow(sets, "cls long, members binary")
-    whole = written(whole.dropDuplicates(["cls"]), "sets")
+            known: dict[str, bytes] = {}  # rows of one text are next to each other
+            found = []
+            for text in batch.column(4).to_pylist():
+                if text not in known:
+                    known = {text: _set(shingle_hashes(text or "", shingle)).tobytes()}
+                found.append(known[text])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.binary())], ["a", "grp", "role", "cls", "members"])
 
     def run(batches):
+        at, leader = None, None
         for batch in batches:
-            a, b = (batch.column(i).to_pylist() for i in (2, 3))
-            yield batch.select(["a", "b"]).filter(pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)], pa.bool_()))
+            left, right = [], []
+            for a, grp, role, cls, members in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if role == 0:
+                    at, leader = (a, grp), np.frombuffer(members, np.uint64)
+                elif at == (a, grp) and similar(leader, np.frombuffer(members, np.uint64)):
+                    left.append(a), right.append(cls)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
-    both = pairs.join(whole.select(F.col("cls").alias("a"), F.col("members").alias("x")), "a").join(whole.select(F.col("cls").alias("b"), F.col("members").alias("y")), "b")
-    return written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "similar")
+    texts = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_first")))
+    whole = texts.select("a", "grp", "role", "cls", "text").mapInArrow(sets, "a long, grp int, role int, cls long, members binary")
+    return written(whole.repartition("a", "grp").sortWithinPartitions("a", "grp", "role").mapInArrow(run, "a long, b long").distinct(), "similar")
 
 
-def _bucket_pairs(first_only: bool):
-    """Reads rows (key, cls, n, place, part) sorted by (key, n, cls), whole buckets at a time. Yields pairs of different
-    parts that may be similar: their sizes and what is left of both sets behind the shared shingle allow it. With
-    ``first_only`` the pairs with the first set of like size, and the rows of buckets of several parts."""
+def _pairs_in(open_rows: DataFrame, leaders: int | None) -> DataFrame:
+    """(a, b) that may be similar by the number of first shingles that they share: rows (key, cls, n, part, w or sketch)
+    of buckets; pairs of one part are left out. ``leaders``: only pairs (a, b) whose a is the leader (0), or the first that isn't in
+    its part (1), of like size in its bucket by the weight w, and of these the one that b shares most with."""
 
     def run(batches):
-        held = None
+        held, waiting, size = None, [], 0
         for batch in batches:
-            rows = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)]
-            rows = rows if held is None else [np.r_[x, y] for x, y in zip(held, rows)]
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            last = batch.column(4)
+            rows.append(np.frombuffer(b"".join(last.to_pylist()), np.uint64).reshape(-1, BITS // 64) if leaders is None else last.to_numpy(zero_copy_only=False))
+            rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
             if not len(rows[0]):
                 continue
             starts = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])
-            yield from some([x[: starts[-1]] for x in rows], starts)
+            for found in pairs([x[: starts[-1]] for x in rows], starts):
+                waiting.append(found)
+                size += len(found)
+                if size > 2_000_000:
+                    waiting = [counted(waiting)]
+                    size = len(waiting[0])
+                    if size > 1_000_000:
+                        yield batch_of(waiting[0])
+                        waiting, size = [], 0
             held = [x[starts[-1] :] for x in rows]
         if held is not None:
-            yield from some(held, np.array([0, len(held[0])]))
-
-    def batch_of(a, b, rows):
-        none = lambda k, kind: pa.nulls(k, kind)
-        kinds, m = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), len(rows[0])
-        cells = [pa.concat_arrays([none(len(a), kind), pa.array(x).cast(kind)]) for x, kind in zip(rows, kinds)]
-        ends = [pa.concat_arrays([pa.array(x, pa.int64()), none(m, pa.int64())]) for x in (a, b)]
-        return pa.RecordBatch.from_arrays(ends + cells, ["a", "b", "key", "cls", "n", "place", "part"])
-
-    def some(rows, starts):
-        nothing = [x[:0] for x in rows]
-        left, right, open_rows, size = [], [], [], 0
+            waiting += pairs(held, np.array([0, len(held[0])]))
+        if waiting:
+            yield batch_of(counted(waiting))
+
+    def counted(found: list[np.ndarray]) -> np.ndarray:
+        """Rows (a, na, b, nb, s) with the s of equal pairs summed: a task's pairs go on once, however many buckets they share."""
+        rows = np.concatenate(found)
+        order = np.lexsort((rows[:, 2], rows[:, 0]))
+        rows = rows[order]
+        first = np.flatnonzero(np.r_[True, (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 2] != rows[:-1, 2])]) if len(rows) else np.array([], int)
+        out = rows[first]
+        out[:, 4] = np.add.reduceat(rows[:, 4], first) if len(first) else 0
+        return out
+
+    def batch_of(rows: np.ndarray):
+        kinds = {"a": np.int64, "na": np.int32, "b": np.int64, "nb": np.int32, "s": np.int32}
+        return pa.RecordBatch.from_pydict({name: pa.array(rows[:, k].astype(kind)) for k, (name, kind) in enumerate(kinds.items())})
+
+    def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return np.c_[np.repeat(left[None, :], len(right), axis=0), right, np.ones(len(right), np.int64)]
+
+    def pairs(rows, starts):
         several = np.flatnonzero(np.diff(starts) > 1)
         for start, end in zip(starts[several].tolist(), starts[several + 1].tolist()):
-            _, cls, n, place, part = (x[start:end] for x in rows)
+            cls, n, part, w = (x[start:end] for x in rows[1:])
             if (part == part[0]).all():
                 continue
-            if first_only and end - start > 2:
-                open_rows.append(np.arange(start, end))
-            at = 0
-            while at < len(n) - 1:
-                stop = int(np.searchsorted(n, 5 * n[at] // 4, side="right"))  # sizes up to 5/4 of this one
-                near = np.arange(at + 1, stop)
-                near = near[part[near] != part[at]]
-                near = near[9 * np.minimum(n[at] - place[at], n[near] - place[near]) >= 4 * (n[at] + n[near])]
-                if len(near):
-                    left.append(np.full(len(near), cls[at])), right.append(cls[near])
-                    size += len(near)
-                at = max(stop, at + 1) if first_only else at + 1
-                if size > 100_000:
-                    yield batch_of(np.concatenate(left), np.concatenate(right), nothing)
-                    left, right, size = [], [], 0
-        kept = np.concatenate(open_rows) if open_rows else np.array([], np.int64)
-        if left or len(kept):
-            yield batch_of(np.concatenate(left) if left else [], np.concatenate(right) if right else [], [x[kept] for x in rows])
-
-    return run
-
-
-def groups(docs: DataFrame, shingle: int = 5, radius: int = 6) -> DataFrame:
+            both = np.c_[cls, n]
+            if leaders is None:
+                order = np.lexsort((cls, n))
+                both, part, n, sketch = both[order], part[order], n[order].astype(np.int64), w[order]
+                for at in range(len(both) - 1):
+                    near = np.arange(at + 1, np.searchsorted(n, 5 * n[at] // 4, side="right"))
+                    near = near[part[near] != part[at]]
+                    lost = [np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (sketch[at] & ~sketch[near], sketch[near] & ~sketch[at])]
+                    near = near[9 * np.minimum(n[at] - lost[0], n[near] - lost[1]) >= 4 * (n[at] + n[near])]
+                    if len(near):
+                        yield joined(both[at], both[near])
+                continue
+            waiting = np.lexsort((cls, -w))
+            while len(waiting) > 1:
+                first = waiting[0]
+                like = 4 * np.maximum(n[waiting], n[first]) <= 5 * np.minimum(n[waiting], n[first])
+                if leaders:
+                    others = waiting[like & (part[waiting] != part[first])]
+                    first = others[0] if len(others) else first
+                found = waiting[like & (part[waiting] != part[first])]
+                if len(found):
+                    yield joined(both[first], both[found])
+                waiting = waiting[~like]
+
+    found = open_rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, na int, b long, nb int, s int")
+    most = lambda c: f"cast(ceil(4 * {c} / 5) as int) - 1"
+    able = found.groupBy("a", "na", "b", "nb").agg(F.sum("s").alias("s")).where(f"9 * (s + greatest({most('na')}, {most('nb')})) >= 4 * (na + nb)")
+    if leaders is None:
+        return able.select("a", "b")
+    return able.groupBy("b").agg(F.max_by("a", F.struct("s", "a")).alias("a")).select("a", "b")
+
+
+def _several(batches):
+    """The rows of buckets with sets of several parts, and how many sets these have (size), from rows sorted by key."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        if not table.num_rows:
+            continue
+        keys = table["key"].to_numpy()
+        cut = int(np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])[-1])
+        yield from _open(table.slice(0, cut), keys[:cut])
+        held = table.slice(cut)
+    if held is not None:
+        yield from _open(held, held["key"].to_numpy())
+
+
+def _open(table: pa.Table, keys: np.ndarray):
+    if len(keys):
+        part = table["part"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        mixed, sizes = np.minimum.reduceat(part, starts) != np.maximum.reduceat(part, starts), np.diff(np.r_[starts, len(keys)])
+        table = table.append_column("size", pa.array(np.repeat(sizes, sizes).astype(np.int32)))
+        yield from table.filter(pa.array(np.repeat(mixed, sizes))).combine_chunks().to_batches()
+
+
+def groups(docs: DataFrame, shingle: int = 5, radius: int = 4) -> DataFrame:
     """(doc_id, _row, part) of every row of docs (doc_id, _row, text): ``part`` names the group that links of a
     similarity of 0.8 or more reach. Fingerprints within ``radius`` bits are verified first."""
     marked = written(_sets_of(docs, shingle), "shingle-sets")
     first = F.min(F.struct("doc_id", "_row")).alias("first")
-    classes = written(marked.groupBy("cls").agg(F.min("fp").alias("fp"), F.first("n").alias("n"), first, F.first("firsts").alias("firsts")), "set-classes")
+    classes = written(marked.groupBy("cls").agg(F.min("fp").alias("fp"), F.first("n").alias("n"), first, F.first("firsts").alias("firsts"), F.first("sketch").alias("sketch")), "set-classes")
 
     by_fp = classes.groupBy("fp").agg(F.min("cls").alias("least"))
     near = links(by_fp.select("fp"), radius)
     ends = near.join(by_fp.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
     equal = classes.join(by_fp, "fp").select(F.col("least").alias("a"), F.col("cls").alias("b"))
-    found = _verified(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).union(equal), docs, classes, shingle)
+    found = _verified(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(equal), docs, classes, shingle)
 
     def parts(linked: DataFrame) -> DataFrame:
-        return written(connected_components(linked).withColumnRenamed("node", "cls"), "parts")
+        return written(connected_components(linked, "a", "b").withColumnRenamed("node", "cls"), "parts")
 
     part = lambda rows, of: rows.join(of, "cls", "left").withColumn("part", F.coalesce("component", "cls")).drop("component")
-    links_of = lambda df: df.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    columns = ["key", "cls", "n", "place", "part"]
-    of = parts(links_of(found))
-    rows = part(classes.select("cls", "n", "firsts"), of).select("cls", "n", "part", F.posexplode("firsts").alias("place", "key")).select(columns)
-    buckets = written(rows.repartition("key").sortWithinPartitions("key", "n", "cls").mapInArrow(_bucket_pairs(True), _FOUND), "shingle-buckets")
-    found = found.union(_verified(buckets.where("a is not null").select("a", "b"), docs, classes, shingle))
-
-    of = parts(links_of(found))
-    rest = part(buckets.where("a is null").select("key", "cls", "n", "place"), of).select(columns)
-    more = rest.repartition("key").sortWithinPartitions("key", "n", "cls").mapInArrow(_bucket_pairs(False), _FOUND)
-    found = found.union(_verified(more.select("a", "b"), docs, classes, shingle))
-    return part(marked.select("doc_id", "_row", "cls"), parts(links_of(found))).select("doc_id", "_row", "part")
+    of = parts(found)
+    rows = part(classes.select("cls", "n", "firsts"), of).select(F.explode("firsts").alias("key"), "cls", "n", "part")
+    columns = "key long, cls long, n int, part long, size int"
+    buckets = written(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_several, columns), "shingle-buckets")
+    weights = written(buckets.groupBy("cls").agg(F.sum("size").alias("w")), "weights")
+    for leaders in (0, 1, None):
+        rows = part(buckets.select("key", "cls", "n"), of).select("key", "cls", "n", "part")
+        if leaders is None:  # what is left in buckets of several parts
+            rows = written(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_several, columns), "shingle-buckets").drop("size").join(classes.select("cls", "sketch"), "cls").select("key", "cls", "n", "part", "sketch")
+        else:
+            rows = rows.join(weights, "cls").select("key", "cls", "n", "part", "w")
+        found = found.union(_verified(_pairs_in(rows, leaders), docs, classes, shingle))
+        discard(of)
+        of = parts(found)
+    discard(buckets)
+    return part(marked.select("doc_id", "_row", "cls"), of).select("doc_id", "_row", "part")

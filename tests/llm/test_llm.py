@@ -198,7 +198,7 @@ def test_html_copies(spark):
 
 @pytest.mark.parametrize("frequent", [100_000, 0])
 def test_near_copies_at_a_similarity(spark, monkeypatch, frequent):
-    """Groups against brute force over sets of 5-word shingles, with pairs beyond 6 bits and a line that many share."""
+    """Groups against brute force over sets of 5-word shingles, with pairs beyond 4 bits and a line that many share."""
     from terraline.llm import similar_sets
 
     monkeypatch.setattr(similar_sets, "FREQUENT", frequent)
@@ -219,8 +219,8 @@ def test_near_copies_at_a_similarity(spark, monkeypatch, frequent):
     for i, a in enumerate(sets):
         for j in range(i):
             if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
-                far += ((prints[i] ^ prints[j]) & (2**64 - 1)).bit_count() > 6
+                far += ((prints[i] ^ prints[j]) & (2**64 - 1)).bit_count() > 4
                 x, y = part[i], part[j]
                 part = [min(x, y) if p in (x, y) else p for p in part]
-    got = simhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), radius=6)
+    got = simhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), radius=4)
     assert far > 10 and {r.doc_id for r in got.collect()} == set(part)
