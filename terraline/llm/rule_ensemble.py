@@ -95,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(label).cast("double").alias("label"))
     n = known.count()
     if n > max_rows:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**53)) < 2**53 * max_rows // n)
     rows = docs.select("doc_id", text).join(F.broadcast(known), "doc_id").select("label", statistics(F.col(text)).alias("s"))
     sample = written(rows.select("label", "s.*"), "sample")
     share, kinds = sample.agg(F.avg("label"), F.count_distinct("label")).first()
