@@ -1,10 +1,14 @@
 """Secret scans through a trigram inverted index, in Spark expressions only.
 
 From each rule's regular expression a Boolean trigram query is derived: the literal runs that any match must hold, as
-alternatives of trigram sets in lower case. The index has a posting (trigram, doc_id) for the trigrams that some query
-names; a query's postings are intersected by document, the documents that are left are verified with the expression
-itself, and rules without mandatory trigrams verify every document. Trigrams are looked for in lower case, so the
-candidates are a superset and the verified spans are exact.
+alternatives of trigram sets in lower case. The index is a table of postings (trigram, doc_id) for the trigrams that some
+query names, written once and read by trigram; a query's postings are intersected by document, the documents that are
+left are verified with the expression itself, and rules without mandatory trigrams verify every document. Trigrams are
+looked for in lower case, so the candidates are a superset and the verified spans are exact.
+
+Candidates are few beside the documents: they go to the texts by broadcast, as an id and a number whose bits are the
+kinds, if they were counted below ``MAX_BROADCAST_CANDIDATES``, and texts don't move. Beyond that, texts and candidates
+meet in a shuffle by id.
 
 Spans are code points, end exclusive, leftmost and non-overlapping for each rule. Defined results: a null text is empty;
 a null doc_id is a value like any other; rows that repeat a doc_id share candidates and are verified each by itself;
@@ -21,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraline.llm.quality_rules import let
+from terraline.session import fits, written
 
 
 @dataclass(frozen=True)
@@ -45,6 +50,8 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 
+#: More candidates than this (an id and a number each) meet the texts by a shuffle instead of a broadcast.
+MAX_BROADCAST_CANDIDATES = 200_000
 #: Alternatives that a literal run may have before it is cut.
 MAX_ALTERNATIVES = 64
 
@@ -105,12 +112,13 @@ def trigram_index(docs: DataFrame, trigrams: list[str], doc_id: str = "doc_id",
 
 
 def candidates(index: DataFrame, queries: dict[str, list[frozenset[str]]]) -> DataFrame:
-    """(doc_id, kinds): the kinds whose trigram query a document's postings meet. The queries are a fixed small table;
-    a document's postings are summed as bits, so what is shuffled is a row for each document and clause."""
-    rows = [(t, kind, n, 1 << k, (1 << len(clause)) - 1) for kind, clauses in queries.items() for n, clause in enumerate(clauses) for k, t in enumerate(sorted(clause))]
-    terms = F.broadcast(index.sparkSession.createDataFrame(rows, "trigram string, kind string, clause int, bit long, all_bits long"))
+    """(doc_id, kinds): of the kinds, by their place in ``queries`` as bits, whose trigram query a document's postings
+    meet. The queries are a fixed small table; what is shuffled is a row for each document and clause."""
+    places = {kind: place for place, kind in enumerate(queries)}
+    rows = [(t, 1 << places[kind], n, 1 << k, (1 << len(clause)) - 1) for kind, clauses in queries.items() for n, clause in enumerate(clauses) for k, t in enumerate(sorted(clause))]
+    terms = F.broadcast(index.sparkSession.createDataFrame(rows, "trigram string, kind long, clause int, bit long, all_bits long"))
     met = index.join(terms, "trigram").groupBy("doc_id", "kind", "clause").agg(F.bit_or("bit").alias("bits"), F.max("all_bits").alias("all_bits"))
-    return met.where("bits = all_bits").groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
+    return met.where("bits = all_bits").groupBy("doc_id").agg(F.bit_or("kind").alias("kinds"))
 
 
 def spans_of(text: Column, rule: Rule, place: int) -> Column:
@@ -136,15 +144,27 @@ def spans_of(text: Column, rule: Rule, place: int) -> Column:
     return let(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), split)
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def queries_of(rules: tuple[Rule, ...]) -> dict[str, list[frozenset[str]]]:
+    """Trigram queries by kind, of the rules that have mandatory trigrams."""
+    return {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
+
+
+def indexed(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The index of ``docs`` for these rules, written; ``scan`` reads it as often as is wanted."""
+    trigrams = sorted({t for clauses in queries_of(rules).values() for c in clauses for t in c})
+    return written(trigram_index(docs, trigrams, doc_id, text).sortWithinPartitions("trigram"), "trigram-index")
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text", index: DataFrame | None = None) -> DataFrame:
     """Adds ``found``: array<struct<start, place, end, kind>> of all spans by start, then by the rules' order."""
-    queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
-    trigrams = sorted({t for clauses in queries.values() for c in clauses for t in c})
-    kinds = candidates(trigram_index(docs, trigrams, doc_id, text), queries).withColumnRenamed("doc_id", "_id")
-    joined = docs.drop("found", "_id", "kinds").join(kinds, F.col(doc_id).eqNullSafe(F.col("_id")), "left")
+    queries = queries_of(rules)
+    kinds = written(candidates(indexed(docs, rules, doc_id, text) if index is None else index, queries).withColumnRenamed("doc_id", "_terraline_id").withColumnRenamed("kinds", "_terraline_kinds"), "candidates")
+    kinds = F.broadcast(kinds) if fits(kinds, MAX_BROADCAST_CANDIDATES) else kinds
+    joined = docs.drop("found", "_terraline_id", "_terraline_kinds").join(kinds, F.col(doc_id).eqNullSafe(F.col("_terraline_id")), "left")
     whole = F.coalesce(F.col(text), F.lit(""))
-    each = [F.when(F.array_contains("kinds", r.kind), spans_of(whole, r, n)).otherwise(F.array().cast("array<struct<start:int,place:int,end:int,kind:string>>")) if r.kind in queries else spans_of(whole, r, n) for n, r in enumerate(rules)]
-    return joined.withColumn("found", F.sort_array(F.concat(*each))).drop("_id", "kinds")
+    asked = {kind: F.coalesce(F.col("_terraline_kinds").bitwiseAND(1 << place) != 0, F.lit(False)) for place, kind in enumerate(queries)}
+    each = [F.when(asked[r.kind], spans_of(whole, r, n)).otherwise(F.array().cast("array<struct<start:int,place:int,end:int,kind:string>>")) if r.kind in asked else spans_of(whole, r, n) for n, r in enumerate(rules)]
+    return joined.withColumn("found", F.sort_array(F.concat(*each))).drop("_terraline_id", "_terraline_kinds")
 
 
 def spans_text(found: Column) -> Column:
