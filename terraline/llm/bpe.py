@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pre-tokens and whole words kept with their ids in each Python worker (about 250 MB); beyond it the memory starts anew.
-REMEMBERED, REMEMBERED_WORDS = 900_000, 200_000
+#: Pre-tokens and whole words kept with their ids in each Python worker (about 120 MB); beyond it the memory starts anew.
+REMEMBERED, REMEMBERED_WORDS = 400_000, 100_000
 
 
 def byte_letters() -> dict[int, str]:
