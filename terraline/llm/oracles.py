@@ -77,4 +77,25 @@ def op8(weights: dict[str, dict[str, int]], seed: int, max_epochs: int) -> str:
   select * from (select doc_id, domain, lang, source, cast(epochs + case when rest > 0 and upto <= rest then 1 else 0 end as bigint) as n_copies from s) where n_copies > 0"""
 
 
-ORACLES = {"op4_secrets": OP4, "op5_topk": OP5, "op6_substrings": OP6, "op7_quality_rules": OP7}
+#: Units are list elements; chr(10) can be one, so they are matched with (?s).
+OP11 = """with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u, sha256('1:' || coalesce(cast(doc_id as varchar), 'null')) as h from documents),
+  x as (select *, len(u) as n, ('0x' || substr(h, 1, 8))::bigint as h1, ('0x' || substr(h, 9, 8))::bigint as h2, ('0x' || substr(h, 17, 8))::bigint as h3, ('0x' || substr(h, 25, 8))::bigint as h4 from d),
+  c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b from x),
+  f as (select *, case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form,
+    array_to_string(u[1:a], '') as prefix, array_to_string(u[a + 1:b], '') as middle, array_to_string(u[b + 1:], '') as suffix from c),
+  o as (select *, case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end as output from f)
+  select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars, sha256(output) as output_sha256, sha256(t) as restored_sha256 from o"""
+
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+OP12 = f"""with d as (select doc_id, len(t) as n, t from (select doc_id, {_TERMS} as t from documents)),
+  g as (select count_if(n > 0)::bigint as big_n, sum(n)::bigint as big_l from d),
+  p as (select doc_id, n, term, count(*) as tf from (select doc_id, n, unnest(t) as term from d) group by all),
+  q as (select distinct item_id, unnest({_TERMS}) as term from benchmark),
+  w as (select term, cast(floor(1000 * ln((2.0e0 * big_n + 2) / (2.0e0 * count(*) + 1))) as bigint) as w from p, g group by term, big_n),
+  s as (select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // big_l)))) as bigint) as score from q join w using (term) join p using (term), g group by all)
+  select item_id, cast(rank as integer) as rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s where score > 0) where rank <= 50"""
+
+OP13 = """with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents)
+  select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size, row_number() over (partition by t order by doc_id desc nulls last) = 1 as kept, sha256(t) as text_sha256 from d"""
+
+ORACLES = {"op4_secrets": OP4, "op5_topk": OP5, "op6_substrings": OP6, "op7_quality_rules": OP7, "op11_fill_middle": OP11, "op12_lexical": OP12, "op13_exact_dedup": OP13}

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraline.llm import bpe, html_text, mixing, oracles, quality_rules, rule_ensemble, secrets, simhash, substrings, token_counts, topk
+from terraline.llm import bpe, exact_dedup, fill_middle, html_text, lexical, mixing, oracles, quality_rules, rule_ensemble, secrets, simhash, substrings, token_counts, topk
+from terraline.session import run_folder
 
 
 def vocabulary(name: str) -> str:
@@ -79,5 +82,24 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_rule_ensemble, op4_secrets, op5_topk, op6_substrings, op7_quality_rules, op8_mixing, op9_simhash, op10_html)}
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = fill_middle.fill_in_middle(docs, seed=1, plain_share=10, suffix_first_share=20)
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(fill_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lexical.search(index, table(spark, sf_dir, "benchmark").select("item_id", "text"), 50)
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as the first batch of a new index."""
+    index = exact_dedup.open_index(spark, f"{run_folder(spark)}/digest-index-{uuid.uuid4().hex}")
+    found = exact_dedup.verdicts(table(spark, sf_dir, "documents").select("doc_id", "text"), index, "documents")
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_rule_ensemble, op4_secrets, op5_topk, op6_substrings, op7_quality_rules, op8_mixing, op9_simhash, op10_html, op11_fill_middle, op12_lexical, op13_exact_dedup)}
 ORACLES = oracles.ORACLES | {"op8_mixing": oracles.op8(WEIGHTS, seed=17, max_epochs=2)}
