@@ -24,6 +24,7 @@ some document holds has no rows; an index without documents answers nothing.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 
@@ -34,6 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraline.llm.exact_dedup import LOWER, UPPER
+from terraline.llm.fill_middle import _slices
 from terraline.session import fits, written
 
 #: Size of a byte's step: 255 of them are the most that s can be.
@@ -72,18 +74,22 @@ def _texts(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lengths(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(n_docs, n_terms) of each batch: the beginnings of terms, counted over all of a batch's bytes at once."""
+    """(n_docs, n_terms) of slices of batches: the beginnings of terms, counted over all of a slice's bytes at once."""
 
     def run(batches):
         for batch in batches:
             data, offsets = _texts(batch.column(0))
-            inside = _INSIDE[data]
-            first = inside.copy()
-            first[1:] &= ~inside[:-1]
-            begins = offsets[:-1][offsets[:-1] < offsets[1:]]
-            first[begins] = inside[begins]
-            upto = np.r_[0, np.cumsum(first, dtype=np.int64)][offsets]
-            yield pa.RecordBatch.from_arrays([pa.array([int((np.diff(upto) > 0).sum())]), pa.array([int(upto[-1] - upto[0])])], ["n_docs", "n_terms"])
+            many = total = 0
+            for at, to in _slices(offsets):
+                begins, ends = offsets[at:to] - offsets[at], offsets[at + 1 : to + 1] - offsets[at]
+                inside = _INSIDE[data[offsets[at] : offsets[to]]]
+                first = inside.copy()
+                first[1:] &= ~inside[:-1]
+                some = begins[begins < ends]
+                first[some] = inside[some]
+                each = np.add.reduceat(first, some, dtype=np.int64) if len(some) else np.zeros(0, np.int64)
+                many, total = many + int((each > 0).sum()), total + int(each.sum())
+            yield pa.RecordBatch.from_arrays([pa.array([many]), pa.array([total])], ["n_docs", "n_terms"])
 
     return docs.select(text).mapInArrow(run, "n_docs long, n_terms long")
 
@@ -95,32 +101,47 @@ def shares(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
 _ROWS = "segment long, term string, n int, places binary, bytes binary, counts binary, ids array<{kind}>, m array<long>"
 
 
-def _segment_rows(segment: int, ids: list, held: list[Counter], m: np.ndarray, kind: pa.DataType):
-    """The rows of a segment: its head, then its terms in order."""
-    by_term: dict[bytes, tuple[list[int], list[int]]] = {}
-    for place, counter in enumerate(held):
-        for term, tf in counter.items():
-            places, counts = by_term.setdefault(term, ([], []))
-            places.append(place)
-            counts.append(tf)
-    terms = sorted(by_term)
-    places = [np.array(by_term[t][0], np.int16) for t in terms]
-    counts = [np.array(by_term[t][1], np.int32) for t in terms]
-    steps = [(-(-shares(c.astype(np.int64), m[p]) // STEP)).astype(np.uint8) for p, c in zip(places, counts)]
-    none, n = [None] * len(terms), len(terms)
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array([segment] * (n + 1)),
-            pa.array([None, *(t.decode("utf-8", "replace") for t in terms)], pa.string()),
-            pa.array([len(ids), *map(len, places)], pa.int32()),
-            pa.array([None, *(p.tobytes() for p in places)], pa.binary()),
-            pa.array([None, *(s.tobytes() for s in steps)], pa.binary()),
-            pa.array([None, *(c.tobytes() for c in counts)], pa.binary()),
-            pa.array([ids, *none], pa.list_(kind)),
-            pa.array([m.tolist(), *none], pa.list_(pa.int64())),
-        ],
-        ["segment", "term", "n", "places", "bytes", "counts", "ids", "m"],
-    )
+class _Segment:
+    """Documents that are being gathered into a segment: the number of each different term, and by document and term in
+    turn the term's number, the document's place and the count."""
+
+    def __init__(self, number: int):
+        self.number, self.size = number, 0
+        self.ids, self.lengths, self.numbers = [], [], {}
+        self.terms, self.held, self.counts = array("i"), array("i"), array("i")
+
+    def add(self, doc_id, text: bytes) -> None:
+        counter = Counter(text.translate(_PLAIN).split())
+        numbers = self.numbers
+        self.terms.extend([numbers.setdefault(t, len(numbers)) for t in counter])
+        self.counts.extend(counter.values())
+        self.held.append(len(counter))
+        self.ids.append(doc_id)
+        self.lengths.append(counter.total())
+        self.size += len(text)
+
+    def full(self) -> bool:
+        return len(self.ids) == SEGMENT_DOCS or self.size >= SEGMENT_BYTES
+
+    def rows(self, n_docs: int, n_terms: int, kind: pa.DataType) -> pa.RecordBatch:
+        """The segment's head, then a row a term."""
+        term, counts = np.frombuffer(self.terms, np.int32), np.frombuffer(self.counts, np.int32)
+        places = np.repeat(np.arange(len(self.ids), dtype=np.int16), np.frombuffer(self.held, np.int32))
+        order = np.argsort(term, kind="stable")
+        places, counts = places[order], counts[order]
+        m = 50 + 50 * np.array(self.lengths, np.int64) * n_docs // max(n_terms, 1)
+        steps = (-(-shares(counts.astype(np.int64), m[places]) // STEP)).astype(np.uint8)
+        starts = np.r_[0, np.cumsum(np.bincount(term, minlength=len(self.numbers)))] if len(term) else np.zeros(1, np.int64)
+
+        def cells(values: np.ndarray) -> pa.Array:
+            ends = (starts * values.itemsize).astype(np.int32)
+            body = pa.BinaryArray.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+            return pa.concat_arrays([pa.nulls(1, pa.binary()), body])
+
+        none, n = [None] * len(self.numbers), len(self.numbers)
+        terms = pa.array([None, *self.numbers], pa.binary()).cast(pa.string())
+        columns = [pa.array(np.full(n + 1, self.number)), terms, pa.array([len(self.ids), *np.diff(starts).tolist()], pa.int32()), cells(places), cells(steps), cells(counts), pa.array([self.ids, *none], pa.list_(kind)), pa.array([m.tolist(), *none], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, ["segment", "term", "n", "places", "bytes", "counts", "ids", "m"])
 
 
 def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> LexicalIndex:
@@ -130,23 +151,19 @@ def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Lexica
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
-        number, ids, held, size = TaskContext.get().partitionId() << 32, [], [], 0
-
-        def cut():
-            n = np.array([c.total() for c in held], np.int64)
-            return _segment_rows(number, ids, held, 50 + 50 * n * n_docs // max(n_terms, 1), arrow)
-
+        segment = _Segment(TaskContext.get().partitionId() << 32)
+        arrow = pa.int64()
         for batch in batches:
             arrow = batch.column(0).type
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).fill_null("").cast(pa.binary()).to_pylist()):
-                size += len(t)
-                ids.append(i)
-                held.append(Counter(t.translate(_PLAIN).split()))
-                if len(ids) == SEGMENT_DOCS or size >= SEGMENT_BYTES:
-                    yield from cut()
-                    number, ids, held, size = number + 1, [], [], 0
-        if ids:
-            yield from cut()
+            for at in range(0, len(batch), 256):
+                some = batch.slice(at, 256)
+                for i, t in zip(some.column(0).to_pylist(), some.column(1).fill_null("").cast(pa.binary()).to_pylist()):
+                    segment.add(i, t)
+                    if segment.full():
+                        yield segment.rows(n_docs, n_terms, arrow)
+                        segment = _Segment(segment.number + 1)
+        if segment.ids:
+            yield segment.rows(n_docs, n_terms, arrow)
 
     rows = docs.select(doc_id, text).mapInArrow(run, _ROWS.format(kind=kind))
     return LexicalIndex(written(rows, "lexical-index"), n_docs, n_terms)
