@@ -60,10 +60,11 @@ class DigestIndex:
 def open_index(spark: SparkSession, folder: str, kind: str = "bigint", buckets: int | None = None) -> DigestIndex:
     """Opens the index in ``folder``, or makes it with ``buckets`` (by default the session's shuffle partitions) for ids of
     type ``kind``. The number of buckets lies in the folder, as the table's own property would be lost with the session."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    note = f"{folder.rstrip('/')}/_format"
-    if files.exists(spark._jvm.org.apache.hadoop.fs.Path(note)):
+    place = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
+    files = place("rows").getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(place("rows"))
+    note = place("_format").toString()
+    if files.exists(place("_format")):
         known = spark.read.json(note).first()
         buckets, kind = known.buckets, known.kind
     else:
@@ -71,9 +72,7 @@ def open_index(spark: SparkSession, folder: str, kind: str = "bigint", buckets:
         spark.range(1).select(F.lit(buckets).alias("buckets"), F.lit(kind).alias("kind")).coalesce(1).write.json(note)
     name = "digests_" + md5(folder.encode()).hexdigest()
     spark.sql(f"create table if not exists {name} (digest binary, keep_id {kind}, batch string) using parquet partitioned by (batch) clustered by (digest) sorted by (digest) into {buckets} buckets location '{folder}/rows'")
-    if spark.conf.get("spark.sql.catalogImplementation") == "hive":
-        spark.sql(f"msck repair table {name}")
-    spark.catalog.refreshTable(name)
+    spark.sql(f"msck repair table {name}")  # batches that other sessions have added
     return DigestIndex(folder, name, buckets)
 
 
@@ -85,8 +84,11 @@ def verdicts(docs: DataFrame, index: DigestIndex, batch: str, doc_id: str = "doc
     groups = written(digests.groupBy("digest").agg(best.alias("_best"), F.count("*").alias("group_size")), "digest-groups")
     by_bucket = groups.repartition(index.buckets, "digest").hint("merge")
     earlier = index.rows(spark).where(F.col("batch") != batch)
-    new = written(by_bucket.join(earlier, "digest", "left_anti").select("digest", F.col("_best.doc_id").alias("keep_id"), F.lit(batch).alias("batch")), "new-digests")
-    new.repartition(index.buckets, "digest").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(index.table)
+    new = written(by_bucket.join(earlier, "digest", "left_anti").select("digest", F.col("_best.doc_id").alias("keep_id")), "new-digests")
+    new.repartition(index.buckets, "digest").createOrReplaceTempView(f"new_{index.table}")
+    name = batch.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"insert overwrite table {index.table} partition (batch = '{name}') select digest, keep_id from new_{index.table}")
+    spark.catalog.dropTempView(f"new_{index.table}")
     discard(new)
     met = by_bucket.join(index.rows(spark), "digest")
     groups = written(met.select("digest", "keep_id", "group_size", F.when(F.col("batch") == batch, F.col("_best._row")).alias("_keep")), "digest-keepers")
