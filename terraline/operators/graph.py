@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from terraline.operators import graph_blocks
+from terraline.operators.graph_joins import SAME, backward, both_ways, distances_along, forward
 from terraline.session import discard, fits, written
 
 
@@ -43,7 +45,8 @@ def connected_components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFr
 
 
 #: Pairs of nodes that may be broadcast for shortest paths, as arrays of 24 bytes a pair and direction (under 100 MB).
-#: Larger graphs stay tables, and the same results come from joins; no graph is refused.
+#: Larger graphs stay tables, and the same results come from blocks and the overlay between them, by arrays if the overlay
+#: is small enough and else by joins along it; no graph is refused.
 MAX_BROADCAST_PAIRS = 2_000_000
 
 
@@ -52,10 +55,6 @@ def collapsed(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.min(F.coalesce("length", F.lit(1.0))).alias("length"))
 
 
-def both_ways(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), "length"), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), "length"))).alias("e")).select("e.*")
-
-
 def degrees(edges: DataFrame) -> DataFrame:
     """(node, degree): in plus out on the directed multigraph, a self-loop counts twice."""
     return edges.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
@@ -77,20 +76,6 @@ def distances(pairs: DataFrame, sources: DataFrame) -> DataFrame:
     return distances_along(both_ways(pairs), sources)
 
 
-def distances_along(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """(source, node, d) along edges (src, dst, length), relaxed by joins until nothing gets shorter; for graphs that are
-    too large to broadcast."""
-    edges = written(edges, "edges")
-    best = written(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("d")), "distances")
-    front = best
-    while front.limit(1).count():
-        reached = front.join(edges, front.node == edges.src).select("source", F.col("dst").alias("node"), (F.col("d") + F.col("length")).alias("d"))
-        shorter = reached.groupBy("source", "node").agg(F.min("d").alias("d")).join(best.withColumnRenamed("d", "old"), ["source", "node"], "left").where("old is null or d < old").select("source", "node", "d")
-        front = written(shorter, "distances")
-        best = written(best.unionByName(front).groupBy("source", "node").agg(F.min("d").alias("d")), "distances")
-    return best
-
-
 class Compact:
     """A graph as arrays: ``ids`` in order, and the neighbours and lengths of node i from starts[i] to starts[i + 1]."""
 
@@ -127,19 +112,16 @@ class Compact:
             order.append(v)
             for w, length in self.neighbours(v):
                 new = d + length
-                if w not in dist and (w not in near or new < near[w] - SAME):
+                slack = SAME * max(1.0, new)
+                if w not in dist and (w not in near or new < near[w] - slack):
                     near[w], paths[w], before[w] = new, paths[v], [v]
                     heappush(queue, (new, w))
-                elif w not in dist and abs(new - near[w]) <= SAME:
+                elif w not in dist and new <= near[w] + slack:
                     paths[w] += paths[v]
                     before[w].append(v)
         return dist, order, paths, before
 
 
-#: Lengths of paths that differ by no more are equal.
-SAME = 1e-12
-
-
 def _compact(pairs: DataFrame, one_way: bool = False) -> Compact | None:
     """The graph of pairs (a, b, length) as arrays, after a check of its size; None if it is too large."""
     if not fits(pairs, MAX_BROADCAST_PAIRS):
@@ -150,6 +132,11 @@ def _compact(pairs: DataFrame, one_way: bool = False) -> Compact | None:
     return Compact(ids, a, b, length) if one_way else Compact(ids, np.r_[a, b], np.r_[b, a], np.r_[length, length])
 
 
+def _numbered(pairs: DataFrame) -> bool:
+    """Whether nodes are whole numbers, as blocks need them."""
+    return isinstance(pairs.schema["a"].dataType, T.IntegralType)
+
+
 def _tasks(spark, n: int) -> DataFrame:
     """(i) from 0 to n - 1, spread over tasks."""
     return spark.range(0, n, 1, max(1, min(n, 4 * spark.sparkContext.defaultParallelism))).select(F.col("id").cast("int").alias("i"))
@@ -167,7 +154,11 @@ def closeness(edges: DataFrame, exact_up_to: int = 3000, pivots: int = 600, seed
         main = written(largest_component(pairs, "a", "b"), "main")
         n = main.count()
         sources = main if n <= exact_up_to else main.orderBy(order, "node").limit(pivots)
-        sums = distances(pairs, sources).groupBy("node").agg(F.sum("d").alias("s")).join(main, "node", "left_semi")
+        if _numbered(pairs):
+            sums = graph_blocks.distance_sums(graph_blocks.cut(pairs, sources, MAX_BROADCAST_PAIRS))
+        else:
+            sums = distances(pairs, sources).groupBy("node").agg(F.sum("d").alias("s"))
+        sums = sums.join(main, "node", "left_semi")
     else:
         inside = graph.largest_component()
         n, at = len(inside), inside.tolist()
@@ -204,38 +195,10 @@ def hop_closeness(edges: DataFrame) -> DataFrame:
 
 
 def _dependencies(pairs: DataFrame, sources: DataFrame) -> DataFrame:
-    """(a, b, x): the edges' shares of shortest paths from all ``sources``, by joins alone. Path counts go outwards and
-    dependencies back by the number of edges of the longest shortest path to a node, a written table each."""
-    d = distances(pairs, sources)
-    edges = both_ways(pairs)
-    u, v = d.select("source", F.col("node").alias("src"), F.col("d").alias("du")), d.select(F.col("source").alias("_s"), F.col("node").alias("_n"), F.col("d").alias("dv"))
-    steps = written(u.join(edges, "src").join(v, (F.col("source") == F.col("_s")) & (F.col("dst") == F.col("_n"))).where((F.abs(F.col("du") + F.col("length") - F.col("dv")) <= SAME) & (F.col("du") < F.col("dv"))).select("source", "src", "dst"), "steps")
-    level = d.select("source", "node", F.lit(0).alias("level"))
-    moved, far = written(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("level")), "front"), 0
-    while moved.limit(1).count():
-        moved = written(moved.join(steps, (moved.source == steps.source) & (moved.node == steps.src)).select(steps.source, F.col("dst").alias("node"), (F.col("level") + 1).alias("level")).groupBy("source", "node").agg(F.max("level").alias("level")), "front")
-        level = written(level.unionByName(moved).groupBy("source", "node").agg(F.max("level").alias("level")), "levels")
-    far = level.agg(F.max("level")).first()[0] or 0
-    steps = written(steps.join(level.withColumnRenamed("node", "dst"), ["source", "dst"]), "steps")
-    paths = written(sources.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")), "paths")
-    for at in range(1, far + 1):
-        new = steps.where(F.col("level") == at).join(paths.withColumnRenamed("node", "src"), ["source", "src"]).groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
-        paths = written(paths.unionByName(new), "paths")
-    ratio = steps.join(paths.select("source", F.col("node").alias("src"), F.col("paths").alias("p_src")), ["source", "src"]).join(paths.select("source", F.col("node").alias("dst"), F.col("paths").alias("p_dst")), ["source", "dst"])
-    steps = written(ratio.select("source", "src", "dst", "level", (F.col("p_src") / F.col("p_dst")).alias("part")), "steps")
-    shares = None
-    for at in range(far, 0, -1):
-        here = steps.where(F.col("level") == at)
-        if shares is not None:
-            below = shares.groupBy("source", F.col("src").alias("dst")).agg(F.sum("x").alias("below"))
-            here = here.join(below, ["source", "dst"], "left")
-        else:
-            here = here.withColumn("below", F.lit(0.0))
-        new = here.select("source", "src", "dst", (F.col("part") * (1 + F.coalesce("below", F.lit(0.0)))).alias("x"))
-        shares = written(new if shares is None else shares.unionByName(new), "shares")
-    if shares is None:
-        return pairs.select("a", "b", F.lit(0.0).alias("x"))
-    return shares.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("x").alias("x"))
+    """(a, b, x): the edges' shares of shortest paths from all ``sources``, by joins alone; for nodes that are no numbers."""
+    _, steps = forward(pairs.withColumn("paths", F.lit(1.0)), sources)
+    shares, _ = backward(steps)
+    return shares.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "x")
 
 
 def edge_betweenness(edges: DataFrame, exact_up_to: int = 2000, k: int = 400, seed: int = 42) -> DataFrame:
@@ -249,7 +212,9 @@ def edge_betweenness(edges: DataFrame, exact_up_to: int = 2000, k: int = 400, se
     m = n if n <= exact_up_to else min(n, k)
     graph = _compact(pairs)
     if graph is None:
-        sums = _dependencies(pairs, written(used, "sources"))
+        used = written(used, "sources")
+        shares = graph_blocks.edge_shares(graph_blocks.cut(pairs, used, MAX_BROADCAST_PAIRS)) if _numbered(pairs) else _dependencies(pairs, used)
+        sums = shares.groupBy("a", "b").agg(F.sum("x").alias("x"))
     else:
         known = spark.sparkContext.broadcast(graph)
         at = np.searchsorted(graph.ids, np.sort(used.toPandas().node.to_numpy())).tolist() if n else []
