@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 SECONDS, METRES = 0.5, 10.0
 
 
-def accepted(last, ts: float, lat: float, lon: float, seconds: float = SECONDS, metres: float = METRES) -> bool:
-    if last is None:
+def accepted(last, ts: float, lat: float, lon: float, seconds: float = SECONDS, metres: float = METRES, idle: float | None = None) -> bool:
+    if last is None or (idle is not None and ts - last[0] > idle):
         return True
     if ts - last[0] < seconds:
         return False
@@ -20,8 +20,9 @@ def accepted(last, ts: float, lat: float, lon: float, seconds: float = SECONDS,
     return 2 * 6_371_000.0 * math.atan2(math.sqrt(h), math.sqrt(1 - h)) >= metres
 
 
-def debounce(clicks: DataFrame, by: str = "user_id", seconds: float = SECONDS, metres: float = METRES) -> DataFrame:
-    """The accepted rows of (by, ts, lat, lon, ...): each user's clicks in order, compared with the last accepted one.
+def debounce(clicks: DataFrame, by: str = "user_id", seconds: float = SECONDS, metres: float = METRES, idle_seconds: float | None = None) -> DataFrame:
+    """The accepted rows of (by, ts, lat, lon, ...): each user's clicks in order, compared with the last accepted one, unless
+    that is more than ``idle_seconds`` ago.
     The fold is carried over sorted batches of a partition, so no user's clicks are gathered in memory."""
     names = clicks.columns
 
@@ -33,7 +34,7 @@ def debounce(clicks: DataFrame, by: str = "user_id", seconds: float = SECONDS, m
                 if u != user:
                     user, last = u, None
                 now = t.timestamp()
-                if accepted(last, now, lat, lon, seconds, metres):
+                if accepted(last, now, lat, lon, seconds, metres, idle_seconds):
                     last = (now, lat, lon)
                     keep.append(i)
             yield frame.iloc[keep][names] if keep else pd.DataFrame(columns=names)
