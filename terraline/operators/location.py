@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraline.functions import geo, rent
-from terraline.operators import cells, rings
+from terraline.operators import cells, overlay, rings
 from terraline.session import written
 
 #: The marker that a reset leaves, and the results that a change makes stale.
@@ -87,6 +87,13 @@ def centre_cells(areas: DataFrame, markers: DataFrame, cell_deg: float = 0.001)
     return found.where("_wanted >= 2 and _n = _wanted").select("cy", "cx")
 
 
+def centre_zone(areas: DataFrame, markers: DataFrame, tile_deg: float = 0.05) -> DataFrame:
+    """The same zone exactly, as trapezoids (``overlay``): what the areas of every active marker cover."""
+    of = active(markers).select(F.col("idx").alias("orig_idx"), "active_idx")
+    known = areas.join(F.broadcast(of), "orig_idx")
+    return overlay.intersection(overlay.coverage(known.select(F.col("active_idx").alias("id"), "rings"), tile_deg=tile_deg), of.count())
+
+
 def d_max_km(areas: DataFrame, anchor: DataFrame | tuple[float, float]) -> DataFrame:
     """(d_max_km) from the anchor to the farthest corner of the areas' boxes; the default without areas, never below the
     least. areas: (rings)."""
@@ -104,17 +111,19 @@ def d_max_km(areas: DataFrame, anchor: DataFrame | tuple[float, float]) -> DataF
 
 
 def anchor(centre: DataFrame | None, top: DataFrame | None, areas: DataFrame | None, markers: DataFrame, primary: DataFrame | None = None) -> DataFrame:
-    """(lat, lon): the primary centre if one is given, else the centroid of the centre's cells, the network's top node,
-    the centroid of all areas, the mean of the active markers; no row without any."""
+    """(lat, lon): the primary centre if one is given, else the centroid of the centre (its cells, trapezoids, or a row
+    with its lat and lon), the network's top node, the centroid of all areas, the mean of the active markers; no row
+    without any."""
     steps = []
     if primary is not None:
         steps.append(primary.where("role = 'primary'").select("lat", "lon"))
     if centre is not None:
-        steps.append(cells.area_km2(centre).select("lat", "lon"))
+        measured = cells.area_km2(centre) if "cy" in centre.columns else overlay.measured(centre) if "y0" in centre.columns else centre
+        steps.append(measured.select("lat", "lon"))
     if top is not None:
         steps.append(top.where("closeness >= 0").select("lat", "lon"))
     if areas is not None:
-        steps.append(cells.area_km2(cells.union(cells.polygon_cells(areas.select(F.col("orig_idx").alias("id"), "rings")))).select("lat", "lon"))
+        steps.append(overlay.measured(overlay.union(overlay.coverage(areas.select(F.col("orig_idx").alias("id"), "rings")))).select("lat", "lon"))
     steps.append(active(markers).agg(F.avg("lat").alias("lat"), F.avg("lng").alias("lon")))
     return rings.first_anchor(steps).where("lat is not null")
 

@@ -338,12 +338,6 @@ def merged_settings(spark, sf_dir):
     return listings.merged(n.select(F.col("n_name").alias("key"), F.lit("default").alias("value")), remote)
 
 
-@query("select layer, case when layer = 'network' then 'v' end as value from (select unnest(['isochrone','intersection','network','rent']) as layer)")
-def layers_after_a_marker_moves(spark, sf_dir):
-    results = spark.createDataFrame([(x, "v") for x in location.LAYERS], "layer string, value string")
-    return location.stale(results, "marker")
-
-
 @query("select n_nationkey, ['ok','wrong key','no access','too many requests','error 500'][n_nationkey % 5 + 1] as status from nation")
 def fetch_statuses(spark, sf_dir):
     code = F.array(*map(F.lit, (200, 401, 403, 429, 500)))[F.col("n_nationkey") % 5]

@@ -14,15 +14,18 @@ def bars(spark: SparkSession, path: str, ticker: str, interval: str, start: str,
     return df.where((F.col("ts") >= F.to_timestamp(F.lit(start))) & (F.col("ts") < F.to_timestamp(F.lit(end)))).select("ticker", "interval", "ts", "close")
 
 
-def isochrones(texts: DataFrame, text: str = "value") -> DataFrame:
-    """(orig_idx, minutes, rings) of the polygons in GeoJSON feature collections; a multipolygon gives all its rings."""
+def isochrones(texts: DataFrame, text: str = "value", marker: str | None = None) -> DataFrame:
+    """(orig_idx, minutes, rings) of the polygons in GeoJSON feature collections; a multipolygon gives all its rings. The
+    marker is a feature's own property or the column ``marker`` of the texts."""
     prop = "properties struct<value: double, original_index: int>"
     one = F.from_json(text, f"features array<struct<geometry struct<type: string, coordinates: array<array<{_POINT}>>>, {prop}>>".replace("geometry struct", "geometry: struct").replace("properties struct", "properties: struct"))
     many = F.from_json(text, f"features array<struct<geometry: struct<type: string, coordinates: array<array<array<{_POINT}>>>>, {prop.replace('properties struct', 'properties: struct')}>>")
     rings = lambda r: F.transform(r, lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat"))))
-    a = texts.select(F.explode(one["features"]).alias("f")).where("f.geometry.type = 'Polygon'").select("f.properties.*", rings(F.col("f.geometry.coordinates")).alias("rings"))
-    b = texts.select(F.explode(many["features"]).alias("f")).where("f.geometry.type = 'MultiPolygon'").select("f.properties.*", rings(F.flatten("f.geometry.coordinates")).alias("rings"))
-    return a.unionByName(b).select(F.col("original_index").alias("orig_idx"), (F.col("value") / 60).alias("minutes"), "rings")
+    of = [F.col(marker).alias("_marker")] if marker else []
+    a = texts.select(*of, F.explode(one["features"]).alias("f")).where("f.geometry.type = 'Polygon'").select("*", "f.properties.*", rings(F.col("f.geometry.coordinates")).alias("rings"))
+    b = texts.select(*of, F.explode(many["features"]).alias("f")).where("f.geometry.type = 'MultiPolygon'").select("*", "f.properties.*", rings(F.flatten("f.geometry.coordinates")).alias("rings"))
+    both = a.drop("f").unionByName(b.drop("f"))
+    return both.select(F.col("_marker" if marker else "original_index").alias("orig_idx"), (F.col("value") / 60).alias("minutes"), "rings")
 
 
 def graph_key(south: Column, west: Column, north: Column, east: Column, network: Column) -> Column:

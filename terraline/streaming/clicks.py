@@ -2,26 +2,22 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from terraline.operators.clicks import accepted
+from terraline.operators.clicks import METRES, SECONDS, accepted
+from terraline.streaming.ordered import ordered_fold
 
 
-def debounce_stream(clicks: DataFrame, by: str = "user_id") -> DataFrame:
-    """The accepted rows of a streaming (by, ts, lat, lon); within a micro-batch a user's clicks go by time."""
+def debounce_stream(clicks: DataFrame, by: str = "user_id", late: str = "10 seconds", seconds: float = SECONDS, metres: float = METRES, idle_seconds: float | None = 3600.0) -> DataFrame:
+    """The accepted rows of a streaming (by, ts, lat, lon, ...): what ``operators.clicks.debounce`` accepts of the same rows,
+    in whatever order they come within ``late``. A click is compared with no click from over ``idle_seconds`` before it,
+    and a user's state goes once the watermark is as far."""
 
-    def step(key, frames, state: GroupState):
-        last = state.get if state.exists else None
-        rows = pd.concat(list(frames)).sort_values("ts").reset_index(drop=True)
-        keep = []
-        for i, (t, lat, lon) in enumerate(zip(rows.ts, rows.lat, rows.lon)):
-            if accepted(last, t.timestamp(), lat, lon):
-                last = (t.timestamp(), lat, lon)
-                keep.append(i)
-        if last:
-            state.update(tuple(map(float, last)))
-        yield rows.loc[keep]
+    def fold(known, us, row):
+        now = us / 1e6
+        last = None if known is None else (known[0] / 1e6, known[1], known[2])
+        if accepted(last, now, row["lat"], row["lon"], seconds, metres, idle_seconds):
+            return (us, float(row["lat"]), float(row["lon"])), ()
+        return known, None
 
-    return clicks.groupBy(by).applyInPandasWithState(step, clicks.schema, "ts double, lat double, lon double", "append", GroupStateTimeout.NoTimeout)
+    return ordered_fold(clicks.withWatermark("ts", late), by, "ts", fold, "us long, lat double, lon double", idle_seconds=idle_seconds)

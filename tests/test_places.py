@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from terraline.functions import geo, text
 from terraline.operators import cells, clicks, density, graph, keyed, location, network, rules
 from terraline.sources import configs, listings, tables
-from terraline.streaming.clicks import debounce_stream
 
 
 def km(a, b):
@@ -203,16 +202,3 @@ def test_no_anchor_no_model(spark):
     found = location.rent_model(none, samples)
     assert found.model.count() == 0 and found.curve.count() == 0 and found.shapes.count() == 0
     assert location.rent_model(location.reset_markers(spark), samples).model.first().is_index
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    rows = [(u, 1_700_000_000 + 0.3 * k, 20.0 + (k % 3) * 0.0001, 100.0) for u in range(3) for k in range(20)]
-    df = spark.createDataFrame(rows, "user_id int, t double, lat double, lon double").select("user_id", F.timestamp_micros((F.col("t") * 1e6).cast("long")).alias("ts"), "lat", "lon")
-    for part in range(3):
-        df.where(F.expr(f"cast(unix_micros(ts) / 100000 as long) % 60 div 20 = {part}")).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
-    df.coalesce(1).write.mode("overwrite").json(f"{tmp_path}/one")
-    stream = spark.readStream.schema(df.schema).json(f"{tmp_path}/one")
-    q = debounce_stream(stream).writeStream.format("memory").queryName("accepted").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = sorted(map(tuple, spark.table("accepted").collect()))
-    assert got == sorted(map(tuple, clicks.debounce(df).collect())) and got
