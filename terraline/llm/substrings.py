@@ -341,9 +341,10 @@ def _of(table: pa.Table) -> tuple:
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, spans, kept): ``spans`` array<struct<start, end>> of the removed bytes, ``kept`` the others."""
-    ids = docs.groupBy(doc_id).count().where("count > 1").limit(1).count()
-    place = F.row_number().over(Window.partitionBy("doc").orderBy("text")) if ids else F.lit(0)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("place", place.cast("long"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    ids = rows.groupBy("doc").count().where("count > 1").limit(1).count()
+    place = F.row_number().over(Window.partitionBy("doc").orderBy(F.col("doc_id").asc_nulls_first(), "text")) if ids else F.lit(0)
+    rows = rows.withColumn("place", place.cast("long"))
     texts = rows.select("doc", "place", "text", "doc_id")
 
     anchors = texts.select("doc", "place", "text").mapInArrow(_anchor_rows, _ANCHORS)

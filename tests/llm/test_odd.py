@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -198,3 +199,43 @@ def test_fingerprints_and_components(spark, odd):
     got = simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.fp & (2**64 - 1) for r in got} == prints and {r.doc_id: r.component_id for r in got} == part
     assert simhash.near_duplicate_groups(odd).count() == len(ROWS) and simhash.near_duplicate_groups(odd.limit(0)).count() == 0
+
+
+HOSTILE = {
+    "assign": "token = " * 120_000, "access": "AKIA" + "AB1 AKIA" * 120_000, "hex": "0123456789abcdefg" * 60_000, "pem": "-----BEGIN " + "ABC " * 250_000 + "x PRIVATE KEY-----", "pem2": "-----BEGIN " * 90_000,
+    "github": "ghp_" + "a1" * 17 + "_gho_" * 200_000, "slack": "xoxb-" * 190_000 + "!" , "google": "AIza-" * 190_000, "jwt": "eyJ" * 330_000, "jwt2": "eyJ0123456789." * 70_000,
+}
+
+
+def test_no_text_makes_a_rule_crash_or_crawl(spark):
+    """A megabyte against each rule, and two hundred thousand secrets in one text, with overlapping kinds."""
+    many = " ".join(f"token=abc{i:06d} é" for i in range(200_000))
+    rows = [(i, t) for i, t in enumerate([*HOSTILE.values(), many, "token=" + "0a" * 20 + " AKIA" + "B" * 20])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    got = secrets.scan(docs).select("doc_id", "text", "found", secrets.redacted(F.col("text"), F.col("found")).alias("clean")).collect()
+    assert time.time() - began < 120
+    for r in got:
+        want = []
+        for place, rule in enumerate(secrets.RULES[:3]):
+            want += [(m.start(), place, m.end(), rule.kind) for m in re.finditer(rule.pattern, r.text) if not rule.group or len(m[rule.group]) >= rule.least]
+        assert [tuple(s) for s in r.found if s.place < 3] == sorted(want)
+        assert r.clean == plain_redacted(r.text, r.found)
+    assert next(len(r.found) for r in got if r.text == many) == 200_000
+
+
+def plain_redacted(text, found):
+    out, at = [], 0
+    for s in found:
+        if s.start >= at:
+            out += [text[at : s.start], "[SECRET]"]
+        at = max(at, s.end)
+    return "".join(out) + text[at:]
+
+
+def test_a_null_id_is_before_the_smallest_id(spark):
+    said = " ".join(f"word {k}" for k in range(30))
+    rows = [(-(2**63), said), (None, said), (None, said + "and more"), (-(2**63), said)]
+    got = substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = sorted(((r.doc_id is not None, len(r.kept)) for r in got))
+    assert sum(n for _, n in kept) < len(said) + len("and more") + 1 and max(n for known, n in kept if known) == 0 and max(n for known, n in kept if not known) == len(said)
