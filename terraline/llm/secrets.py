@@ -43,15 +43,17 @@ RULES = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"(?<![0-9a-f])[0-9a-f]{24,}"),
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN (?:[A-Z]+ ){0,8}PRIVATE KEY-----"),
     Rule("github", r"gh[oprsu]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,512}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 
 #: More candidates than this (an id and a number each) meet the texts by a shuffle instead of a broadcast.
 MAX_BROADCAST_CANDIDATES = 200_000
+#: Pieces that are folded into one array or string; longer lists are folded in parts, so that no fold grows by the square.
+PART = 256
 #: Alternatives that a literal run may have before it is cut.
 MAX_ALTERNATIVES = 64
 
@@ -121,21 +123,37 @@ def candidates(index: DataFrame, queries: dict[str, list[frozenset[str]]]) -> Da
     return met.where("bits = all_bits").groupBy("doc_id").agg(F.bit_or("kind").alias("kinds"))
 
 
+def parts_of(pieces: Column) -> Column:
+    """An array cut into arrays of at most ``PART``; one empty array if there is nothing."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(pieces), F.lit(1)), F.lit(PART))
+    return F.transform(starts, lambda i: F.slice(pieces, i, PART))
+
+
 def spans_of(text: Column, rule: Rule, place: int) -> Column:
     """array<struct<start, place, end, kind>> of a rule's matches. The text is what lies between matches and the
-    matches, in turn, so places are sums of their lengths."""
+    matches, in turn, so places are sums of their lengths: within a part of the matches, and from part to part."""
     kind = "array<struct<start:int,place:int,end:int,kind:string>>"
     nothing = F.array().cast(kind)
+    span = lambda start, end: F.struct(start.alias("start"), F.lit(place).alias("place"), end.alias("end"), F.lit(rule.kind).alias("kind"))
+
+    def within(part: Column) -> Column:
+        """struct<at, out>: a part's length and its spans, from its own start."""
 
-    def walk(pieces: Column) -> Column:
         def step(state: Column, x: Column) -> Column:
             start = state["at"] + F.length(x["gap"])
             end = start + F.length(x["match"])
-            found = F.array(F.struct(start.alias("start"), F.lit(place).alias("place"), end.alias("end"), F.lit(rule.kind).alias("kind")))
-            return F.struct(end.alias("at"), F.concat(state["out"], F.when(F.length(x["value"]) >= rule.least, found).otherwise(nothing)).alias("out"))
+            return F.struct(end.alias("at"), F.concat(state["out"], F.when(F.length(x["value"]) >= rule.least, F.array(span(start, end))).otherwise(nothing)).alias("out"))
+
+        return F.aggregate(part, F.struct(F.lit(0).alias("at"), nothing.alias("out")), step)
 
+    def moved(parts: Column) -> Column:
+        """All parts' spans, from the start of the text."""
+        begins = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda s, p: F.struct((s["at"] + p["at"]).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+        return F.flatten(F.zip_with(parts, begins, lambda p, at: F.transform(p["out"], lambda s: span(s["start"] + at, s["end"] + at))))
+
+    def walk(pieces: Column) -> Column:
         zipped = F.zip_with(pieces["gaps"], F.arrays_zip(pieces["matches"], pieces["values"]), lambda g, m: F.struct(g.alias("gap"), m["matches"].alias("match"), m["values"].alias("value")))
-        return F.aggregate(F.filter(zipped, lambda x: x["match"].isNotNull()), F.struct(F.lit(0).alias("at"), nothing.alias("out")), step, lambda s: s["out"])
+        return let(F.filter(zipped, lambda x: x["match"].isNotNull()), lambda found: let(F.transform(parts_of(found), within), moved))
 
     def split(matches: Column) -> Column:
         values = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else matches
@@ -173,14 +191,23 @@ def spans_text(found: Column) -> Column:
 
 
 def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with every span, overlapping ones as one, replaced by ``mark``."""
+    """``text`` with every span, overlapping ones as one, replaced by ``mark``. Each part of the spans works on its own piece
+    of the text, from where the parts before it end."""
+
+    def replaced(part: Column, begin: Column, end: Column) -> Column:
+        def step(piece: Column):
+            def one(state: Column, s: Column) -> Column:
+                start, new = s["start"] - begin, s["start"] - begin >= state["at"]
+                out = F.when(new, F.concat(state["out"], F.substring(piece, state["at"] + 1, start - state["at"]), F.lit(mark))).otherwise(state["out"])
+                return F.struct(F.greatest(state["at"], s["end"] - begin).alias("at"), out.alias("out"))
+
+            return one
+
+        return let(F.substring(text, begin + 1, end - begin), lambda piece: F.aggregate(part, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step(piece), lambda s: s["out"]))
 
-    def step(state: Column, s: Column) -> Column:
-        new = s["start"] >= state["at"]
-        return F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"),
-            F.when(new, F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mark))).otherwise(state["out"]).alias("out"),
-        )
+    def joined(parts: Column) -> Column:
+        ends = F.aggregate(parts, F.array(F.lit(0)), lambda s, p: F.concat(s, F.array(F.greatest(F.element_at(s, -1), F.array_max(F.transform(p, lambda x: x["end"]))))))
+        last = lambda e: F.element_at(e, -1)
+        return let(ends, lambda e: F.concat(F.array_join(F.zip_with(parts, F.arrays_zip(F.slice(e, 1, F.size(e) - 1).alias("a"), F.slice(e, 2, F.size(e) - 1).alias("b")), lambda p, x: replaced(p, x["a"], x["b"])), ""), F.substring(text, last(e) + 1, F.length(text))))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.when(F.size(found) == 0, text).otherwise(F.aggregate(found, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))))
+    return F.when(F.size(found) == 0, text).otherwise(let(parts_of(found), joined))
