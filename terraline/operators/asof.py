@@ -9,20 +9,27 @@ from pyspark.sql import functions as F
 CASCADE = (("1m", 2_700, 60), ("5m", 7_200, 3_600), ("15m", 21_600, 7_200), ("60m", 172_800, 86_400), ("1d", 604_800, 86_400))
 
 
-def asof(left: DataFrame, right: DataFrame, by: str, ts: str, value: str, earliest: bool = False, out: str = "asof_value") -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, by: str, ts: str, value: str, earliest: bool = False, out: str = "asof_value", slice_seconds: int = 86_400) -> DataFrame:
     """Adds the last ``value`` at or before each left row's time; with ``earliest``, the key's first value where none is.
-    One union and one window that keeps a single row: both sides shuffle once by the key, and no row meets all rows of its
-    key."""
-    both = left.withColumns({"_side": F.lit(1), "_value": F.lit(None).cast(right.schema[value].dataType)}).unionByName(
-        right.select(by, ts, F.col(value).alias("_value"), F.lit(0).alias("_side")), allowMissingColumns=True
-    )
-    upto = Window.partitionBy(by).orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, 0)
+
+    A key's rows are dealt by slices of time, so however many there are they spread over tasks: one union and one window
+    that keeps a single row answer what lies in the same slice, and the last value of each slice, a row for a key and slice,
+    is carried on to the slices after it. Right rows without a time answer nothing."""
+    slot = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(slice_seconds * 1_000_000))
+    held = right.where(F.col(ts).isNotNull()).select(by, ts, F.col(value).alias("_value")).withColumn("_slot", slot)
+    both = left.withColumns({"_side": F.lit(1), "_value": F.lit(None).cast(right.schema[value].dataType), "_slot": slot}).unionByName(held.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    upto = Window.partitionBy(by, "_slot").orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, 0)
     found = F.last(F.when(F.col("_side") == 0, F.struct("_value")), ignorenulls=True).over(upto)
     answered = both.withColumn("_found", found).where("_side = 1").drop("_side", "_value")
-    if earliest:  # a row a key, where the window's partitions lie already
-        firsts = right.groupBy(F.col(by).alias("_by")).agg(F.min_by(F.struct(F.col(value).alias("_value")), ts).alias("_first"))
+    ends = held.groupBy(by, "_slot").agg(F.max_by(F.struct("_value"), ts).alias("_end"))
+    slots = left.select(by, slot.alias("_slot")).distinct().join(ends, [by, "_slot"], "full")
+    before = Window.partitionBy(by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    carried = slots.select(F.col(by).alias("_by"), F.col("_slot").alias("_s"), F.last("_end", ignorenulls=True).over(before).alias("_carried")).where("_carried is not null")
+    answered = answered.join(carried, (F.col(by) == F.col("_by")) & (F.col("_slot") == F.col("_s")), "left").withColumn("_found", F.coalesce("_found", "_carried")).drop("_by", "_s", "_carried")
+    if earliest:
+        firsts = held.groupBy(F.col(by).alias("_by")).agg(F.min_by(F.struct("_value"), ts).alias("_first"))
         answered = answered.join(firsts, F.col(by) == F.col("_by"), "left").withColumn("_found", F.coalesce("_found", "_first")).drop("_by", "_first")
-    return answered.withColumn(out, F.col("_found._value")).drop("_found")
+    return answered.withColumn(out, F.col("_found._value")).drop("_found", "_slot")
 
 
 def cascade(requests: DataFrame, bars: DataFrame, key: str = "ticker", request_id: str = "request_id") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraline.functions import geo
+from terraline.session import written
 
 #: Weights of place categories, those that count as commercial, and the score's thresholds.
 POI_WEIGHTS = {
@@ -58,12 +59,26 @@ def densities(candidates: DataFrame, points: DataFrame, radii_km: tuple[float, .
     return candidates.select("id", "lat", "lon").join(counts, ["lat", "lon"], "left").select("id", *[F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in range(len(radii_km))])
 
 
-def ordinal_percentile(df: DataFrame, value: str, tie: str, out: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Place over places minus one, equal values in the order of ``tie``; 1 for a single row. For pools that thinning
-    has bounded: a pool is one window."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    n = F.count("*").over(w)
-    return df.withColumn(out, F.when(n == 1, F.lit(1.0)).otherwise((F.row_number().over(w.orderBy(value, tie)) - 1) / F.greatest(n - 1, F.lit(1))))
+def ordinal_percentile(df: DataFrame, value: str, tie: str, out: str, by: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:
+    """Place over places minus one, equal values in the order of ``tie``; 1 for a single row.
+
+    Rows are dealt into ranges of group, value and tie, as many as the session has shuffle partitions; a row's place is its
+    place in its range plus the rows of its group in the ranges before, so no task holds a whole group. The ranges are
+    written once, since their bounds are drawn from a sample."""
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(df.repartitionByRange(ranges, *by, value, tie).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("_range", *by).agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_range", *by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_all"))
+    renamed = counts.withColumnsRenamed({"_range": "_r"} | {c: f"_by_{c}" for c in by})
+    same = F.col("_range") == F.col("_r")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    placed = dealt.withColumn("_place", F.row_number().over(Window.partitionBy("_range", *by).orderBy(value, tie)))
+    found = placed.join(renamed, same)
+    share = (F.col("_place") + F.col("_before") - 1) / F.greatest(F.col("_all") - 1, F.lit(1))
+    return found.withColumn(out, F.when(F.col("_all") == 1, F.lit(1.0)).otherwise(share)).select(*[c for c in df.columns if c != out], out)
 
 
 def stability(columns: list[str]) -> Column:

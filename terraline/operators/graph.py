@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from terraline.operators import graph_blocks
+from terraline.operators import graph_blocks, hops
 from terraline.operators.graph_joins import SAME, backward, both_ways, distances_along, forward
 from terraline.session import discard, fits, written
 
@@ -187,11 +187,10 @@ def closeness(edges: DataFrame, exact_up_to: int = 3000, pivots: int = 600, seed
 def hop_closeness(edges: DataFrame) -> DataFrame:
     """(node, closeness) by hops along the directed edges into a node, over the whole graph: (r - 1) over the sum of
     hops from the r nodes that reach it, times (r - 1) / (N - 1)."""
-    turned = edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1.0).alias("length")).distinct()
     nodes = written(nodes_of(edges), "nodes")
-    far = distances_along(turned, nodes).groupBy("source").agg(F.count("*").alias("r"), F.sum("d").alias("s"))
-    r = (F.col("r") - 1).cast("double")
-    return nodes.join(far, nodes.node == far.source, "left").select("node", F.when(F.col("s") > 0, r / F.col("s") * r / F.lit(float(max(1, nodes.count() - 1)))).otherwise(0.0).alias("closeness"))
+    far = hops.reached(edges, MAX_BROADCAST_PAIRS).withColumnRenamed("node", "_node")
+    r = F.col("r").cast("double")
+    return nodes.join(far, nodes.node == F.col("_node"), "left").select("node", F.when(F.col("s") > 0, r / F.col("s") * r / F.lit(float(max(1, nodes.count() - 1)))).otherwise(0.0).alias("closeness"))
 
 
 def _dependencies(pairs: DataFrame, sources: DataFrame) -> DataFrame:

@@ -136,10 +136,16 @@ def config_imports(spark, sf_dir):
     return found.select("n_nationkey", "status", F.try_element_at("settings", F.lit("travel_mode")).alias("setting"), F.try_element_at("results", F.lit("network_data")).alias("result"), F.when(F.col("markers").isNotNull(), F.size("markers")).alias("n_markers"))
 
 
-@query("""select '{"format_version":2,"markers":[{"lat":20.0,"lng":100.5,"active":true}],"settings":{"travel_mode":"drive","time_intervals":[5,10]},"precomputed_results":{"isochrone_data":null,"intersection_data":null,"network_data":{"n":1},"rent_gradient_data":null}}' as value""")
+@query("""select '{"format_version":2,"markers":[' || (select string_agg('{"lat":' || (20.5e0 + n_nationkey*0.25e0) || ',"lng":' || (100.5e0 + n_nationkey*0.25e0) || ',"active":' || (n_nationkey % 2 = 0) || '}', ',' order by n_nationkey) from nation)
+  || '],"settings":{"travel_mode":"drive","time_intervals":[' || (select string_agg(cast(5*(r_regionkey + 1) as varchar), ',' order by r_regionkey) from region) || ']},"precomputed_results":{"isochrone_data":null,"intersection_data":null,"network_data":{"edges":' || (select count(*) from lineitem) || '},"rent_gradient_data":{"samples":' || (select count(*) from customer) || '}}}' as value""")
 def config_export(spark, sf_dir):
-    markers = spark.createDataFrame([(0, 20.0, 100.5, True)], "idx int, lat double, lng double, active boolean")
-    return configs.app_config(spark, markers, {"travel_mode": "drive", "time_intervals": [5, 10], "api_key": "never"}, {"network_data": {"n": 1}})
+    """Markers, settings and results as tables hold them; a key that isn't a setting stays behind."""
+    k = F.col("n_nationkey")
+    markers = table(spark, sf_dir, "nation").select(k.alias("idx"), (20.5 + k * 0.25).alias("lat"), (100.5 + k * 0.25).alias("lng"), (k % 2 == 0).alias("active"))
+    minutes = table(spark, sf_dir, "region").agg(F.to_json(F.array_sort(F.collect_list(5 * (F.col("r_regionkey") + 1)))).alias("value")).select(F.lit("time_intervals").alias("key"), "value")
+    fixed = table(spark, sf_dir, "region").where("r_regionkey < 2").select(F.when(F.col("r_regionkey") == 0, "travel_mode").otherwise("api_key").alias("key"), F.when(F.col("r_regionkey") == 0, '"drive"').otherwise('"never"').alias("value"))
+    counted = lambda name, key, field: table(spark, sf_dir, name).agg(F.to_json(F.struct(F.count("*").alias(field))).alias("value")).select(F.lit(key).alias("key"), "value")
+    return configs.app_config_from(markers, minutes.unionByName(fixed), counted("lineitem", "network_data", "edges").unionByName(counted("customer", "rent_gradient_data", "samples")))
 
 
 @query("select p_partkey, least(50, greatest(0.1e0, p_size * 2.0e0)) as x0_1, least(10000, greatest(100.0e0, p_size * 10.0e0)) as constant1, cast(least(10000, p_size * 300) as double) as callContracts, p_size % 2 = 0 as showY2, true as showY1, p_size % 3 = 0 as known_version from part")
@@ -203,9 +209,14 @@ def coupon_union(spark, sf_dir):
     return keyed.unioned(rows)
 
 
-@query("select code, status, value from (select repeat(cast(range as varchar), 5) as code, 'vip' as status, 5 as value from range(1, 10))")
+@query("""with held as (select cast(o_orderkey as varchar) as code, 'sold' as status, o_orderkey % 7 as value from orders where o_orderkey % 2 = 1)
+  select code, status, cast(value as bigint) as value from held union all select code, 'vip', 5 from (select repeat(cast(range as varchar), 5) as code from range(1, 10)) where code not in (select code from held)""")
 def coupon_repdigits(spark, sf_dir):
-    return keyed.repdigits(spark, 5, "vip", "2025-01-01").select("code", "status", "value")
+    """Repdigit codes go into a table of coupons that lacks them."""
+    k = F.col("o_orderkey")
+    held = table(spark, sf_dir, "orders").where(k % 2 == 1).select(k.cast("string").alias("code"), F.lit("sold").alias("status"), (k % 7).cast("long").alias("value"))
+    new = keyed.repdigits(spark, 5, "vip", "2025-01-01").select("code", "status", F.col("value").cast("long").alias("value"))
+    return keyed.insert_absent(held, new, "code")[0]
 
 
 @query("""select n_nationkey, ['raw','raw','browse','raw','api','raw'][n_nationkey % 6 + 1] as kind, ['https://raw.githubusercontent.com/o/r/main/a.json','https://raw.githubusercontent.com/o/r/dev/x/b.json','https://github.com/o/r/tree/dev/x','https://other.example/c.json','https://api.github.com/repos/o/r/contents/x?ref=dev','https://raw.githubusercontent.com/o/r/master/x.json'][n_nationkey % 6 + 1] as url from nation""")

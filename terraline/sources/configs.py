@@ -85,6 +85,21 @@ def app_config(spark, markers: DataFrame, settings: dict, results: dict | None =
     return rows.select(F.concat(F.lit('{"format_version":2,"markers":'), "m", F.lit(',"settings":'), dumped(kept), F.lit(',"precomputed_results":'), dumped(done), F.lit("}")).alias("value"))
 
 
+def app_config_from(markers: DataFrame, settings: DataFrame, results: DataFrame) -> DataFrame:
+    """The same row from tables: settings and results (key, value: JSON text), as layers keep them. Keys outside of the lists
+    don't leave; a result that isn't there is null; of a key that comes twice the larger text counts."""
+
+    def members(table: DataFrame, keys: tuple[str, ...], all_of_them: bool) -> DataFrame:
+        row = table.agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in keys])
+        member = lambda k: F.concat(F.lit(f"{json.dumps(k)}:"), F.coalesce(k, F.lit("null")))
+        return row.select(F.array_join(F.array_compact(F.array(*[member(k) if all_of_them else F.when(F.col(k).isNotNull(), member(k)) for k in keys])), ",").alias("members"))
+
+    row = markers.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("idx", "lat", "lng", "active"))), lambda m: F.struct(m["lat"].alias("lat"), m["lng"].alias("lng"), m["active"].alias("active")))).alias("m"))
+    kept, done = members(settings, SETTINGS, False).withColumnRenamed("members", "s"), members(results, RESULTS, True).withColumnRenamed("members", "r")
+    whole = row.join(F.broadcast(kept)).join(F.broadcast(done))
+    return whole.select(F.concat(F.lit('{"format_version":2,"markers":'), "m", F.lit(',"settings":{'), "s", F.lit('},"precomputed_results":{'), "r", F.lit("}}")).alias("value"))
+
+
 def read_app_config(configs: DataFrame, text: str = "value") -> DataFrame:
     """Adds status, markers (array<struct<lat, lng, active>>; null if none are given), settings and results, maps of the
     lists' keys to JSON texts: results of the old flat form stand before those in ``precomputed_results``."""
