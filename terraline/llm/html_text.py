@@ -2,19 +2,24 @@
 
 The pages of a host are merged into one tree: its nodes are element paths (names with classes), and a node counts, over
 the pages that have it, in how many ways its children follow each other (presentation) and which texts its branch holds
-(content). The entropies of both, each divided by the logarithm of the number of pages, give a node's importance,
-1 - (1 - presentation) * (1 - content). A host with few pages says little, so its nodes are shrunk towards the importance
-that nodes of their name and class have over all hosts, and these, like nodes without a class, towards
-what the page itself says: nothing outside of an article is of importance on pages that have one, nor what a class names
-as an advert, a notice, a menu or a sidebar; all else is. Both have the weight of ``PRIOR`` pages; there is no least number of pages. Branches of low importance go.
+(content). A text, or a way, that c of n pages have has the entropy ln c / ln n as a feature of the node. It is taken
+twice: over the host's pages, and over the pages of all hosts that have the node's pool, which is its name and class, or
+its path if it has no class; the larger one counts, so both what a host repeats and what many hosts rotate
+stand out, while another host's repeats don't touch a node with texts of its own. A node's presentation and content
+are 1 minus the mean entropy of what its pages have, and its importance is 1 - (1 - presentation) * (1 - content).
+
+Few pages say little: a host's entropies weigh n / (n + ``PRIOR``), and an importance is shrunk, by the pages of the pool,
+towards 1, or 0 if a class names an advert, a notice, a menu or a sidebar, with the weight of ``PRIOR`` pages. So the
+names decide on a handful of pages and the entropies on all others; there is no least number of pages. Whether a page
+has an article plays no part in a node's importance. Branches of low importance go.
 
 Beside that, elements that HTML itself marks as no main text go (menus, headers, footers, sidebars, forms, scripts,
 styles, hidden parts), so do roles that say the same and reader comments.
 
 Copies say nothing about what a host repeats around its texts, so the tree counts the looks of a node (way and text)
 once for each different main block. An article or main element and what is above it are never removed for their
-importance; branches inside go only far below the others' limit, and not if they are more than half of the article's
-text: pages so alike are near copies.
+importance; branches inside have a lower limit, as bylines and captions repeat too, and stay if they are more than half of
+the article's text: pages so alike are near copies.
 
 The tree's counts are sums by (host, node, way, text), over rows that are made distinct by these and the hash of the main
 block in tasks of any part of a host, so no task gathers a host's pages.
@@ -39,8 +44,8 @@ from terraline.llm.bpe import _with
 from terraline.session import fits, written
 
 #: Below this importance a branch goes: outside of articles, and inside.
-LOW_IMPORTANCE, LOW_INSIDE = 0.85, 0.15
-#: Pages that the labels' importance weighs beside a host's own, and the page's structure beside the labels'.
+LOW_IMPORTANCE, LOW_INSIDE = 0.85, 0.6
+#: Pages that what is assumed of a node before any is read weighs.
 PRIOR = 30
 #: More judged nodes than this meet the pages of their host in a shuffle instead of a broadcast.
 MAX_BROADCAST_NODES = 100_000
@@ -62,7 +67,7 @@ ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form
 #: Roles that mark no main text, and classes or ids of reader comments.
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 COMMENTS = frozenset("comment comments comment-list comments-area disqus_thread respond".split())
-#: Classes that make a node's importance doubtful until its pages say otherwise.
+#: Classes whose nodes are assumed to be of no importance until pages say otherwise.
 DOUBTFUL = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs cookie cookies menu nav navbar newsletter notice notices pagination promo sidebar sponsored".split())
 
 
@@ -219,7 +224,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-_NODES = "host string, node long, label long, inside boolean, doubtful boolean, way long, content long, main long"
+_NODES = "host string, node long, pool long, inside boolean, doubtful boolean, way long, content long, main long"
 
 
 def _nodes(batches):
@@ -228,38 +233,39 @@ def _nodes(batches):
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             page = Page(source or "")
             main = _signed(xxhash.xxh64_intdigest(page.main_block().encode("utf-8", "replace")))
-            article = page.has_article
-            rows += [(host, _signed(path), _signed(label), inside, doubtful or (article and not inside), _signed(way), _signed(text), main) for path, (label, way, text, inside, doubtful) in page.nodes.items()]
+            rows += [(host, _signed(path), _signed(label or path), inside, doubtful, _signed(way), _signed(text), main) for path, (label, way, text, inside, doubtful) in page.nodes.items()]
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
         columns = [*zip(*rows)] or [()] * len(kinds)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "node", "label", "inside", "doubtful", "way", "content", "main"])
-
-
-def _importance(counts: DataFrame, by: list[str]) -> DataFrame:
-    """(by, n_pages, presentation, content, importance, doubtful) of (by, way, content, n, doubtful). The entropy of n pages in ways
-    of c_i pages, as a share of its most, is (n ln n - sum c_i ln c_i) / (n ln n); one page says nothing: 1."""
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "node", "pool", "inside", "doubtful", "way", "content", "main"])
 
-    def entropy(kind: str) -> DataFrame:
-        each = counts.groupBy(*by, kind).agg(F.sum("n").alias("c"), F.sum(F.col("doubtful") * F.col("n")).alias("b"), F.max("inside").alias("inside"))
-        sums = each.groupBy(*by).agg(F.sum("c").alias("n_pages"), F.sum(F.col("c") * F.log("c")).alias("s"), (F.sum("b") / F.sum("c")).alias("doubtful"), F.max("inside").alias("inside"))
-        most = F.col("n_pages") * F.log("n_pages")
-        return sums.select(*by, "n_pages", "doubtful", "inside", F.when(F.col("n_pages") > 1, (most - F.col("s")) / most).otherwise(F.lit(1.0)).alias(kind))
 
-    both = entropy("way").join(entropy("content").drop("n_pages", "doubtful", "inside"), by)
-    return both.select(*by, "n_pages", F.col("way").alias("presentation"), "content", (1 - (1 - F.col("way")) * (1 - F.col("content"))).alias("importance"), "doubtful", "inside")
+def _entropy(counts: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
+    """(host, node, of_<kind>): the mean entropy of the ways or texts of a node's pages. What one page alone has says
+    nothing, so only what is repeated somewhere meets the nodes' totals."""
+    own = counts.groupBy("host", "node", "pool", kind).agg(F.sum("n").alias("c"))
+    everywhere = own.groupBy("pool", kind).agg(F.sum("c").alias("c_all")).where("c_all > 1")
+    repeated = own.join(everywhere, ["pool", kind]).join(nodes, ["host", "node", "pool"])
+    of_host = F.when(F.col("n_pages") > 1, F.log("c") / F.log("n_pages") * F.col("n_pages") / (F.col("n_pages") + PRIOR)).otherwise(0.0)
+    each = F.greatest(of_host, F.log("c_all") / F.log("n_all"))
+    return repeated.groupBy("host", "node").agg((F.sum(F.col("c") * each) / F.max("n_pages")).alias(f"of_{kind}"))
 
 
 def style_tree(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
-    """(host, node, inside, n_pages, presentation, content, importance, shrunk) of every node of every host's tree:
-    ``importance`` from the host's pages alone, ``shrunk`` as it decides; ``n_pages`` counts the different looks of the
-    node by main blocks, ``inside`` nodes are in or above an article."""
+    """(host, node, inside, n_pages, n_all, presentation, content, importance, shrunk) of every node of every host's
+    tree: ``importance`` from the pages alone, ``shrunk`` as it decides; ``n_pages`` counts the different looks of the node
+    by main blocks, ``n_all`` those of its pool; ``inside`` nodes are in or above an article."""
     seen = pages.select(host_of(F.col(url)).alias("host"), F.col(source).alias("html")).mapInArrow(_nodes, _NODES)
-    keys = ["host", "node", "label"]
-    counts = written(seen.groupBy(*keys, "way", "content", "main").agg(F.max(F.col("doubtful").cast("int")).alias("doubtful"), F.max("inside").alias("inside")).groupBy(*keys, "way", "content").agg(F.count("*").alias("n"), F.avg("doubtful").alias("doubtful"), F.max("inside").alias("inside")), "style-tree")
-    shrunk = lambda own, n, other: (n * own + PRIOR * other) / (n + PRIOR)
-    labels = _importance(counts.where("label <> 0"), ["label"]).select("label", shrunk(F.col("importance"), F.col("n_pages"), 1 - F.col("doubtful")).alias("of_label"))
-    nodes = _importance(counts, keys).join(labels, "label", "left")
-    return nodes.select("host", "node", "inside", "n_pages", "presentation", "content", "importance", shrunk(F.col("importance"), F.col("n_pages"), F.coalesce("of_label", 1 - F.col("doubtful"))).alias("shrunk"))
+    keys = ["host", "node", "pool"]
+    marks = (F.max("doubtful").alias("doubtful"), F.max("inside").alias("inside"))
+    counts = written(seen.groupBy(*keys, "way", "content", "main").agg(*marks).groupBy(*keys, "way", "content").agg(F.count("*").alias("n"), *marks), "style-tree")
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("n_pages"), *marks)
+    nodes = written(totals.join(totals.groupBy("pool").agg(F.sum("n_pages").alias("n_all")), "pool"), "style-nodes")
+    sizes = nodes.select(*keys, "n_pages", "n_all")
+    both = nodes.join(_entropy(counts, sizes, "way"), ["host", "node"], "left").join(_entropy(counts, sizes, "content"), ["host", "node"], "left")
+    way, content = F.coalesce("of_way", F.lit(0.0)), F.coalesce("of_content", F.lit(0.0))
+    importance = 1 - way * content
+    assumed = F.when(F.col("doubtful"), 0.0).otherwise(1.0)
+    return both.select("host", "node", "inside", "n_pages", "n_all", (1 - way).alias("presentation"), (1 - content).alias("content"), importance.alias("importance"), ((F.col("n_all") * importance + PRIOR * assumed) / (F.col("n_all") + PRIOR)).alias("shrunk"))
 
 
 def low_nodes(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
