@@ -19,7 +19,7 @@ styles, hidden parts), so do roles that say the same and reader comments.
 Copies say nothing about what a host repeats around its texts, so the tree counts the looks of a node (way and text)
 once for each different main block. An article or main element and what is above it are never removed for their
 importance; branches inside have a lower limit, as bylines and captions repeat too, and stay if they are more than half of
-the article's text: pages so alike are near copies.
+the article's text: pages so alike are near copies. For their sake an article's headings stay as well.
 
 The tree's counts are sums by (host, node, way, text), over rows that are made distinct by these and the hash of the main
 block in tasks of any part of a host, so no task gathers a host's pages.
@@ -61,6 +61,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 NO_TEXT = frozenset("head script style textarea title noscript template iframe xmp noembed noframes nav footer aside form button select option menu dialog svg canvas video audio".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An element of these ends an open one of the same set.
 SIBLINGS = ({"p"}, {"li"}, {"dt", "dd"}, {"tr"}, {"td", "th"}, {"option"})
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -161,21 +162,21 @@ class Page:
         said = _attributes(attributes) if _LOOKED_AT.search(attributes) else {}
         classes = said.get("class", "").lower()
         path = _path(up.path, name, classes)
-        label = _path(0, name, classes) if classes else 0
+        kind = _path(0, name, classes)
         hidden = "hidden" in said or said.get("aria-hidden", "").lower() == "true" or "display:none" in said.get("style", "").replace(" ", "").lower()
         comment = bool(said) and not COMMENTS.isdisjoint((*classes.split(), said.get("id", "").lower()))
         marked = comment or said.get("role", "").lower() in ROLES
         article = name in ("article", "main") and not marked
         off = (up.off and not (article and not up.main)) or name in NO_TEXT or hidden or marked or (name == "header" and not up.main)
-        low = (up.low or path in self.low_paths) and (up.main or not article)
+        low = (up.low or (path in self.low_paths and not (up.main and name in HEADINGS))) and (up.main or not article)
         doubtful = up.doubtful or (bool(classes) and not DOUBTFUL.isdisjoint(classes.split()))
         # what differs in a look changes where words are cut from their neighbours' node
         if self.words and (off != up.off or low != up.low):
             self.flush()
         if self.tree:
-            up.ways = _mixed(up.ways, path)
+            up.ways = _mixed(up.ways, kind)  # not its path: a pool holds nodes of any place
         self.opened[name] = self.opened.get(name, 0) + 1
-        self.stack.append(_Node(name, path, label, off, up.main or article, low, up.block if name in INLINE else name, doubtful))
+        self.stack.append(_Node(name, path, kind if classes else 0, off, up.main or article, low, up.block if name in INLINE else name, doubtful))
 
     def leave(self) -> None:
         node = self.stack.pop()

@@ -4,6 +4,7 @@ import math
 import random
 import tracemalloc
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,52 +27,37 @@ def site(rng, n):
 
 
 def entropies(rows):
-    """(host, node): n, presentation, content, importance, by counting looks in plain Python."""
-    looks, of = defaultdict(set), {}
+    """(host, node): pages, pages of the pool, presentation, content, importance, shrunk, by counting looks in plain Python."""
+    looks, pools, names = defaultdict(set), defaultdict(list), {}
     for _, url, source in rows:
         page = html_text.Page(source or "")
         for path, (label, way, text, inside, doubtful) in page.nodes.items():
             looks[url.split("/")[2], path].add((way, text, page.main_block()))
-            of[url.split("/")[2], path] = label or (url.split("/")[2], path)
-    out = {}
-
-    def share(values):
-        n = len(values)
-        return 1.0 if n == 1 else -sum(c / n * math.log(c / n) for c in Counter(values).values()) / math.log(n)
-
+            names[url.split("/")[2], path] = label or path, doubtful
     for key, seen in looks.items():
-        a, b = share([x[0] for x in seen]), share([x[1] for x in seen])
-        out[key] = len(seen), a, b, 1 - (1 - a) * (1 - b)
-    pooled, doubt = defaultdict(list), defaultdict(list)
+        pools[names[key][0]] += seen
+    k, out = html_text.PRIOR, {}
     for key, seen in looks.items():
-        pooled[of[key]] += seen
-    for _, url, source in rows:
-        page = html_text.Page(source or "")
-        for path, (label, way, text, inside, doubtful) in page.nodes.items():
-            doubt[label or (url.split("/")[2], path)].append(((url.split("/")[2], path, way, text, page.main_block()), doubtful or (page.has_article and not inside)))
-    k = html_text.PRIOR
-    shrunk = {}
-    for key, (n, _, _, own) in out.items():
-        label = of[key]
-        a, b = share([x[0] for x in pooled[label]]), share([x[1] for x in pooled[label]])
-        m = len(pooled[label])
-        doubts = dict(doubt[label])
-        prior = 1 - sum(doubts.values()) / len(doubts)
-        of_label = (m * (1 - (1 - a) * (1 - b)) + k * prior) / (m + k) if isinstance(label, int) else prior
-        shrunk[key] = (n * own + k * of_label) / (n + k)
-    return out, shrunk
+        n, pool, means = len(seen), pools[names[key][0]], []
+        for kind in (0, 1):
+            here, everywhere = Counter(x[kind] for x in seen), Counter(x[kind] for x in pool)
+            of_host = lambda x: math.log(here[x]) / math.log(n) * n / (n + k) if n > 1 else 0.0
+            of_all = lambda x: math.log(everywhere[x]) / math.log(len(pool)) if everywhere[x] > 1 else 0.0
+            means.append(sum(max(of_host(x[kind]), of_all(x[kind])) for x in seen) / n)
+        importance = 1 - means[0] * means[1]
+        shrunk = (len(pool) * importance + k * (not names[key][1])) / (len(pool) + k)
+        out[key] = n, len(pool), 1 - means[0], 1 - means[1], importance, shrunk
+    return out
 
 
 def test_entropies_and_importance(spark):
     rows = site(random.Random(1), 150)
     rows += [(1000 + i, r[1], r[2]) for i, r in enumerate(rows[:40])]  # copies
-    want, shrunk = entropies(rows)
+    want = entropies(rows)
     got = html_text.style_tree(spark.createDataFrame(rows, KINDS)).collect()
     assert len(got) == len(want)
     for r in got:
-        key = r.host, r.node & (2**64 - 1)
-        assert (r.n_pages, pytest.approx(r.presentation), pytest.approx(r.content), pytest.approx(r.importance)) == want[key]
-        assert r.shrunk == pytest.approx(shrunk[key])
+        assert (r.n_pages, r.n_all, r.presentation, r.content, r.importance, r.shrunk) == pytest.approx(want[r.host, r.node & (2**64 - 1)])
 
 
 @pytest.mark.parametrize("most", [100_000, 0])
@@ -108,3 +94,73 @@ def test_importance_never_takes_an_article():
     page = html_text.Page("<div><article><p>one</p><p class=x>two words here</p></article><p>beside</p></div>")
     paths = frozenset(page.nodes)
     assert html_text.Page("<div><article><p>one</p><p class=x>two words here</p></article><p>beside</p></div>", low=paths).main_text() == "one\n\ntwo words here"
+
+
+class Paragraphs(HTMLParser):
+    """The text of h1 and p elements, by Python's own parser; the pages of ``mixed_sites`` have no other main text."""
+
+    def __init__(self, source):
+        super().__init__()
+        self.found, self.open = [], False
+        self.feed(source)
+
+    def handle_starttag(self, tag, attributes):
+        if tag in ("h1", "p"):
+            self.found.append("")
+            self.open = True
+
+    def handle_endtag(self, tag):
+        self.open = self.open and tag not in ("h1", "p")
+
+    def handle_data(self, data):
+        if self.open:
+            self.found[-1] += data
+
+
+def mixed_sites(rng, n, boxed="<div class='{}'><span>{}</span></div>"):
+    """Pages of five hosts, most without an article: a strip that the host repeats, a box of one of twenty rotating texts
+    that all hosts share, before the paragraphs or among them. No class says what they are."""
+    rows = []
+    for i in range(n):
+        host = rng.choice("abcde") + ".example"
+        words = [rng.choice("abcdefghij") * rng.randint(2, 9) for _ in range(40)]
+        ps = [f"<p>{' '.join(words[:9])} &amp; more</p>", f"<p>{' '.join(words[9:])}</p>"]
+        box = boxed.format("c7", f"rotating text {rng.randrange(20)}")
+        ps.insert(rng.randint(0, 2), box)
+        inner = f"<h1>{words[0]} {i}</h1>" + "".join(ps)
+        kind = "article" if host == "a.example" else "div"
+        rows.append((i, f"https://{host}/{i}", f"<body><div class=k>all about {host}</div><{kind}>{inner}</{kind}></body>"))
+    return rows
+
+
+def test_entropies_decide_with_and_without_articles(spark, monkeypatch):
+    """Adverts inside and outside of articles go by their entropies alone: without the prior the text is the same, and
+    without the entropies every page keeps them."""
+    rows = mixed_sites(random.Random(3), 400)
+    df = spark.createDataFrame(rows, KINDS)
+    want = {i: "\n\n".join(Paragraphs(source).found) for i, _, source in rows}
+    texts = lambda: {r.page_id: r.text for r in html_text.main_text(df).collect()}
+    assert texts() == want
+    monkeypatch.setattr(html_text, "PRIOR", 0)
+    assert texts() == want
+    monkeypatch.setattr(html_text, "PRIOR", 1e15)
+    got = texts()
+    assert all("rotating text" in got[i] and "all about" in got[i] for i in got)
+
+
+def test_another_hosts_repeats_touch_no_text_of_ones_own(spark):
+    """A host with a third of all pages repeats a text in the very place where others have their own."""
+    rows = [(i, "https://hot.example/", f"<body><div>always the same</div><p>{i} own words</p></body>") for i in range(100)]
+    rows += [(100 + i, f"https://h{i % 40}.example/", f"<body><div>of {i} alone</div></body>") for i in range(200)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, KINDS)).collect()}
+    assert all(got[i] == f"{i} own words" for i in range(100)) and all(got[100 + i] == f"of {i} alone" for i in range(200))
+
+
+def test_names_decide_on_a_handful_of_pages(spark):
+    rows = [(i, "https://h.example/", f"<body><div class=ad>advert {i}</div><div class=x>text {i}</div></body>") for i in range(3)]
+    assert {r.text for r in html_text.main_text(spark.createDataFrame(rows, KINDS)).collect()} == {"text 0", "text 1", "text 2"}
+
+
+def test_headings_of_near_copies_stay(spark):
+    rows = [(i, f"https://h{i % 3}.example/", f"<article><h1>One title</h1><p>{i} a near copy</p></article>") for i in range(90)]
+    assert {r.text[:9] for r in html_text.main_text(spark.createDataFrame(rows, KINDS)).collect()} == {"One title"}
