@@ -70,3 +70,19 @@ def browse_listing(url: Column) -> Column:
     below = F.array_join(F.slice(parts, F.greatest(at + 2, F.lit(1)), F.greatest(F.size(parts) - at - 1, F.lit(0))), "/")
     ref = F.get(parts, at)
     return F.when((at > 0) & ref.isNotNull(), listing_url(parts[0], parts[1], below, ref)).when(F.size(parts) >= 2, listing_url(parts[0], parts[1], F.lit(""), F.lit("master")))
+
+
+#: How a moment is written in a price answer, a kept bundle, an export and a file's name.
+STAMPS = {"price": "yyyy-MM-dd HH:mm:ss", "bundle": "yyyy-MM-dd'T'HH:mm:ss'Z'", "export": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "file": "yyyyMMdd_HHmmss"}
+
+
+def stamp(at: Column, kind: str) -> Column:
+    """A moment as text, in the session's time zone; a null one gives null. An export leaves out a fraction that is 0."""
+    said = F.date_format(at, STAMPS[kind])
+    return F.regexp_replace(said, r"\.000000Z$", "Z") if kind == "export" else said
+
+
+def requested_ranges(minutes: Column) -> Column:
+    """An array of minutes as a request's seconds, ascending, joined by commas; nulls are left out."""
+    seconds = F.transform(F.array_sort(F.filter(minutes, lambda m: m.isNotNull())), lambda m: (m * 60).cast("string"))
+    return F.array_join(seconds, ",")

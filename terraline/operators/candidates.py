@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraline.functions import geo
@@ -36,15 +36,16 @@ def network_candidates(nodes: DataFrame, edges: DataFrame, close: DataFrame, bet
 
 
 def places_near(candidates: DataFrame, places: DataFrame, radius_km: float = POI_KM, most: int = MOST_POIS) -> DataFrame:
-    """(candidate_id, categories): up to ``most`` places (lat, lon, categories) within the radius of each candidate, the
-    nearest first; a candidate without any gives no row. Places go to cells, so only near ones meet."""
+    """(candidate_id, categories, d_km): up to ``most`` places (lat, lon, categories) within the radius of each candidate,
+    the nearest ones, ties by place and categories; a candidate without any gives no row. Places go to cells, so only near ones
+    meet, and a task keeps ``most`` of a candidate before they are shuffled."""
     step = radius_km / 110.0
     cy, span = F.floor(F.col("lat") / step), F.ceil(geo.degrees_of_longitude(F.col("lat"), radius_km) / step)
     asked = candidates.select(F.col("id").alias("candidate_id"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.explode(F.sequence(cy - 1, cy + 1)).alias("cy"), F.floor(F.col("lon") / step).alias("x"), span.alias("span")).withColumn("cx", F.explode(F.sequence(F.col("x") - F.col("span"), F.col("x") + F.col("span"))))
     held = places.select("lat", "lon", "categories", cy.alias("cy"), F.floor(F.col("lon") / step).alias("cx"))
-    near = asked.join(held, ["cy", "cx"]).withColumn("d", geo.haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))).where(F.col("d") <= radius_km)
-    kept = near.groupBy("candidate_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "lat", "lon", "categories"))), 1, most).alias("p"))
-    return kept.select("candidate_id", F.explode("p").alias("p")).select("candidate_id", "p.categories")
+    near = asked.join(held, ["cy", "cx"]).withColumn("d_km", geo.haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))).where(F.col("d_km") <= radius_km)
+    place = F.row_number().over(Window.partitionBy("candidate_id").orderBy("d_km", "lat", "lon", "categories"))
+    return near.withColumn("_place", place).where(F.col("_place") <= most).select("candidate_id", "categories", "d_km")
 
 
 def validated(candidates: DataFrame, places: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

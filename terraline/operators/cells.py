@@ -49,7 +49,10 @@ def intersection(cells: DataFrame, n: int) -> DataFrame:
 
 
 def area_km2(cells: DataFrame, cell_deg: float = 0.001) -> DataFrame:
-    """One row (n_cells, area_km2, lat, lon): the cells' area and centroid."""
+    """One row (n_cells, area_km2, lat, lon): the cells' area and centroid. Cells on both sides of the date line, over half
+    the globe apart by their numbers, have their mean across it."""
     lat, lon = (F.col("cy") + F.lit(0.5)) * cell_deg, (F.col("cx") + F.lit(0.5)) * cell_deg
     one = F.lit(geo.KM_PER_DEGREE_LAT * geo.KM_PER_DEGREE_LON * cell_deg * cell_deg) * F.cos(F.radians(lat))
-    return cells.agg(F.count("*").alias("n_cells"), F.sum(one).alias("area_km2"), F.avg(lat).alias("lat"), F.avg(lon).alias("lon"))
+    east = F.avg(F.when(lon < 0, lon + 360).otherwise(lon))
+    mean = F.when(F.max(lon) - F.min(lon) <= 180, F.avg(lon)).otherwise(F.when(east > 180, east - 360).otherwise(east))
+    return cells.agg(F.count("*").alias("n_cells"), F.sum(one).alias("area_km2"), F.avg(lat).alias("lat"), mean.alias("lon"))

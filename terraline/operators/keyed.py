@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def upsert(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """``table`` with the rows of ``changes`` (unique keys): they replace whole rows of their keys."""
-    new = changes.select(F.col(key).alias("_key"), F.struct(*[c for c in table.columns]).alias("_new"))
+def upsert(table: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """``table`` with the rows of ``changes``: they replace whole rows of their keys. Of several changes of one key the last
+    by ``order`` counts (by all its values if none is given)."""
+    others = [F.col(order).desc_nulls_last()] if order else [F.col(c).desc_nulls_last() for c in table.columns if c != key]
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*others or [F.lit(0)]))
+    new = changes.withColumn("_place", place).where("_place = 1").select(F.col(key).alias("_key"), F.struct(*[c for c in table.columns]).alias("_new"))
     old = table.select(F.col(key).alias("_old_key"), F.struct(*table.columns).alias("_old"))
     both = old.join(new, F.col("_old_key") == F.col("_key"), "full")
     return both.select(F.coalesce("_new", "_old").alias("r")).select("r.*")

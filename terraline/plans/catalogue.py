@@ -458,9 +458,10 @@ PAIR_SQL = f"""(select n_nationkey as project, x.i as i, y.i as j, x.room as roo
   from nation, {ROOM_SQL} x(i,room) join {ROOM_SQL} y(i,room) on x.i<y.i left join {RULE_SQL} on (r.a=x.room and r.b=y.room) or (r.a=y.room and r.b=x.room))"""
 
 
-@query(f"""select project, cast(sum(case when present then c*w else 0 end - case when c=1 and w=3 and not present then w else 0 end) as bigint) as score, cast(sum(greatest(c*w,0)) as bigint) as s_max, count_if(present) as n_edges, count_if((c=1 and w=3 and not present) or (c=-1 and w=3 and present)) as n_violations from {PAIR_SQL} group by 1""")
+@query(f"""select project, cast(sum(case when present then c*w else 0 end - case when c=1 and w=3 and not present then w else 0 end) as bigint) as score, cast(sum(greatest(c*w,0)) as bigint) as s_max, round(least(100, greatest(0, 100.0e0*sum(case when present then c*w else 0 end - case when c=1 and w=3 and not present then w else 0 end)/sum(greatest(c*w,0)))), 6) as quality, count_if(present) as n_edges, count_if((c=1 and w=3 and not present) or (c=-1 and w=3 and present)) as n_violations from {PAIR_SQL} group by 1""")
 def rule_matrix_score(spark, sf_dir):
-    return rules.graph_scores(rules.rule_pairs(projects(spark, sf_dir)), project_edges(spark, sf_dir)).drop("quality")
+    found = rules.graph_scores(rules.rule_pairs(projects(spark, sf_dir)), project_edges(spark, sf_dir))
+    return found.withColumn("quality", F.round("quality", 6))
 
 
 @query(f"select project, room1, room2, case when c=1 then 'missing' else 'present' end as violation from {PAIR_SQL} where (c=1 and w=3 and not present) or (c=-1 and w=3 and present)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terraline.functions import payoff, text
-from terraline.operators import jsondoc, keyed, location, rules
+from terraline.operators import drawing, jsondoc, keyed, location, rules
 from terraline.plans.catalogue import GRID, ROOM_SQL, ROOMS, Y1, Y8, Y9, project_edges, projects, query, scenarios, table
 from terraline.sources import configs, listings
 
@@ -69,13 +69,13 @@ def plan_totals(spark, sf_dir):
     return t.select("project", *[F.round(c, 6).alias(c) for c in ("net", "gross", "scale", "coverage")])
 
 
-@query("""select n_nationkey as project, '{"Packed_Plan":[{"room":"Kitchen","x":0.0,"y":0.0,"w":12.0,"h":6.0}],"Openings":[],"Furniture":[{"id":"f","w_m":0.5}],"metadata":{"site_width_m":12.0,"site_length_m":6.0,"scale_factor":1.5,"total_net_sqm":40.0,"total_gross_sqm":48.0}}' as design from nation""")
+@query("""select n_nationkey as project, '{"Packed_Plan":[{"room":"Kitchen","x":0.0,"y":0.0,"w":12.0,"h":6.0}],"Openings":' || case when n_nationkey % 2 = 0 then '[{"id":"o","width_m":' || (n_nationkey + 0.5e0) || '}]' else '[]' end || ',"Furniture":[{"id":"f","w_m":0.5}],"metadata":{"site_width_m":12.0,"site_length_m":6.0,"scale_factor":1.5,"total_net_sqm":40.0,"total_gross_sqm":48.0}}' as design from nation""")
 def design_documents(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("project"))
     rooms = n.select("project", F.lit(0).alias("ord"), F.lit("Kitchen").alias("room"), F.lit(40.0).alias("net"))
     totals = rules.site_totals(rooms, 0.2, 72.0)
     rects = rules.packed(rules.space_table(rooms, 0.2, 72.0), 12.0, 6.0)
-    return rules.design_json(rects, n.limit(0).withColumn("id", F.lit("o")), n.select("project", F.lit("f").alias("id"), F.lit(0.5).alias("w_m")), totals, 12.0, 6.0)
+    return rules.design_json(rects, n.where("project % 2 = 0").select("project", F.lit("o").alias("id"), (F.col("project") + F.lit(0.5)).alias("width_m")), n.select("project", F.lit("f").alias("id"), F.lit(0.5).alias("w_m")), totals, 12.0, 6.0)
 
 
 EDGE_SQL = f"""(select n_nationkey as project, x.room as room1, y.room as room2 from nation, {ROOM_SQL} x(i,room) join {ROOM_SQL} y(i,room) on x.i<y.i where (n_nationkey + x.i*3 + y.i) % 3 > 0 and (n_nationkey % 4 > 0 or y.i < 5))"""
@@ -241,3 +241,39 @@ def fresh_results(spark, sf_dir):
     now = F.to_timestamp(F.lit("2025-01-01 12:00:00"))
     kept = table(spark, sf_dir, "nation").select("n_nationkey", (now - F.make_interval(secs=F.col("n_nationkey") * 300 + 1.0)).alias("written_at"))
     return location.still_fresh(kept, now).select("n_nationkey")
+
+
+@query(f"select n_nationkey as project, room, round(cos(2*pi()*i/6), 8) as x, round(sin(2*pi()*i/6), 8) as y, round(greatest(44, 7*(n_nationkey + i + 0.5e0)), 6) as size from nation, {ROOM_SQL} r(i,room)")
+def rooms_on_a_circle(spark, sf_dir):
+    rooms = projects(spark, sf_dir).withColumn("net", F.col("project") + F.col("ord") + F.lit(0.5))
+    return drawing.on_circle(rooms).select("project", "room", *[F.round(c, k).alias(c) for c, k in (("x", 8), ("y", 8), ("size", 6))])
+
+
+@query("""with l as (select p_partkey, p_size*1.0e0 as x0, (p_partkey % 7)*0.5e0 as y0, (p_partkey % 13)*1.0e0 as x1, (p_size % 5)*0.5e0 as y1 from part),
+  c as (select *, case when (x0+y0) - 2*floor((x0+y0)/2) > 1 then 0.15e0 else -0.15e0 end as s from l), m as (select *, (x0+x1)/2 - (y1-y0)*s as cx, (y0+y1)/2 + (x1-x0)*s as cy from c),
+  p as (select *, unnest(range(30)) as i, unnest(range(30))/29.0e0 as t from m)
+  select p_partkey, cast(i as integer) as i, round((1-t)*(1-t)*x0 + 2*(1-t)*t*cx + t*t*x1, 6) as x, round((1-t)*(1-t)*y0 + 2*(1-t)*t*cy + t*t*y1, 6) as y from p where x0 <> x1 or y0 <> y1 or i = 0""")
+def linking_curves(spark, sf_dir):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    points = drawing.curve(size * F.lit(1.0), k % 7 * F.lit(0.5), k % 13 * F.lit(1.0), size % 5 * F.lit(0.5))
+    return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(points).alias("i", "p")).select("p_partkey", "i", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
+
+
+@query()
+def rooms_by_springs(spark, sf_dir):
+    """Rooms packed in the order of their heights among springs. SQL has no such placement; tests hold small cases."""
+    rooms = projects(spark, sf_dir).withColumn("area", F.lit(12.0))
+    edges = project_edges(spark, sf_dir).withColumn("score", F.when(F.col("room1") == "Dining", 3).otherwise(1))
+    places = drawing.by_springs(rooms, edges)
+    return rules.packed(drawing.by_height(rooms, places), 12.0, 6.0).join(places.withColumnsRenamed({"x": "drawn_x", "y": "drawn_y"}), ["project", "room"])
+
+
+@query("select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as price, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as bundle, replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ'), '.000000Z', 'Z') as export, strftime(ts, '%Y%m%d_%H%M%S') as file from events")
+def time_stamps(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", *[text.stamp(F.col("ts"), k).alias(k) for k in text.STAMPS])
+
+
+@query("select s_nationkey, string_agg(60*m, ',' order by m) as ranges from (select s_nationkey, s_suppkey % 17 + 1 as m from supplier) group by 1")
+def request_ranges(spark, sf_dir):
+    minutes = F.collect_list(F.col("s_suppkey") % 17 + 1)
+    return table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(text.requested_ranges(minutes).alias("ranges"))

@@ -148,20 +148,20 @@ def rent_at_nodes(spark, sf_dir):
     return rent_run(spark, sf_dir).nodes.select("id", F.round("d_km", 6).alias("d_km"), "rent")
 
 
-@query(f"""{ANCHOR_SQL}, g as (select lat, lon, (c_custkey % 97)/97.0e0 as c, row_number() over (order by (c_custkey % 97)/97.0e0 desc, c_custkey) as rank from {POINTS} qualify rank <= 10)
-  select cast(rank as integer) as rank, round(c, 4) as score, round(lat, 5) as lat, round(lon, 5) as lon, round(c, 3) as closeness, round({DM}, 2) as d_km, round(r0*exp(-lam*{DM}), 1) as estimate, round(c - least(1, greatest(0, exp(-lam*{DM}))), 3) as value_gap from g, m""")
+@query(f"""{ANCHOR_SQL}, g as (select lat, lon, (c_custkey % 97)/97.0e0 as c, (c_custkey % 13)/13.0e0 as g, row_number() over (order by (c_custkey % 97)/97.0e0 desc, c_custkey) as rank from {POINTS} qualify rank <= 10)
+  select cast(rank as integer) as rank, round(c, 4) as score, round(lat, 5) as lat, round(lon, 5) as lon, round(c, 3) as closeness, round(g, 3) as degree, round({DM}, 2) as d_km, round(r0*exp(-lam*{DM}), 1) as estimate, round(c - least(1, greatest(0, exp(-lam*{DM}))), 3) as value_gap from g, m""")
 def golden_values(spark, sf_dir):
     from pyspark.sql import Window
 
     c = (F.col("c_custkey") % 97) / 97.0
-    top = points(spark, sf_dir).select("id", "lat", "lon", c.alias("closeness_norm"), c.alias("score"), F.lit(0.5).alias("degree_norm")).orderBy(F.desc("score"), "id").limit(10)
+    top = points(spark, sf_dir).select("id", "lat", "lon", c.alias("closeness_norm"), c.alias("score"), ((F.col("c_custkey") % 13) / 13.0).alias("degree_norm")).orderBy(F.desc("score"), "id").limit(10)
     top = top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "id")))
-    return location.golden_table(top, rent_run(spark, sf_dir).model).drop("degree")
+    return location.golden_table(top, rent_run(spark, sf_dir).model)
 
 
-@query(f"{ANCHOR_SQL} select idx + 1 as place, active, round(lat, 5) as lat, round(lng, 5) as lng, round({km('a_lat', 'a_lon', 'lat', 'lng')}, 2) as d_km from {MARKERS}, m")
+@query(f"{ANCHOR_SQL} select idx + 1 as place, active, round(lat, 5) as lat, round(lng, 5) as lng, round({km('a_lat', 'a_lon', 'lat', 'lng')}, 2) as d_km, format('{{:,}} THB', cast(round(r0*exp(-lam*{km('a_lat', 'a_lon', 'lat', 'lng')})) as bigint)) as estimate from {MARKERS}, m")
 def marker_rents(spark, sf_dir):
-    return location.marker_table(markers(spark, sf_dir), rent_run(spark, sf_dir).model, "THB").drop("estimate")
+    return location.marker_table(markers(spark, sf_dir), rent_run(spark, sf_dir).model, "THB")
 
 
 @query(f"{ANCHOR_SQL} select 2::bigint as n_active, round((select sum(110.574e0*111.320e0*1e-6*cos(radians((cy+0.5e0)*0.001e0))) from {CENTRE}), 2) as centre_km2, (select count(*) from {NODES}) as nodes_count, round(lam, 4) as lam, round(ln(2.0e0)/abs(lam), 2) as half_dist_km from m")
@@ -264,6 +264,28 @@ def places_within(spark, sf_dir):
     return found.groupBy("candidate_id").agg(F.count("*").alias("n"))
 
 
+@query(f"""with near as (select c.id, {km('c.lat','c.lon','x.lat','x.lon')} as d from {POINTS} c join (select 20.0e0 + (p_partkey*37 % 1000)/10000.0e0 as lat, 100.0e0 + (p_partkey*91 % 1000)/10000.0e0 as lon from part) x on {km('c.lat','c.lon','x.lat','x.lon')} <= 3.0e0)
+  select id as candidate_id, count(*) as n, round(max(d), 6) as farthest_km from (select *, row_number() over (partition by id order by d) as place from near) where place <= 100 group by 1""")
+def nearest_hundred_places(spark, sf_dir):
+    """The cap on a candidate's places, which its radius exceeds here."""
+    found = candidates.places_near(points(spark, sf_dir), pois(spark, sf_dir), 3.0)
+    return found.groupBy("candidate_id").agg(F.count("*").alias("n"), F.round(F.max("d_km"), 6).alias("farthest_km"))
+
+
+OWN_LINE = "o_orderkey % 3 = 0"
+
+
+@query(f"""with e as (select *, 100 + (o_custkey % 50)/100.0e0 as x0, 20 + (o_custkey % 40)/100.0e0 as y0, 100 + (o_orderkey % 50)/100.0e0 as x1, 20 + (o_orderkey % 40)/100.0e0 as y1 from orders)
+  select o_orderkey, case when {OWN_LINE} then 3 else 2 end as n_points, round(x0, 6) as first_lon, round(case when {OWN_LINE} then 20.5e0 else y1 end, 6) as second_lat, round(y1, 6) as last_lat from e""")
+def road_lines(spark, sf_dir):
+    """Roads with a line of their own, and straight ones."""
+    at = lambda k: F.struct((100 + (F.col(k) % 50) / 100.0).alias("lon"), (20 + (F.col(k) % 40) / 100.0).alias("lat"))
+    a, b = at("o_custkey"), at("o_orderkey")
+    own = F.when(F.expr(OWN_LINE), F.array(F.array(a["lon"], a["lat"]), F.array(F.lit(100.5), F.lit(20.5)), F.array(b["lon"], b["lat"])))
+    line = network.line_of(own, a, b)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.size(line).alias("n_points"), F.round(line[0][0], 6).alias("first_lon"), F.round(line[1][1], 6).alias("second_lat"), F.round(F.element_at(line, -1)[1], 6).alias("last_lat"))
+
+
 @query("select o_orderkey, case when o_orderkey % 45 <= 10 then 'step1' when o_orderkey % 45 <= 20 then 'step2' when o_orderkey % 45 <= 30 then 'step3' else 'step4' end as bucket, case when o_orderkey % 9 = 0 then '#3388ff' else ['red','green','blue'][o_orderkey % 3 + 1] end as border from orders")
 def map_styles(spark, sf_dir):
     k = F.col("o_orderkey")
