@@ -49,6 +49,19 @@ def area_km2(ring: Column, lat: Column) -> Column:
     return F.abs(_shoelace(ring)) / 2 * KM_PER_DEGREE_LAT * KM_PER_DEGREE_LON * F.cos(F.radians(lat))
 
 
+def inside(rings: Column, lat: Column, lon: Column) -> Column:
+    """Whether a place lies in a polygon (array of rings of struct lon, lat), by the even-odd rule over all its rings, so holes
+    are outside. A place on a southern or western edge is in, on a northern or eastern one it is not."""
+
+    def crossings(ring: Column) -> Column:
+        edges = F.zip_with(F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring) - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+        crossed = F.filter(edges, lambda e: ((e["p"]["lat"] > lat) != (e["q"]["lat"] > lat)) & (lon < (e["q"]["lon"] - e["p"]["lon"]) * (lat - e["p"]["lat"]) / F.nullif(e["q"]["lat"] - e["p"]["lat"], F.lit(0.0)) + e["p"]["lon"]))
+        return F.size(crossed)
+
+    known = F.filter(rings, lambda r: F.size(r) > 1)
+    return F.aggregate(F.transform(known, crossings), F.lit(0), lambda s, k: s + k) % 2 == 1
+
+
 def travel_bucket(minutes: Column) -> Column:
     """Step 1 to 4 of a travel time: up to 10, 20, 30 minutes, beyond."""
     return F.when(minutes <= 10, "step1").when(minutes <= 20, "step2").when(minutes <= 30, "step3").otherwise("step4")

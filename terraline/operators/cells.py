@@ -29,14 +29,7 @@ def polygon_cells(polygons: DataFrame, cell_deg: float = 0.001) -> DataFrame:
     span = lambda c: F.sequence(*[F.floor(e / cell_deg) for e in ends(c)])
     cells = polygons.withColumn("cy", F.explode(span("lat"))).withColumn("cx", F.explode(span("lon")))
     y, x = (F.col("cy") + F.lit(0.5)) * cell_deg, (F.col("cx") + F.lit(0.5)) * cell_deg
-
-    def crossings(ring):
-        edges = F.zip_with(F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring) - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
-        crossed = F.filter(edges, lambda e: ((e["p"]["lat"] > y) != (e["q"]["lat"] > y)) & (x < (e["q"]["lon"] - e["p"]["lon"]) * (y - e["p"]["lat"]) / F.nullif(e["q"]["lat"] - e["p"]["lat"], F.lit(0.0)) + e["p"]["lon"]))
-        return F.size(crossed)
-
-    n = F.aggregate(F.transform("rings", crossings), F.lit(0), lambda s, k: s + k)
-    return cells.where(n % 2 == 1).select("id", "cy", "cx")
+    return cells.where(geo.inside(F.col("rings"), y, x)).select("id", "cy", "cx")
 
 
 def union(cells: DataFrame) -> DataFrame:

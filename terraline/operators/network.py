@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terraline.functions import geo
 from terraline.functions.rent import ramp_colour
 from terraline.operators import graph
 from terraline.session import written
+from terraline.sources import tables
 
 #: The network's kind by travel mode, widths of roads and sizes of crossings, and the sizes from which
 #: betweenness and closeness are sampled.
@@ -68,3 +71,30 @@ def layers(nodes: DataFrame, edges: DataFrame, golden: int = 10) -> Layers:
     method = close.agg(F.first("method").alias("closeness_method"))
     stats = edges.agg(F.count("*").alias("edges_count")).join(F.broadcast(method)).select(F.lit(n).cast("long").alias("nodes_count"), "edges_count", F.lit(n > SAMPLED_BETWEENNESS).alias("used_approximation"), "closeness_method", F.when(F.lit(n) < 2, "too few nodes").otherwise("ok").alias("status"))
     return Layers(roads, crossings, top_node(nodes, close), spots, stats, close, between)
+
+
+def in_area(nodes: DataFrame, edges: DataFrame, areas: DataFrame, tile_deg: float = 0.02) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, lat, lon) that lie in any of the areas (rings), and edges (src, dst) with both ends among them. Areas go
+    to the tiles of their boxes, so a node meets only areas near it; a node without a place is in none."""
+    points = F.flatten("rings")
+    ends = lambda c: [F.floor(f(F.transform(points, lambda p: p[c])) / tile_deg) for f in (F.array_min, F.array_max)]
+    tiles = areas.where(F.size(points) > 0).select("rings", F.explode(F.sequence(*ends("lat"))).alias("_ty"), F.sequence(*ends("lon")).alias("_txs")).withColumn("_tx", F.explode("_txs")).drop("_txs")
+    placed = nodes.select("id", "lat", "lon", F.floor(F.col("lat") / tile_deg).alias("_ty"), F.floor(F.col("lon") / tile_deg).alias("_tx"))
+    found = written(placed.join(tiles, ["_ty", "_tx"]).where(geo.inside(F.col("rings"), F.col("lat"), F.col("lon"))).select("id").distinct(), "nodes-in-area")
+    both = edges.join(found.withColumnRenamed("id", "src"), "src", "left_semi").join(found.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return nodes.join(found, "id", "left_semi"), both.select(*edges.columns)
+
+
+def graph_of_area(spark: SparkSession, folder: str, areas: DataFrame, network: str, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """Nodes and edges of the areas, and whether they were kept in ``folder`` already: by the areas' bounds and the network's
+    kind. What isn't kept is cut from all nodes and edges and kept."""
+    p = areas.select(F.explode(F.flatten("rings")).alias("p"))
+    box = p.agg(F.min("p.lat").alias("s"), F.min("p.lon").alias("w"), F.max("p.lat").alias("n"), F.max("p.lon").alias("e"))
+    key = box.select(tables.graph_key(F.col("s"), F.col("w"), F.col("n"), F.col("e"), F.lit(network))).first()[0]
+    try:
+        return *tables.load_graph(spark, folder, key), True
+    except AnalysisException as lost:
+        if lost.getCondition() != "PATH_NOT_FOUND":
+            raise
+    tables.save_graph(*in_area(nodes, edges, areas), folder, key)
+    return *tables.load_graph(spark, folder, key), False

@@ -139,6 +139,19 @@ def rent_rings(spark, sf_dir):
     return shapes.select("ring", "mid_rent", F.round("area_km2", 6).alias("area_km2"))
 
 
+RAMP_SQL = "[" + ",".join(f"'{c}'" for c in rent.RAMP) + "]"
+
+
+@query(f"""with r as (select *, k, k*d_max/6 as outer_km, (k-1)*d_max/6 as inner_km, exp(-lam*((k-0.5e0)*d_max/6)) as mid, exp(-lam*0.5e0*d_max/6) as a, exp(-lam*5.5e0*d_max/6) as b from {MODEL}, (select range as k from range(1,7)))
+  select cast(k as integer) as ring, {RAMP_SQL}[cast(round(6*(mid - least(a, b))/(greatest(a, b) - least(a, b))) as integer) + 1] as colour, 73 as n_outer, round(100.05e0 + outer_km/(111.320e0*cos(radians(20.05e0))), 8) as outer_east, round(20.05e0 + outer_km/110.574e0, 8) as outer_top,
+    case when k > 1 then round(20.05e0 - inner_km/110.574e0, 8) end as inner_quarter, case when k > 1 then round(20.05e0 + inner_km/110.574e0, 8) end as inner_three_quarters from r""")
+def rent_ring_outlines(spark, sf_dir):
+    """Colours and outlines; the hole runs the other way round, so its first quarter ends at the bottom."""
+    shapes = rings.ring_shapes(rings.model(rings.fit_rents(samples(spark, sf_dir), ANCHOR)), ANCHOR)
+    at = lambda c, i, f, name: F.round(F.col(c)[i][f], 8).alias(name)
+    return shapes.select("ring", "colour", F.size("outer").alias("n_outer"), at("outer", 0, "lon", "outer_east"), at("outer", 18, "lat", "outer_top"), at("inner", 18, "lat", "inner_quarter"), at("inner", 54, "lat", "inner_three_quarters"))
+
+
 STEP = 1.0
 RING = f"case when floor({D}/1.0e0) < 6 then cast(floor({D}/1.0e0) as integer) when {D} <= 6.0e0 + 1e-9 then 5 end"
 

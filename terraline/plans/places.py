@@ -272,6 +272,29 @@ def nearest_hundred_places(spark, sf_dir):
     return found.groupBy("candidate_id").agg(F.count("*").alias("n"), F.round(F.max("d_km"), 6).alias("farthest_km"))
 
 
+#: An L, with a hole in its foot.
+L_SHAPE = [[(100.01005, 20.01005), (100.09005, 20.01005), (100.09005, 20.04005), (100.05005, 20.04005), (100.05005, 20.08005), (100.01005, 20.08005), (100.01005, 20.01005)], [(100.06005, 20.02005), (100.08005, 20.02005), (100.08005, 20.03005), (100.06005, 20.03005), (100.06005, 20.02005)]]
+IN_L = "((lat between 20.01005e0 and 20.04005e0 and lon between 100.01005e0 and 100.09005e0 and not (lat between 20.02005e0 and 20.03005e0 and lon between 100.06005e0 and 100.08005e0)) or (lat between 20.04005e0 and 20.08005e0 and lon between 100.01005e0 and 100.05005e0))"
+
+
+def graph_parts(spark, sf_dir):
+    """Roads between customers, cut to the L."""
+    said = F.array(*[F.array(*[F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat")) for x, y in ring]) for ring in L_SHAPE])
+    areas = table(spark, sf_dir, "region").where("r_regionkey = 0").select(said.alias("rings"))
+    edges = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("src"), F.expr("(o_custkey * 31 + o_orderkey) % 150").alias("dst"))
+    return network.in_area(points(spark, sf_dir).select("id", "lat", "lon"), edges, areas)
+
+
+@query(f"select id, lat, lon from {POINTS} where {IN_L}")
+def nodes_in_area(spark, sf_dir):
+    return graph_parts(spark, sf_dir)[0]
+
+
+@query(f"with n as (select id from {POINTS} where {IN_L}) select o_orderkey, o_custkey as src, (o_custkey * 31 + o_orderkey) % 150 as dst from orders where o_custkey in (from n) and (o_custkey * 31 + o_orderkey) % 150 in (from n)")
+def edges_in_area(spark, sf_dir):
+    return graph_parts(spark, sf_dir)[1]
+
+
 OWN_LINE = "o_orderkey % 3 = 0"
 
 
