@@ -268,8 +268,7 @@ def places_within(spark, sf_dir):
   select id as candidate_id, count(*) as n, round(max(d), 6) as farthest_km from (select *, row_number() over (partition by id order by d) as place from near) where place <= 100 group by 1""")
 def nearest_hundred_places(spark, sf_dir):
     """The cap on a candidate's places, which its radius exceeds here."""
-    found = candidates.places_near(points(spark, sf_dir), pois(spark, sf_dir), 3.0)
-    return found.groupBy("candidate_id").agg(F.count("*").alias("n"), F.round(F.max("d_km"), 6).alias("farthest_km"))
+    return candidates.places_counted(points(spark, sf_dir), pois(spark, sf_dir), 3.0).select("candidate_id", "n", F.round("farthest_km", 6).alias("farthest_km"))
 
 
 #: An L, with a hole in its foot.

@@ -84,3 +84,16 @@ def test_nearest_places_only(spark):
 def test_areas_of_all_markers(spark):
     parts = [spark.createDataFrame([(i, 5.0)], "orig_idx int, minutes double") for i in range(3)]
     assert sorted(r.orig_idx for r in location.travel_areas(parts).collect()) == [0, 1, 2]
+
+
+def test_places_of_copies(spark):
+    """Candidates and places that share their positions are counted by these, and the cap ends inside a group of equal places."""
+    n = 40_000
+    asked = spark.range(n).select("id", F.lit(20.0).alias("lat"), F.lit(100.0).alias("lon"))
+    held = spark.range(n).select(F.lit(20.001).alias("lat"), F.lit(100.0).alias("lon"), F.array(F.when(F.col("id") < 3, "b").otherwise("c")).alias("categories"))
+    held = held.union(held.limit(1).select(F.lit(20.0).alias("lat"), "lon", F.array(F.lit("a")).alias("categories")))
+    for most, n_of in ((5, 5), (10**6, n + 1)):
+        got = candidates.places_counted(asked, held, 0.5, most).agg(F.count("*").alias("rows"), F.min("n").alias("least"), F.max("n").alias("n"), F.round(F.min("farthest_km"), 6).alias("far")).first()
+        assert (got.rows, got.least, got.n, got.far) == (n, n_of, n_of, 0.111195)
+    few = candidates.places_near(asked.limit(2), held, 0.5, 5)
+    assert sorted((r.candidate_id, *r.categories, round(r.d_km, 3)) for r in few.collect()) == sorted((i, *x) for i in (0, 1) for x in [("a", 0.0)] + [("b", 0.111)] * 3 + [("c", 0.111)])
