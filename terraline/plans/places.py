@@ -260,8 +260,7 @@ def candidate_labels(spark, sf_dir):
 
 @query(f"""select c.id as candidate_id, count(*) as n from {POINTS} c join (select 20.0e0 + (p_partkey*37 % 1000)/10000.0e0 as lat, 100.0e0 + (p_partkey*91 % 1000)/10000.0e0 as lon from part) x on {km('c.lat','c.lon','x.lat','x.lon')} <= 0.3e0 group by 1""")
 def places_within(spark, sf_dir):
-    found = candidates.places_near(points(spark, sf_dir), pois(spark, sf_dir), 0.3, 10**6)
-    return found.groupBy("candidate_id").agg(F.count("*").alias("n"))
+    return candidates.places_counted(points(spark, sf_dir), pois(spark, sf_dir), 0.3, 10**6).select("candidate_id", "n")
 
 
 @query(f"""with near as (select c.id, {km('c.lat','c.lon','x.lat','x.lon')} as d from {POINTS} c join (select 20.0e0 + (p_partkey*37 % 1000)/10000.0e0 as lat, 100.0e0 + (p_partkey*91 % 1000)/10000.0e0 as lon from part) x on {km('c.lat','c.lon','x.lat','x.lon')} <= 3.0e0)
