@@ -9,7 +9,8 @@ sums over them, exact but for rounding.
 Within an id, polygons are united; within a polygon, rings count by the even-odd rule, so holes are outside and rings may
 touch. Rings are arrays of struct<lon, lat>, closed or not, and don't cross the date line. Null polygons, rings with fewer
 than three points and points that aren't finite numbers count as nothing. Tiles with more than ``MAX_EDGES`` edges are
-halved both ways until they have fewer or are ``SPLITS`` times smaller; equal pieces of an id in a tile count once first.
+halved both ways until they have fewer or are ``SPLITS`` times smaller; equal pieces of an id in a tile count once first. Ids that have the same polygons (told by 128
+bits of hashes) are worked as one that weighs their number.
 """
 
 from __future__ import annotations
@@ -176,9 +177,10 @@ def _crossings(e: np.ndarray) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0)
 
 
-def sweep(edges: np.ndarray, part: np.ndarray, owner: np.ndarray) -> list[tuple]:
+def sweep(edges: np.ndarray, part: np.ndarray, owner: np.ndarray, weight: np.ndarray) -> list[tuple]:
     """(number of ids, y0, y1, left0, right0, left1, right1) of a tile's trapezoids. ``part``: the polygon of each edge;
-    ``owner``: the id of each polygon, as numbers."""
+    ``owner``: the id of each polygon, as numbers; ``weight``: how many ids each polygon's owner stands for."""
+    heavy = weight.tolist()
     heights = np.unique(np.concatenate([edges[:, 1], edges[:, 3], _crossings(edges)]))
     order = np.argsort(edges[:, 1], kind="stable")
     edges, part = edges[order], part[order]
@@ -201,11 +203,11 @@ def sweep(edges: np.ndarray, part: np.ndarray, owner: np.ndarray) -> list[tuple]
             if p in inside:
                 inside.remove(p)
                 held[o] -= 1
-                ids -= held[o] == 0
+                ids -= heavy[p] * (held[o] == 0)
             else:
                 inside.add(p)
                 held[o] = held.get(o, 0) + 1
-                ids += held[o] == 1
+                ids += heavy[p] * (held[o] == 1)
             if ids != before:
                 if before and low[i] + high[i] > low[begin] + high[begin]:
                     out.append((before, y0, y1, low[begin], low[i], high[begin], high[i]))
@@ -213,13 +215,25 @@ def sweep(edges: np.ndarray, part: np.ndarray, owner: np.ndarray) -> list[tuple]
     return out
 
 
+def _classes(polygons: DataFrame, keys: list[str]) -> DataFrame:
+    """Polygons (keys, _id, rings) of one id for all that have the same polygons, with ``_weight``, the number of these ids."""
+    different = polygons.dropDuplicates([*keys, "_id", "rings"])
+    digests = [F.bit_xor(F.xxhash64(F.lit(k), "rings")).alias(f"_h{k}") for k in (0, 1)]
+    of = different.groupBy(*keys, "_id").agg(*digests).groupBy(*keys, "_h0", "_h1").agg(F.min("_id").alias("_id"), F.count("*").alias("_weight"))
+    of = of.select(*[F.col(c).alias(f"_of_{c}") for c in (*keys, "_id")], "_weight")
+    same = F.lit(True)
+    for c in (*keys, "_id"):
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return different.join(of, same).select(*keys, "_id", "rings", "_weight")
+
+
 def coverage(polygons: DataFrame, id: str = "id", by: str | None = None, tile_deg: float = 0.05) -> DataFrame:
     """(by, n, y0, y1, left0, right0, left1, right1): trapezoids between the heights y0 and y1 that ``n`` of the ids of
     polygons (id, rings) cover; with ``by`` polygons meet only those of the same value. Trapezoids don't overlap."""
     keys = [by] if by else []
-    part = polygons.select(*keys, F.col(id).alias("_id"), "rings").where("rings is not null").withColumn("_part", F.xxhash64("_id", "rings"))
+    part = _classes(polygons.select(*keys, F.col(id).alias("_id"), "rings").where("rings is not null"), keys).withColumn("_part", F.xxhash64("_id", "rings"))
     tile = [*keys, "size", "ty", "tx"]
-    rows = tiled(part, [*keys, "_id"], tile_deg).dropDuplicates([*tile, "_id", "edges"])
+    rows = tiled(part, [*keys, "_id", "_weight"], tile_deg).dropDuplicates([*tile, "_id", "edges"])
     rows = written(rows, "overlay-tiles")
     for _ in range(SPLITS):
         many = rows.groupBy(*tile).agg(F.sum(F.size("edges")).alias("_n")).where(F.col("_n") > 4 * MAX_EDGES).drop("_n")
@@ -241,7 +255,7 @@ def coverage(polygons: DataFrame, id: str = "id", by: str | None = None, tile_de
         sizes = np.diff(lists.offsets.to_numpy()) // 4
         edges = lists.flatten().to_numpy().reshape(-1, 4)
         owner = table.column("_id").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
-        out = sweep(edges, np.repeat(np.arange(len(sizes)), sizes), owner)
+        out = sweep(edges, np.repeat(np.arange(len(sizes)), sizes), owner, table.column("_weight").to_numpy())
         columns = list(zip(*out)) if out else [[] for _ in range(7)]
         mine = {by: pa.array([key[0].as_py()] * len(out), type=table.column(by).type)} if by else {}
         values = dict(zip(names[len(keys) :], columns))

@@ -97,3 +97,14 @@ def test_pieces_can_be_overlaid_again(spark):
     assert m == {1: pytest.approx(2), 2: pytest.approx(0.5 + 0.5 * 1.25)}
     again = overlay.coverage(united.select(F.col("owner").alias("id"), overlay.rings_of(united).alias("rings")))
     assert overlay.measured(overlay.intersection(again, 2)).first().area_deg2 == pytest.approx(0.5 + 0.5 * 0.25, abs=1e-9)
+
+
+def test_equal_polygons_of_many_ids(spark, monkeypatch):
+    """Ids with the same polygons are counted by their number, and a task never sees their copies."""
+    rows, seen, work = [(i, [box(0, 0, 2, 2)]) for i in range(300)] + [(i, [box(1, 1, 3, 3)]) for i in range(300, 500)], [], overlay._classes
+    rows += [(0, [box(1, 1, 3, 3)]), (0, [box(0, 0, 2, 2)]), (None, [box(0, 0, 2, 2)])]
+    monkeypatch.setattr(overlay, "_classes", lambda *a: seen.append(work(*a)) or seen[-1])
+    pieces = overlay.coverage(spark.createDataFrame(rows, KIND), tile_deg=0.7)
+    area = lambda p: round(overlay.measured(p).first().area_deg2, 9)
+    assert {n: area(pieces.where(F.col("n") == n)) for n in (201, 301, 501)} == {201: 3.0, 301: 3.0, 501: 1.0}
+    assert area(overlay.union(pieces)) == 7.0 and seen[0].count() == 4
