@@ -169,9 +169,10 @@ def payoff_demo_bias(spark, sf_dir):
     return payoff.preset(scenarios(spark, sf_dir), "demo bias").select("p_partkey", "b1", "b2")
 
 
-def shown(spark, sf_dir):
+def of_shown(spark, sf_dir, work):
+    """``work`` on what the tab shows of each part's scenario."""
     s = payoff.preset(scenarios(spark, sf_dir), "none").withColumns({"showY1": F.lit(True), "showY8": F.lit(True), "showY9": F.col("p_partkey") % 2 == 0})
-    return payoff.tab_series(payoff.series(payoff.grid(s)), "p_partkey", "delta2")
+    return payoff.by_settings(s, "p_partkey", lambda some: work(payoff.tab_series(payoff.series(payoff.grid(some)), "p_partkey", "delta2")))
 
 
 SHOWN = f"(select p_partkey, i, x, unnest(case when p_partkey % 2 = 0 then ['y1_d2', 'y8', 'y9'] else ['y1_d2', 'y8'] end) as series, unnest(case when p_partkey % 2 = 0 then [{Y1}, {Y8}, {Y9}] else [{Y1}, {Y8}] end) as y from {GRID})"
@@ -179,12 +180,12 @@ SHOWN = f"(select p_partkey, i, x, unnest(case when p_partkey % 2 = 0 then ['y1_
 
 @query(f"select p_partkey, series, count(*) as n, round(sum(y), 4) as total from {SHOWN} group by 1, 2")
 def payoff_tab_series(spark, sf_dir):
-    return shown(spark, sf_dir).groupBy("p_partkey", "series").agg(F.count("*").alias("n"), F.round(F.sum("y"), 4).alias("total"))
+    return of_shown(spark, sf_dir, lambda shown: shown.groupBy("p_partkey", "series").agg(F.count("*").alias("n"), F.round(F.sum("y"), 4).alias("total")))
 
 
 @query(f"select p_partkey, round(least(0, min(y)), 6) as low, round(greatest(0, max(y)), 6) as high from {SHOWN} group by 1")
 def payoff_axis(spark, sf_dir):
-    return payoff.axis(shown(spark, sf_dir), "p_partkey").select("p_partkey", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    return of_shown(spark, sf_dir, lambda shown: payoff.axis(shown, "p_partkey").select("p_partkey", F.round("low", 6).alias("low"), F.round("high", 6).alias("high")))
 
 
 @query("select event_id, n + 29 as size_before, n + 6 as size_after, round(100.0e0*23/(n + 29), 6) as reduction from (select event_id, length(json_extract(props, '$.k')::varchar) as n from events)")

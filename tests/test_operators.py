@@ -176,3 +176,19 @@ def test_graph_sampling_draws_all(spark, monkeypatch):
     monkeypatch.setattr(rules, "sampled_graphs", lambda *a, **k: drawn.append(draw(*a, **k)) or drawn[-1])
     ranks = {r["rank"] for r in catalogue.graph_sampling(spark, "/root/testdata/sf0.001").select("rank").distinct().collect()}
     assert ranks == {1, 2, 3, 4, 5} and drawn[0].select("sample").distinct().count() == 100
+
+
+def test_equal_settings_once(spark, monkeypatch):
+    """Scenarios with equal settings, nulls too, are worked once; the rows are those of all scenarios worked by themselves."""
+    many = spark.range(40).select(F.col("id").alias("k"), F.when(F.col("id") % 4 > 0, F.col("id") % 4 * 1.5).alias("x0_1"), (F.col("id") % 2 == 0).alias("showY1"))
+    s = payoff.preset(payoff.with_defaults(many), "none").withColumns({"showY1": F.col("k") % 2 == 0, "showY8": F.lit(True)})
+    worked = []
+
+    def work(some):
+        worked.append(some.count())
+        return payoff.tab_series(payoff.series(payoff.grid(some, 4)), "k", "delta2")
+
+    once = sorted(map(tuple, payoff.by_settings(s, "k", work).collect()), key=str)
+    monkeypatch.setattr(payoff, "MAX_SETTINGS", 3)
+    each = sorted(map(tuple, payoff.by_settings(s, "k", work).collect()), key=str)
+    assert once == each and len(once) == 40 * 5 + 20 * 5 and worked == [4, 40]
