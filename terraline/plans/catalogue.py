@@ -354,18 +354,20 @@ Y2 = "(case when 2 - x/z > 0 then 1500.0e0*ln(case when 2 - x/z > 0 then 2 - x/z
 
 @query(f"select p_partkey, i, round(x, 6) as x, round({Y1}, 6) as y1_d2, round({Y2}, 6) as y2_d2, round({Y2}*(case when x<z then 1.0e0 else 0.2e0 end), 6) as y4, round({Y8}, 6) as y8, round({Y9}, 6) as y9, round((x-7)*100, 6) as y10, round((10-x)*100, 6) as y11 from {GRID}")
 def payoff_grid(spark, sf_dir):
-    return payoff.series(payoff.grid(scenarios(spark, sf_dir))).select("p_partkey", "i", *[F.round(c, 6).alias(c) for c in ("x", "y1_d2", "y2_d2", "y4", "y8", "y9", "y10", "y11")])
+    rounded = [F.round(c, 6).alias(c) for c in ("x", "y1_d2", "y2_d2", "y4", "y8", "y9", "y10", "y11")]
+    return payoff.by_settings(scenarios(spark, sf_dir), "p_partkey", lambda s: payoff.series(payoff.grid(s)).select("p_partkey", "i", *rounded))
 
 
 @query(f"select p_partkey, i, round({Y1}+{Y8}+{Y9}, 6) as y3_d2, round({Y1}+{Y8}+{Y9} - 1500.0e0*ln(x/7.0e0), 6) as overlay from {GRID}")
 def payoff_net(spark, sf_dir):
-    return payoff.series(payoff.grid(scenarios(spark, sf_dir))).select("p_partkey", "i", F.round("y3_d2", 6).alias("y3_d2"), F.round("overlay", 6).alias("overlay"))
+    rounded = [F.round(c, 6).alias(c) for c in ("y3_d2", "overlay")]
+    return payoff.by_settings(scenarios(spark, sf_dir), "p_partkey", lambda s: payoff.series(payoff.grid(s)).select("p_partkey", "i", *rounded))
 
 
 @query(f"""with g as (select p_partkey, i, x, {Y1}+{Y8}+{Y9} as y from {GRID}), p as (select p_partkey, i, x as b, y as v, lag(x) over w as a, lag(y) over w as u from g window w as (partition by p_partkey order by i))
   select p_partkey, i as place, round(case when u=0 then a when v=0 then b else a+(b-a)*(-u/(v-u)) end, 6) as root from p where u is not null and v is not null and (u=0 or v=0 or u*v<0)""")
 def zero_crossings(spark, sf_dir):
-    found = payoff.zero_crossings(payoff.series(payoff.grid(scenarios(spark, sf_dir))), "p_partkey", "i", "x", "y3_d2")
+    found = payoff.by_settings(scenarios(spark, sf_dir), "p_partkey", lambda s: payoff.zero_crossings(payoff.series(payoff.grid(s)), "p_partkey", "i", "x", "y3_d2"))
     return found.select("p_partkey", "place", F.round("root", 6).alias("root"))
 
 
