@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terraline.session import dealt
+
 #: How strongly a score draws two rooms together; of other scores, the last one.
 PULL = {3: 4.0, 2: 2.5, 1: 1.0, -1: 0.02}
 OTHER_PULL = 1.0
@@ -29,17 +31,29 @@ def curve(x0: Column, y0: Column, x1: Column, y1: Column, bend: float = BEND, po
     """Points (struct x, y) of a quadratic Bezier curve: its control point is beside the middle by ``bend`` times the
     length, on the left if the sum of the first end's coordinates is over 1 modulo 2, else on the right. Ends that fall
     together give the one point; a null coordinate gives null."""
-    side = F.when(F.pmod(x0 + y0, F.lit(2.0)) > 1, bend).otherwise(-bend)
-    cx, cy = (x0 + x1) / 2 - (y1 - y0) * side, (y0 + y1) / 2 + (x1 - x0) * side
-
-    def at(i: Column) -> Column:
-        t = i / (points - 1)
-        on = lambda a, b, c: (1 - t) * (1 - t) * a + 2 * (1 - t) * t * b + t * t * c
-        return F.struct(on(x0, cx, x1).alias("x"), on(y0, cy, y1).alias("y"))
-
     known = x0.isNotNull() & y0.isNotNull() & x1.isNotNull() & y1.isNotNull()
     apart = (x0 != x1) | (y0 != y1)
-    return F.when(known & apart, F.transform(F.sequence(F.lit(0), F.lit(points - 1)), at)).when(known, F.array(F.struct(x0.cast("double").alias("x"), y0.cast("double").alias("y"))))
+    along = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: _on_curve(x0, y0, x1, y1, i / (points - 1), bend))
+    return F.when(known & apart, along).when(known, F.array(F.struct(x0.cast("double").alias("x"), y0.cast("double").alias("y"))))
+
+
+def _on_curve(x0: Column, y0: Column, x1: Column, y1: Column, t: Column, bend: float) -> Column:
+    """The point (struct x, y) at ``t`` of a curve."""
+    side = F.when(F.pmod(x0 + y0, F.lit(2.0)) > 1, bend).otherwise(-bend)
+    cx, cy = (x0 + x1) / 2 - (y1 - y0) * side, (y0 + y1) / 2 + (x1 - x0) * side
+    on = lambda a, b, c: (1 - t) * (1 - t) * a + 2 * (1 - t) * t * b + t * t * c
+    return F.struct(on(x0, cx, x1).alias("x"), on(y0, cy, y1).alias("y"))
+
+
+def curves(links: DataFrame, keys: list[str], x0: Column, y0: Column, x1: Column, y1: Column, bend: float = BEND, points: int = CURVE_POINTS) -> DataFrame:
+    """(keys, i, x, y): a row for each point of ``curve`` of each link, without holding a curve as an array."""
+    ends = dealt(links.select(*keys, x0.cast("double").alias("_x0"), y0.cast("double").alias("_y0"), x1.cast("double").alias("_x1"), y1.cast("double").alias("_y1")).dropna(subset=["_x0", "_y0", "_x1", "_y1"]))
+    c = [F.col(k) for k in ("_x0", "_y0", "_x1", "_y1")]
+    apart = (c[0] != c[2]) | (c[1] != c[3])
+    rows = ends.withColumn("i", F.explode(F.sequence(F.lit(0), F.when(apart, points - 1).otherwise(0))))
+    p = _on_curve(*c, F.col("i") / (points - 1), bend)
+    x, y = F.when(apart, p["x"]).otherwise(c[0]), F.when(apart, p["y"]).otherwise(c[1])
+    return rows.select(*keys, "i", x.alias("x"), y.alias("y"))
 
 
 def _settled(n: int, pull: np.ndarray, seed: int, rounds: int) -> np.ndarray:

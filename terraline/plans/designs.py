@@ -256,8 +256,8 @@ def rooms_on_a_circle(spark, sf_dir):
   select p_partkey, cast(i as integer) as i, round((1-t)*(1-t)*x0 + 2*(1-t)*t*cx + t*t*x1, 6) as x, round((1-t)*(1-t)*y0 + 2*(1-t)*t*cy + t*t*y1, 6) as y from p where x0 <> x1 or y0 <> y1 or i = 0""")
 def linking_curves(spark, sf_dir):
     k, size = F.col("p_partkey"), F.col("p_size")
-    points = drawing.curve(size * F.lit(1.0), k % 7 * F.lit(0.5), k % 13 * F.lit(1.0), size % 5 * F.lit(0.5))
-    return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(points).alias("i", "p")).select("p_partkey", "i", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
+    points = drawing.curves(table(spark, sf_dir, "part"), ["p_partkey"], size * F.lit(1.0), k % 7 * F.lit(0.5), k % 13 * F.lit(1.0), size % 5 * F.lit(0.5))
+    return points.select("p_partkey", "i", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 @query()

@@ -97,3 +97,13 @@ def test_places_of_copies(spark):
         assert (got.rows, got.least, got.n, got.far) == (n, n_of, n_of, 0.111195)
     few = candidates.places_near(asked.limit(2), held, 0.5, 5)
     assert sorted((r.candidate_id, *r.categories, round(r.d_km, 3)) for r in few.collect()) == sorted((i, *x) for i in (0, 1) for x in [("a", 0.0)] + [("b", 0.111)] * 3 + [("c", 0.111)])
+
+
+def test_curves_as_rows(spark):
+    """The rows of ``curves`` are the points of ``curve``, over more tasks than the links had."""
+    ends = spark.createDataFrame([(1, 0.0, 0.0, 3.0, 1.0), (2, 1.5, 0.0, 1.5, 0.0), (3, None, 0.0, 1.0, 0.0), (4, 1.5, 0.25, -2.0, 0.0)], "k long, a double, b double, c double, d double").coalesce(1)
+    at = [F.col(c) for c in "abcd"]
+    rows = drawing.curves(ends, ["k"], *at, points=7)
+    want = ends.select("k", F.posexplode(drawing.curve(*at, points=7)).alias("i", "p")).select("k", "i", "p.x", "p.y")
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, want.collect())) and rows.count() == 15
+    assert rows.rdd.getNumPartitions() > 1
