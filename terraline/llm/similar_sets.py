@@ -3,8 +3,8 @@
 Two sets this similar share a shingle among the first n - ceil(0.8 n) + 1 of each (n shingles in one fixed order), so
 buckets by these shingles miss no pair. Any order is right; shingles that are frequent in a sample of texts come last,
 which keeps what many texts share out of the buckets. A pair that shares s first shingles has at most
-s + max(ceil(0.8 n) - 1, ceil(0.8 m) - 1) in common, and at most as many as its elements whose bit in a sketch of
-``BITS`` bits the other one has too, so most pairs that aren't similar go by these bounds; every link is verified by the
+s + max(ceil(0.8 n) - 1, ceil(0.8 m) - 1) in common, and at most as many as its elements whose bit in a sketch the
+other one has too, so most pairs that aren't similar go by these bounds; every link is verified by the
 whole sets.
 
 Groups are all that is wanted, so a pair is left out only where verified links join its ends already: first SimHash
@@ -31,8 +31,8 @@ from terraline.session import discard, fits, written
 SAMPLE, FREQUENT = 20_000, 100_000
 #: More sets to verify than this meet their texts by a join instead of a broadcast.
 MAX_BROADCAST_SETS = 100_000
-#: Bits of a set's sketch.
-BITS = 1024
+#: Least bits of a set's sketch, and how many elements a bit stands for at most: fuller sketches would tell nothing.
+BITS, LOAD = 1024, 1.25
 #: A leader's pairs are verified so many to a group of rows.
 AT_ONCE = 1_000
 
@@ -67,6 +67,22 @@ def frequent_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.nda
     return hashes[order], times[order]
 
 
+def _sketch(found: np.ndarray) -> bytes:
+    """A bit for each element, in a power of two of bits that grows with the set."""
+    size = BITS
+    while size * LOAD < len(found):
+        size *= 2
+    bits = np.zeros(size, np.uint8)
+    bits[found % np.uint64(size)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of words, the longer ones folded to the shortest one's bits."""
+    size = min(map(len, sketches)) // 8
+    return np.array([np.bitwise_or.reduce(np.frombuffer(x, np.uint64).reshape(-1, size), axis=0) for x in sketches])
+
+
 def _firsts(found: np.ndarray, hashes: np.ndarray, times: np.ndarray) -> np.ndarray:
     """The shingles of a set, in the common order, one of which every set similar to it has among its own."""
     often = np.zeros(len(found), np.int64)
@@ -91,9 +107,7 @@ def _sets_of(docs: DataFrame, shingle: int) -> DataFrame:
                 fps.append(majority(hashes)), sizes.append(len(found))
                 classes.append(np.array(xxhash.xxh64_intdigest(found.tobytes()), np.uint64).view(np.int64).item())
                 firsts.append(_firsts(found, *order.value).view(np.int64) if len(found) else np.array([], np.int64))
-                bits = np.zeros(BITS, np.uint8)
-                bits[found % np.uint64(BITS)] = 1
-                sketches.append(np.packbits(bits).tobytes())
+                sketches.append(_sketch(found))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "_row", "fp", "cls", "n", "firsts", "sketch"])
 
     return docs.select("doc_id", "_row", "text").mapInArrow(run, f"doc_id {kind}, _row long, fp long, cls long, n int, firsts array<long>, sketch binary")
@@ -146,7 +160,7 @@ def _pairs_in(open_rows: DataFrame, leaders: int | None) -> DataFrame:
         for batch in batches:
             rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
             last = batch.column(4)
-            rows.append(np.frombuffer(b"".join(last.to_pylist()), np.uint64).reshape(-1, BITS // 64) if leaders is None else last.to_numpy(zero_copy_only=False))
+            rows.append(last.to_numpy(zero_copy_only=False))
             rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
             if not len(rows[0]):
                 continue
@@ -193,10 +207,16 @@ def _pairs_in(open_rows: DataFrame, leaders: int | None) -> DataFrame:
             if leaders is None:
                 order = np.lexsort((cls, n))
                 both, part, n, sketch = both[order], part[order], n[order].astype(np.int64), w[order]
+                of_size: dict[int, np.ndarray] = {}  # all from the first of a length of sketches on, folded to it
                 for at in range(len(both) - 1):
                     near = np.arange(at + 1, np.searchsorted(n, 5 * n[at] // 4, side="right"))
                     near = near[part[near] != part[at]]
-                    lost = [np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (sketch[at] & ~sketch[near], sketch[near] & ~sketch[at])]
+                    if not len(near):
+                        continue
+                    if (size := len(sketch[at])) not in of_size:
+                        of_size = {size: _folded(sketch[at:].tolist()), -1: at}
+                    here, there = of_size[size][at - of_size[-1]], of_size[size][near - of_size[-1]]
+                    lost = [np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (here & ~there, there & ~here)]
                     near = near[9 * np.minimum(n[at] - lost[0], n[near] - lost[1]) >= 4 * (n[at] + n[near])]
                     if len(near):
                         yield joined(both[at], both[near])

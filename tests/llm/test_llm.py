@@ -224,3 +224,24 @@ def test_near_copies_at_a_similarity(spark, monkeypatch, frequent):
                 part = [min(x, y) if p in (x, y) else p for p in part]
     got = simhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), radius=4)
     assert far > 10 and {r.doc_id for r in got.collect()} == set(part)
+
+
+def test_sketches_grow_with_sets():
+    """The sketch's bound leaves out unlike pairs of large sets as well, and no similar pair, whatever lengths their sketches have."""
+    import numpy as np
+
+    from terraline.llm import similar_sets
+
+    rng = np.random.default_rng(5)
+    some = lambda n: np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+
+    def able(a, b):
+        x, y = similar_sets._folded([similar_sets._sketch(a), similar_sets._sketch(b)])
+        lost = [int(np.bitwise_count(v).sum()) for v in (x & ~y, y & ~x)]
+        return 9 * min(len(a) - lost[0], len(b) - lost[1]) >= 4 * (len(a) + len(b))
+
+    for n in (500, 1500, 2000, 6000, 20_000):
+        a = some(n)
+        assert not able(a, some(n)) and not able(a, some(n * 6 // 5))
+        more = np.union1d(a, some(n // 5))
+        assert similar_sets.similar(a, more) and able(a, more) and able(a[: n * 9 // 10], a)
