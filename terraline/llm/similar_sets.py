@@ -12,6 +12,9 @@ links are verified, then, in two rounds, each set with the one of its buckets' l
 what is left between groups. A bucket's leader is the set that has most neighbours over all its buckets: the copies of a
 text may be less alike than 0.8 among themselves, but each is like the text that they were made from.
 
+What is left are many pairs just below 0.8 in large families of copies. No row is made for a pair of them: a task links what
+the bounds can't tell apart by a forest, and whole sets are compared within the components of these forests.
+
 Shingles and sets are told by 64-bit hashes. A text without words has the empty set; empty sets are equal.
 """
 
@@ -35,6 +38,8 @@ MAX_BROADCAST_SETS = 100_000
 BITS, LOAD = 1024, 1.25
 #: A leader's pairs are verified so many to a group of rows.
 AT_ONCE = 1_000
+#: Elements of a block of sets that a task compares with another block, and sets that a task's forest holds at once.
+ELEMENTS, AT_HAND = 1_000_000, 500_000
 
 
 def _set(hashes: list[int]) -> np.ndarray:
@@ -113,27 +118,34 @@ def _sets_of(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", "_row", "text").mapInArrow(run, f"doc_id {kind}, _row long, fp long, cls long, n int, firsts array<long>, sketch binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (a, b) of sets that are similar. Only texts of these sets are read whole; each set is shuffled once for
-    every leader (a) that it is compared with, and a leader once for each ``AT_ONCE`` of its pairs."""
-    pairs = written(pairs.where("a <> b").distinct(), "pairs")
-    many = pairs.groupBy("a").agg(F.expr(f"cast(ceil(count(*) / {AT_ONCE}) as int)").alias("groups"))
-    leaders = many.select(F.col("a").alias("cls"), "a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("grp"), F.lit(0).alias("role"))
-    members = pairs.join(many, "a").select(F.col("b").alias("cls"), "a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("grp"), F.lit(1).alias("role"))
-    asked = leaders.union(members).join(classes.select("cls", F.col("first.doc_id").alias("_id"), F.col("first._row").alias("_first")), "cls")
+def _whole(docs: DataFrame, asked: DataFrame, columns: str, shingle: int) -> DataFrame:
+    """The rows of ``asked`` (``columns``, and _id and _first of a text) with the whole set (members). Other texts are not cut."""
     asked = written(asked, "asked")
     asked = F.broadcast(asked) if fits(asked, MAX_BROADCAST_SETS) else asked
+    names = [c.split()[0] for c in columns.split(", ")]
 
-    def sets(batches):
+    def run(batches):
         for batch in batches:
             known: dict[str, bytes] = {}  # rows of one text are next to each other
             found = []
-            for text in batch.column(4).to_pylist():
+            for text in batch.column(len(names)).to_pylist():
                 if text not in known:
                     known = {text: _set(shingle_hashes(text or "", shingle)).tobytes()}
                 found.append(known[text])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.binary())], ["a", "grp", "role", "cls", "members"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.binary())], [*names, "members"])
+
+    texts = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_first")))
+    return texts.select(*names, "text").mapInArrow(run, f"{columns}, members binary")
 
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) of sets that are similar. Only texts of these sets are read whole; each set is shuffled once for
+    every leader (a) that it is compared with, and a leader once for each ``AT_ONCE`` of its pairs."""
+    pairs = written(pairs.where("a <> b").distinct(), "pairs")
+    many = pairs.groupBy("a").agg(F.expr(f"cast(ceil(count(*) / {AT_ONCE}) as int)").alias("groups"))
+    leaders = many.select(F.col("a").alias("cls"), "a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("grp"), F.lit(0).alias("role"))
+    members = pairs.join(many, "a").select(F.col("b").alias("cls"), "a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("grp"), F.lit(1).alias("role"))
+    asked = leaders.union(members).join(classes.select("cls", F.col("first.doc_id").alias("_id"), F.col("first._row").alias("_first")), "cls")
     def run(batches):
         at, leader = None, None
         for batch in batches:
@@ -145,22 +157,19 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: in
                     left.append(a), right.append(cls)
             yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
-    texts = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_first")))
-    whole = texts.select("a", "grp", "role", "cls", "text").mapInArrow(sets, "a long, grp int, role int, cls long, members binary")
+    whole = _whole(docs, asked, "a long, grp int, role int, cls long", shingle)
     return written(whole.repartition("a", "grp").sortWithinPartitions("a", "grp", "role").mapInArrow(run, "a long, b long").distinct(), "similar")
 
 
-def _pairs_in(open_rows: DataFrame, leaders: int | None) -> DataFrame:
-    """(a, b) that may be similar by the number of first shingles that they share: rows (key, cls, n, part, w or sketch)
-    of buckets; pairs of one part are left out. ``leaders``: only pairs (a, b) whose a is the leader (0), or the first that isn't in
+def _pairs_in(open_rows: DataFrame, leaders: int) -> DataFrame:
+    """(a, b) that may be similar by the number of first shingles that they share: rows (key, cls, n, part, w) of
+    buckets; pairs of one part are left out. ``leaders``: only pairs (a, b) whose a is the leader (0), or the first that isn't in
     its part (1), of like size in its bucket by the weight w, and of these the one that b shares most with."""
 
     def run(batches):
         held, waiting, size = None, [], 0
         for batch in batches:
-            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            last = batch.column(4)
-            rows.append(last.to_numpy(zero_copy_only=False))
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
             rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
             if not len(rows[0]):
                 continue
@@ -204,23 +213,6 @@ def _pairs_in(open_rows: DataFrame, leaders: int | None) -> DataFrame:
             if (part == part[0]).all():
                 continue
             both = np.c_[cls, n]
-            if leaders is None:
-                order = np.lexsort((cls, n))
-                both, part, n, sketch = both[order], part[order], n[order].astype(np.int64), w[order]
-                of_size: dict[int, np.ndarray] = {}  # all from the first of a length of sketches on, folded to it
-                for at in range(len(both) - 1):
-                    near = np.arange(at + 1, np.searchsorted(n, 5 * n[at] // 4, side="right"))
-                    near = near[part[near] != part[at]]
-                    if not len(near):
-                        continue
-                    if (size := len(sketch[at])) not in of_size:
-                        of_size = {size: _folded(sketch[at:].tolist()), -1: at}
-                    here, there = of_size[size][at - of_size[-1]], of_size[size][near - of_size[-1]]
-                    lost = [np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (here & ~there, there & ~here)]
-                    near = near[9 * np.minimum(n[at] - lost[0], n[near] - lost[1]) >= 4 * (n[at] + n[near])]
-                    if len(near):
-                        yield joined(both[at], both[near])
-                continue
             waiting = np.lexsort((cls, -w))
             while len(waiting) > 1:
                 first = waiting[0]
@@ -236,11 +228,154 @@ def _pairs_in(open_rows: DataFrame, leaders: int | None) -> DataFrame:
     found = open_rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, na int, b long, nb int, s int")
     most = lambda c: f"cast(ceil(4 * {c} / 5) as int) - 1"
     able = found.groupBy("a", "na", "b", "nb").agg(F.sum("s").alias("s")).where(f"9 * (s + greatest({most('na')}, {most('nb')})) >= 4 * (na + nb)")
-    if leaders is None:
-        return able.select("a", "b")
     return able.groupBy("b").agg(F.max_by("a", F.struct("s", "a")).alias("a")).select("a", "b")
 
 
+def _able(na, a: np.ndarray, nb, b: np.ndarray) -> np.ndarray:
+    """Which sets of sizes na, nb may be similar by the bits of their sketches a, b that the other one lacks."""
+    lost = [np.bitwise_count(x).sum(axis=-1, dtype=np.int64) for x in (a & ~b, b & ~a)]
+    return 9 * np.minimum(na - lost[0], nb - lost[1]) >= 4 * (na + nb)
+
+
+def _near(n: np.ndarray, sketch: np.ndarray, lengths: np.ndarray):
+    """A function of a set x and other sets: which of these may be similar to it."""
+    at, rows = np.zeros(len(n), int), {}  # place of a set among those of its length; sketches by their length and bits
+    for length in np.unique(lengths).tolist():
+        of = np.flatnonzero(lengths == length)
+        at[of] = np.arange(len(of))
+        rows[length, length] = _folded(sketch[of].tolist())
+
+    def folded(length: int, size: int) -> np.ndarray:
+        if (length, size) not in rows:
+            whole = rows[length, length]
+            rows[length, size] = np.bitwise_or.reduce(whole.reshape(len(whole), -1, size // 8), axis=1)
+        return rows[length, size]
+
+    def near(x: int, others: np.ndarray) -> np.ndarray:
+        out = 4 * np.maximum(n[others], n[x]) <= 5 * np.minimum(n[others], n[x])
+        for length in np.unique(lengths[others[out]]).tolist():
+            some = np.flatnonzero(out & (lengths[others] == length))
+            size = min(length, int(lengths[x]))
+            out[some] = _able(n[x], folded(int(lengths[x]), size)[at[x]], n[others[some]], folded(length, size)[at[others[some]]])
+        return out
+
+    return near
+
+
+def _forest(batches):
+    """Links (a, b) that join all sets of a bucket that may be similar by their sketches, whatever their parts, from rows
+    (key, cls, n, part, sketch) sorted by key: fewer links than a task has sets."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    def joined(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+        out = []
+        for x, y in zip(a.tolist(), b.tolist()):
+            if (p := root(x)) != (q := root(y)):
+                parent[q] = p
+                out.append((x, y))
+        return out
+
+    def linked(rows, starts):
+        _, cls, n, _, sketch = rows
+        n, lengths, size = n.astype(np.int64), np.fromiter(map(len, sketch), np.int64, len(sketch)), np.diff(starts)
+        two = starts[:-1][size == 2]
+        two = two[4 * np.maximum(n[two], n[two + 1]) <= 5 * np.minimum(n[two], n[two + 1])]
+        for both in {*zip(lengths[two].tolist(), lengths[two + 1].tolist())}:
+            of = two[(lengths[two] == both[0]) & (lengths[two + 1] == both[1])]
+            bits = _folded([*sketch[of], *sketch[of + 1]])
+            of = of[_able(n[of], bits[: len(of)], n[of + 1], bits[len(of) :])]
+            yield from joined(cls[of], cls[of + 1])
+        for start, end in zip(starts[:-1][size > 2].tolist(), starts[1:][size > 2].tolist()):
+            of = cls[start:end]
+            if len({root(x) for x in of.tolist()}) == 1:
+                continue
+            near, left = _near(n[start:end], sketch[start:end], lengths[start:end]), np.arange(end - start)
+            while len(left):
+                queue, left = [int(left[0])], left[1:]
+                while queue and len(left):
+                    x = queue.pop()
+                    found = near(x, left)
+                    yield from joined(np.repeat(of[x], found.sum()), of[left[found]])
+                    queue += left[found].tolist()
+                    left = left[~found]
+
+    def batch_of(found):
+        return pa.RecordBatch.from_pydict({name: pa.array([x[k] for x in found], pa.int64()) for k, name in enumerate("ab")})
+
+    held = None
+    for batch in batches:
+        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
+        if len(rows[0]):
+            starts = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])
+            yield batch_of([*linked([x[: starts[-1]] for x in rows], starts)])
+            held = [x[starts[-1] :] for x in rows]
+        if len(parent) > AT_HAND:
+            parent.clear()
+    if held is not None:
+        yield batch_of([*linked(held, np.array([0, len(held[0])]))])
+
+
+def _joining(block: np.ndarray, cls: np.ndarray, part: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (a, b) between similar sets that join all parts that such links join: of sets of one block, or of sets of
+    different ones if there are two."""
+    n = np.array([len(x) for x in sets])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner, starts = np.repeat(np.arange(len(sets)), n)[np.argsort(codes, kind="stable")], np.r_[0, np.cumsum(np.bincount(codes))]
+    ends = np.r_[0, np.cumsum(n)]
+    _, at, times = np.unique(part, return_inverse=True, return_counts=True)
+    waiting, two, out = np.ones(len(sets), bool), (block != block[0]).any(), []
+    for x in np.lexsort((at, times[at])).tolist():  # sets of large parts last: most of what follows them is theirs
+        waiting[x] = False
+        others = waiting & (at != at[x]) & (4 * np.maximum(n, n[x]) <= 5 * np.minimum(n, n[x]))
+        others = np.flatnonzero(others & (block != block[x]) if two else others)
+        if not len(others):
+            continue
+        shared = np.bincount(np.concatenate([owner[starts[c] : starts[c + 1]] for c in codes[ends[x] : ends[x + 1]].tolist()]), minlength=len(sets))
+        for y in others[9 * shared[others] >= 4 * (n[x] + n[others])].tolist():
+            if at[y] != at[x]:
+                out.append((int(cls[x]), int(cls[y])))
+                at[at == at[y]] = at[x]
+    return out
+
+
+def _between_parts(open_rows: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """Links (a, b) between similar sets that join all parts that such links join. ``open_rows`` (key, cls, n, part, sketch):
+    buckets of several parts; ``sets`` (cls, n, part, first): every set. A set goes to as many tasks as its component has
+    blocks of ``ELEMENTS``."""
+    forest = written(open_rows.repartition("key").sortWithinPartitions("key").mapInArrow(_forest, "a long, b long").distinct(), "forest")
+    near = connected_components(forest, "a", "b")
+    members = written(near.join(sets, near["node"] == sets["cls"]).select("component", "cls", "n", "part", F.col("first.doc_id").alias("_id"), F.col("first._row").alias("_first")), "near-sets")
+    discard(forest)
+    several = members.groupBy("component").agg(F.expr(f"cast(ceil(sum(n) / {ELEMENTS}) as int)").alias("blocks"), F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most")
+    dealt = members.join(several, "component").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    asked = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "part", "_id", "_first")
+
+    def run(batches):
+        at, held = None, []
+        for batch in batches:
+            for *key, block, cls, part, members in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if key != at:
+                    yield from found(held)
+                    at, held = key, []
+                held.append((block, cls, part, np.frombuffer(members, np.uint64)))
+        yield from found(held)
+
+    def found(held):
+        if len(held) > 1:
+            block, cls, part, sets = zip(*held)
+            links = _joining(np.array(block), np.array(cls), np.array(part), list(sets))
+            yield pa.RecordBatch.from_pydict({name: pa.array([x[k] for x in links], pa.int64()) for k, name in enumerate("ab")})
+
+    whole = _whole(docs, asked, "component long, i int, j int, block int, cls long, part long", shingle)
+    return written(whole.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(run, "a long, b long"), "similar")
+
+
 def _several(batches):
     """The rows of buckets with sets of several parts, and how many sets these have (size), from rows sorted by key."""
     held = None
@@ -288,14 +423,16 @@ def groups(docs: DataFrame, shingle: int = 5, radius: int = 4) -> DataFrame:
     columns = "key long, cls long, n int, part long, size int"
     buckets = written(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_several, columns), "shingle-buckets")
     weights = written(buckets.groupBy("cls").agg(F.sum("size").alias("w")), "weights")
-    for leaders in (0, 1, None):
-        rows = part(buckets.select("key", "cls", "n"), of).select("key", "cls", "n", "part")
-        if leaders is None:  # what is left in buckets of several parts
-            rows = written(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_several, columns), "shingle-buckets").drop("size").join(classes.select("cls", "sketch"), "cls").select("key", "cls", "n", "part", "sketch")
-        else:
-            rows = rows.join(weights, "cls").select("key", "cls", "n", "part", "w")
+    for leaders in (0, 1):
+        rows = part(buckets.select("key", "cls", "n"), of).join(weights, "cls").select("key", "cls", "n", "part", "w")
         found = found.union(_verified(_pairs_in(rows, leaders), docs, classes, shingle))
         discard(of)
         of = parts(found)
+    # what is left in buckets of several parts
+    left = written(part(buckets.select("key", "cls", "n"), of).select("key", "cls", "n", "part").repartition("key").sortWithinPartitions("key").mapInArrow(_several, columns), "shingle-buckets")
+    rows = left.drop("size").join(classes.select("cls", "sketch"), "cls").select("key", "cls", "n", "part", "sketch")
+    found = found.union(_between_parts(rows, part(classes.select("cls", "n", "first"), of), docs, shingle))
+    discard(of, left)
+    of = parts(found)
     discard(buckets)
     return part(marked.select("doc_id", "_row", "cls"), of).select("doc_id", "_row", "part")

@@ -245,3 +245,59 @@ def test_sketches_grow_with_sets():
         assert not able(a, some(n)) and not able(a, some(n * 6 // 5))
         more = np.union1d(a, some(n // 5))
         assert similar_sets.similar(a, more) and able(a, more) and able(a[: n * 9 // 10], a)
+
+
+@pytest.mark.parametrize("elements", [1_000_000, 3_000])
+def test_families_below_the_similarity(spark, monkeypatch, elements):
+    """Copies of a text that are about 0.8 alike have the groups of brute force, in one block of sets or in several."""
+    from terraline.llm import similar_sets
+
+    monkeypatch.setattr(similar_sets, "ELEMENTS", elements)
+    rng, rows = random.Random(31), []
+    for family in range(2):
+        old = [f"w{family}x{k}" for k in range(260)]
+        for _ in range(50):
+            said = list(old)
+            for at in rng.sample(range(0, 260, 6), rng.choice([2, 3, 4, 4, 4])):
+                said[at] = f"n{rng.random()}"
+            rows.append((len(rows), 0, " ".join(said)))
+    sets, part, near = [set(simhash.shingle_hashes(r[2], 5)) for r in rows], list(range(len(rows))), 0
+    for a in range(len(rows)):
+        for b in range(a):
+            near += 7 * len(sets[a] | sets[b]) < 10 * len(sets[a] & sets[b]) < 8 * len(sets[a] | sets[b])
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = part[a], part[b]
+                part = [min(x, y) if p in (x, y) else p for p in part]
+    got = {r.doc_id: r.part for r in similar_sets.groups(spark.createDataFrame(rows, "doc_id long, _row long, text string"), 5, 4).collect()}
+    assert near > 500 and len(set(part)) > 4
+    assert len({(part[i], got[i]) for i in got}) == len(set(part)) == len(set(got.values()))
+
+
+def test_a_family_makes_no_row_for_a_pair():
+    """The last step links a bucket's sets that its bounds can't tell apart by fewer rows than it has sets, and whole sets tell
+    which of them are similar."""
+    import numpy as np
+    import pyarrow as pa
+
+    from terraline.llm import similar_sets
+
+    rng = np.random.default_rng(7)
+    some = lambda n: np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+    base = some(400)
+    sets = [np.union1d(rng.choice(base, 370, replace=False), some(30)) for _ in range(200)] + [some(400) for _ in range(50)]
+    sets += [np.union1d(sets[3], some(20)), np.union1d(sets[4], some(60)), some(1500)]
+    n, cls = [len(x) for x in sets], list(range(len(sets)))
+    rows = [(key, c, n[c], c, similar_sets._sketch(sets[c])) for key in range(5) for c in cls] + [(9, 3, n[3], 3, similar_sets._sketch(sets[3])), (9, 250, n[250], 250, similar_sets._sketch(sets[250]))]
+    kinds = pa.schema([("key", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("part", pa.int64()), ("sketch", pa.binary())])
+    batches = pa.Table.from_arrays([pa.array(x) for x in zip(*rows)], names=kinds.names).cast(kinds).to_batches(max_chunksize=97)
+    links = [tuple(r.values()) for b in similar_sets._forest(batches) for r in b.to_pylist()]
+    up = {c: c for c in cls}
+    for a, b in links:
+        up = {c: up[a] if p == up[b] else p for c, p in up.items()}
+    assert 100 < len(links) < len(sets) and up[3] == up[250] and up[4] == up[251]
+    similar = {(a, b) for a in cls for b in range(a) if similar_sets.similar(sets[a], sets[b])}
+    assert {(250, 3), (251, 4)} <= similar and all(up[a] == up[b] for a, b in similar)
+    for block in (np.zeros(len(cls), int), np.array(cls) % 2):
+        found = similar_sets._joining(block, np.array(cls), np.array(cls), sets)
+        assert {(max(x), min(x)) for x in found} == {(a, b) for a, b in similar if block[0] == block[-2] == block[1] or a % 2 != b % 2}
+    assert not similar_sets._joining(np.zeros(len(cls), int), np.array(cls), np.zeros(len(cls), int), sets)
